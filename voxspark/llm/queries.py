@@ -3,8 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import decode, encode
+from .common import fresh_path
 from .jaccard_join import jaccard_classes
+from .mixing import mix_sources
+from .quality import quality_scores
+from .token_output import token_index, write_tokens
+from .url_filter import UrlModel, judge_urls, seed_labels
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +23,52 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"), words=5, percent=80)
 
 
-QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents replicated to source weights n ** 0.7, dealt out globally."""
+    return mix_sources(_table(spark, sf_dir, "documents"), temperature=0.7, seed="mix")
+
+
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids written as Parquet lists in doc_id order, and read back."""
+    import public_tokenizers
+
+    path = fresh_path(spark, "tokens")
+    write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_index(spark, path)
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document and the cascade's verdict."""
+    return quality_scores(_table(spark, sf_dir, "documents"))
+
+
+#: Of op8: rule and verdict.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules, else trees trained on urls labelled by seed terms."""
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("page_id"), "url")
+    model = UrlModel(seed_labels(pages.where("url is not null")))
+    return judge_urls(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every text, decode the ids, and digest both."""
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return bpe_digests(decode(encode(docs, path, pattern), path, pattern))
+
+
+def bpe_digests(df: DataFrame) -> DataFrame:
+    """doc_id, n_tokens and hashes of the ids and of the decoded bytes."""
+    text = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return df.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op3_token_output, op4_quality_rules, op8_url_filter, op10_byte_bpe)}
 
 _OP1_SQL = r"""
 WITH RECURSIVE w AS (
@@ -37,4 +89,39 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(reps.rep_id, w
        coalesce((SELECT min(y) FROM reach WHERE x = w.doc_id), w.doc_id) AS component_id
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN reps ON reps.doc_id = w.doc_id
 """
-ORACLE_SQL = {"op1_ngram_jaccard_join": _OP1_SQL}
+_OP2_SQL = r"""
+WITH RECURSIVE c AS (SELECT source, count(*) AS n, pow(count(*)::DOUBLE, 0.7) AS w FROM documents GROUP BY source),
+t AS (SELECT sum(n)::DOUBLE AS n, sum(w) AS w FROM (SELECT * FROM c ORDER BY source)),
+r AS (SELECT c.source, t.n * (c.w / t.w) / c.n AS rate FROM c, t),
+cdf AS (
+  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM r
+  UNION ALL
+  SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM cdf WHERE k < ceil(rate + 12 * sqrt(rate) + 20)),
+u AS (SELECT doc_id, source, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
+n AS (SELECT u.doc_id, count(*) AS copies FROM u JOIN cdf ON u.source = cdf.source AND u.u >= cdf.c GROUP BY u.doc_id)
+SELECT d.*, i::INTEGER AS copy_no, substr(md5(coalesce(d.doc_id::VARCHAR, '') || ':' || i || ':mix'), 1, 16) AS shuffle_key
+FROM (SELECT n.doc_id, unnest(range(copies)) AS i FROM n) x JOIN documents d ON d.doc_id = x.doc_id
+"""
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_OP4_SQL = rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents),
+i AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1))) AS p FROM w),
+g AS (SELECT doc_id, p, array_to_string(list_slice(ws, p, p + 4), ' ') AS g FROM i),
+again AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
+covered AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + 5)) AS q FROM again) GROUP BY doc_id),
+l AS (SELECT doc_id, l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup FROM l GROUP BY doc_id),
+f AS (
+  SELECT w.doc_id, len(ws) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper,
+         coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(covered.n, 0) AS n_repeat_words,
+         len(list_filter(ws, lambda x: regexp_matches(x, '[A-Za-z\x{{80}}-\x{{10FFFF}}]'))) AS n_letter_words
+  FROM w LEFT JOIN lines ON lines.doc_id = w.doc_id LEFT JOIN covered ON covered.doc_id = w.doc_id),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 3 * n_words OR word_chars > 12 * n_words OR 100 * n_letter_words < 70 * n_words
+            OR 100 * n_dup_lines > 40 * n_lines OR 100 * n_upper > 40 * word_chars) AS kept
+FROM b
+"""
+ORACLE_SQL = {"op1_ngram_jaccard_join": _OP1_SQL, "op2_source_mixing": _OP2_SQL, "op4_quality_rules": _OP4_SQL}
