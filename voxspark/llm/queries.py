@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from .bpe import decode, encode
 from .common import fresh_path
+from .html_text import extract_text
 from .jaccard_join import jaccard_classes
+from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .quality import quality_scores
+from .search import search
 from .token_output import token_index, write_tokens
 from .url_filter import UrlModel, judge_urls, seed_labels
 
@@ -42,6 +45,23 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page."""
+    return extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the lines that stay, and the numbers of those that left."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return dedup_lines(docs, counts=True)
+
+
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each document whose id is divisible by 100."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search(docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text"), docs, k=10)
+
+
 #: Of op8: rule and verdict.
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
@@ -68,7 +88,7 @@ def bpe_digests(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op3_token_output, op4_quality_rules, op8_url_filter, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op3_token_output, op4_quality_rules, op5_html_text, op7_line_dedup, op8_url_filter, op9_topk_search, op10_byte_bpe)}
 
 _OP1_SQL = r"""
 WITH RECURSIVE w AS (
@@ -124,4 +144,16 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
             OR 100 * n_dup_lines > 40 * n_lines OR 100 * n_upper > 40 * word_chars) AS kept
 FROM b
 """
-ORACLE_SQL = {"op1_ngram_jaccard_join": _OP1_SQL, "op2_source_mixing": _OP2_SQL, "op4_quality_rules": _OP4_SQL}
+_OP9_SQL = rf"""
+WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS w FROM documents),
+tf AS (SELECT doc_id, w, count(*) AS tf FROM w GROUP BY doc_id, w),
+dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY doc_id),
+df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
+n AS (SELECT (SELECT count(*) FROM documents)::DOUBLE AS n, (SELECT sum(dl) FROM dl)::DOUBLE / (SELECT count(*) FROM documents) AS avg_len),
+s AS (
+  SELECT q.doc_id AS query_id, d.doc_id, round(sum(q.tf * ln(1 + (n - df + 0.5) / (df + 0.5)) * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * dl / avg_len)) ORDER BY q.w), 6) AS score
+  FROM tf q JOIN tf d ON q.w = d.w JOIN df ON df.w = q.w JOIN dl ON dl.doc_id = d.doc_id, n WHERE q.doc_id % 100 = 0 GROUP BY q.doc_id, d.doc_id)
+SELECT query_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+ORACLE_SQL = {"op1_ngram_jaccard_join": _OP1_SQL, "op2_source_mixing": _OP2_SQL, "op4_quality_rules": _OP4_SQL, "op9_topk_search": _OP9_SQL}
