@@ -198,7 +198,7 @@ def search(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.2, b:
                           F.col("query_id").alias("n_docs"), F.lit(0).cast("long").alias("n_words"), F.col("t").alias("docs"), F.col("qtf").alias("lens"), F.col("df").alias("terms"), *(F.lit(None).cast("binary").alias(c) for c in ("dfs", "post_doc", "post_tf")))
     # shards are dealt to groups in turn, so that all groups hold the same number
     dealt = index.join(F.broadcast(materialize(index.select("shard").withColumn("part", (F.row_number().over(Window.orderBy("shard")) - 1) % groups), "parts")), "shard")
-    held = dealt.select("part", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("long").alias("q_block"), "shard", "n_docs", "n_words", "docs", "lens", "terms", "dfs", "post_doc", "post_tf")
+    held = dealt.select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("q_block"), "shard", "n_docs", "n_words", "docs", "lens", "terms", "dfs", "post_doc", "post_tf")
     found = held.unionAll(asked).groupBy("part", "q_block").applyInArrow(_score(k, k1, b, n_docs, avg_len), "query_id long, doc_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
