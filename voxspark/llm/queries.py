@@ -13,6 +13,7 @@ from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .quality import quality_scores
 from .search import search
+from .suffix_dedup import remove_repeats
 from .token_output import token_index, write_tokens
 from .url_filter import UrlModel, judge_urls, seed_labels
 
@@ -50,6 +51,11 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document without the strings of 50 that smaller documents have."""
+    return remove_repeats(_table(spark, sf_dir, "documents"), length=50)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the lines that stay, and the numbers of those that left."""
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -88,7 +94,7 @@ def bpe_digests(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op3_token_output, op4_quality_rules, op5_html_text, op7_line_dedup, op8_url_filter, op9_topk_search, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op3_token_output, op4_quality_rules, op5_html_text, op6_suffix_dedup, op7_line_dedup, op8_url_filter, op9_topk_search, op10_byte_bpe)}
 
 _OP1_SQL = r"""
 WITH RECURSIVE w AS (
