@@ -31,19 +31,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import steps, text_bytes
 from .common import connected_components, materialize, partitions
-from .hashing import mix, shingle_sets, windows_of
+from .hashing import mix, shingle_sets
+from .packing import pack, pack_sorted, rows_batch, unpack, unpack_sorted
 
 U64 = np.uint64
-_SEGMENTS = "frag int, docs binary, sig binary, size binary, cnt binary, sh binary"
-_SHARED = "dbucket int, docs binary, size binary, cnt binary, sh binary, df binary"
-
-
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [b"" if t is None else t.encode() for t in batch.column("text").to_pylist()]
+_SEGMENTS = "frag int, batch long, idx binary, sh binary"
+_SHARED = "batch long, idx binary, sh binary, df binary"
+_PAIR_SEGMENTS = "frag int, docs binary, cnt binary, n_others binary, others binary, sh binary"
+#: Text bytes whose sets are cut together.
+_STEP = 6 << 20
+#: Ids in the lists of pairs that are broadcast; beyond, the join is shuffled.
+MAX_BROADCAST_IDS = 500_000
 
 
 def _digest(s: np.ndarray) -> tuple[int, int]:
@@ -57,7 +61,7 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 def _digests(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(_texts(batch), words)
+            sets = shingle_sets(text_bytes(batch), words)
             d = [_digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in d], pa.int64()), pa.array([y for _, y in d], pa.int64())],
@@ -66,118 +70,104 @@ def _digests(words: int):
     return run
 
 
-def _cut(sets: list[np.ndarray], fragments: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of each set's segments, [set, fragment + 1]; hash ranges of equal width."""
-    pivots = (np.arange(1, fragments, dtype=np.float64) * (2.0**64 / fragments)).astype(U64)
-    bounds = np.zeros((len(sets), fragments + 1), np.int64)
-    for i, s in enumerate(sets):
-        bounds[i, 1:-1] = np.searchsorted(s, pivots)
-        bounds[i, -1] = len(s)
-    return bounds, pivots
+def _pivots(fragments: int) -> np.ndarray:
+    """Where the order is cut: hash ranges of equal width."""
+    return (np.arange(1, fragments, dtype=np.float64) * (2.0**64 / fragments)).astype(U64)
 
 
 def _segments(words: int, fragments: int):
-    """Cut every set of a batch; one row per batch and fragment holds all its segments."""
+    """Cut the sets of a batch; one row per batch and fragment holds all its segments.
+
+    A set is named by its place in the batch; the batch's ids and set sizes go on, as a
+    row of a fragment number past the others, to where the batch's counts are summed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        task = TaskContext.get().partitionId() << 32
+        for number, batch in enumerate(steps(batches, size=_STEP)):
             ids = batch.column("doc_id").to_pylist()
             first: dict[tuple, int] = {}
-            all_sets = shingle_sets(_texts(batch), words)
-            keys = [(*_digest(s), len(s)) if len(s) and i is not None else None for i, s in zip(ids, all_sets, strict=True)]
-            for i, k in enumerate(keys):  # copies inside the batch: only the smallest id goes on
-                if k is not None and (k not in first or ids[i] < ids[first[k]]):
-                    first[k] = i
+            sets = shingle_sets(text_bytes(batch), words)
+            for i, s in enumerate(sets):  # copies inside the batch: only the smallest id goes on
+                if len(s) and ids[i] is not None:
+                    k = (*_digest(s), len(s))
+                    if k not in first or ids[i] < ids[first[k]]:
+                        first[k] = i
             keep = sorted(first.values())
             if not keep:
                 continue
-            sets = [all_sets[i] for i in keep]
-            del all_sets
-            docs = np.array([ids[i] for i in keep], np.int64)
-            sig = np.array([keys[i][0] for i in keep], np.int64)
-            size = np.array([keys[i][2] for i in keep], np.int32)
-            bounds, _ = _cut(sets, fragments)
-            flat, base = np.concatenate(sets), np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
-            for lo in range(0, fragments, 64):
-                rows = []
-                for f in range(lo, min(lo + 64, fragments)):
-                    cnt = bounds[:, f + 1] - bounds[:, f]
-                    at = np.flatnonzero(cnt)
-                    if len(at):
-                        c = cnt[at]
-                        take = np.repeat(base[at] + bounds[at, f] - np.concatenate(([0], np.cumsum(c)[:-1])), c) + np.arange(c.sum())
-                        rows.append((f, docs[at].tobytes(), sig[at].tobytes(), size[at].tobytes(), c.astype(np.int32).tobytes(), flat[take].tobytes()))
-                if rows:
-                    yield _batch(rows, _SEGMENTS)
+            size = np.array([len(sets[i]) for i in keep], np.int64)
+            sh, idx = np.concatenate([sets[i] for i in keep]), np.repeat(np.arange(len(keep), dtype=np.uint32), size)
+            order = np.argsort(sh, kind="stable")
+            sh, idx = sh[order], idx[order]
+            at = np.concatenate(([0], np.searchsorted(sh, _pivots(fragments)), [len(sh)])).tolist()
+            rows = [(f, task + number, pack(idx[lo:hi]), pack_sorted(sh[lo:hi])) for f, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if hi > lo]
+            rows.append((fragments + number % fragments, task + number, np.array([ids[i] for i in keep], np.int64).tobytes(), size.tobytes()))
+            for lo in range(0, len(rows), 128):
+                yield rows_batch(rows[lo:lo + 128], _SEGMENTS)
 
     return run
 
 
-def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
-    fields = [x.split(" ") for x in ddl.split(", ")]
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
+def _shared(fragments: int):
+    """Of one fragment: the postings of shingles that at least two sets hold.
 
-
-def _column(table: pa.Table, name: str, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), dtype)
-
-
-def _shared(buckets: int):
-    """Of one fragment: the postings of shingles that at least two different sets hold."""
+    Copies that lie in different batches count as two sets here; that keeps their
+    representative in, never anything out.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        docs, sig, size = _column(table, "docs", np.int64), _column(table, "sig", np.int64), _column(table, "size", np.int32)
-        cnt, sh = _column(table, "cnt", np.int32), _column(table, "sh", U64)
-        order = np.lexsort((docs, size, sig))
-        s, z = sig[order], size[order]
-        rep = np.zeros(len(docs), bool)
-        rep[order] = np.concatenate(([True], (s[1:] != s[:-1]) | (z[1:] != z[:-1])))
-        keep = np.repeat(rep, cnt)
-        sh, seg = sh[keep], np.repeat(np.arange(len(docs)), cnt)[keep]
-        order = np.argsort(sh, kind="stable")
-        sh, seg = sh[order], seg[order]
-        start = np.flatnonzero(np.concatenate(([True], sh[1:] != sh[:-1]))) if len(sh) else np.zeros(0, np.int64)
-        run_len = np.diff(np.append(start, len(sh)))
-        df = np.repeat(run_len, run_len)
-        sh, seg, df = sh[df > 1], seg[df > 1], df[df > 1]
-        bucket = (mix(docs.view(U64)) % U64(buckets)).astype(np.int64)[seg]
-        order = np.lexsort((seg, bucket))
-        sh, seg, df, bucket = sh[order], seg[order], df[order], bucket[order]
-        rows = []
-        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))).tolist() if len(sh) else []
-        for lo, hi in zip(cuts, [*cuts[1:], len(sh)], strict=True):
-            own, n = np.unique(seg[lo:hi], return_counts=True)
-            rows.append((int(bucket[lo]), docs[own].tobytes(), size[own].tobytes(), n.astype(np.int32).tobytes(), sh[lo:hi].tobytes(), df[lo:hi].astype(np.uint32).tobytes()))
-        empty = [("dbucket", pa.int32()), *((n, pa.binary()) for n in ("docs", "size", "cnt", "sh", "df"))]
-        return pa.Table.from_batches([_batch(rows, _SHARED)]) if rows else pa.schema(empty).empty_table()
+        frag, batch, idx, sh = (table.column(c).to_pylist() for c in ("frag", "batch", "idx", "sh"))
+        if frag[0] >= fragments:
+            rows = [(b, i, n, None) for b, i, n in zip(batch, idx, sh, strict=True)]
+        else:
+            own = [unpack_sorted(x) for x in sh]
+            del sh
+            flat = np.concatenate(own)
+            order = np.argsort(flat, kind="stable")
+            s = flat[order]
+            start = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+            length = np.diff(np.append(start, len(s)))
+            df = np.zeros(len(s), np.uint32)
+            df[order] = np.repeat(length, length)
+            rows, lo = [], 0
+            for b, i, x in zip(batch, idx, own, strict=True):
+                d = df[lo:lo + len(x)]
+                lo += len(x)
+                m = d > 1
+                if m.any():
+                    rows.append((b, pack(unpack(i, np.uint32)[m]), pack_sorted(x[m]), pack(d[m])))
+        if rows:
+            return pa.Table.from_batches([rows_batch(rows, _SHARED)])
+        return pa.schema([("batch", pa.int64()), ("idx", pa.binary()), ("sh", pa.binary()), ("df", pa.binary())]).empty_table()
 
     return run
 
 
 def _survivors(percent: int):
-    """Of one bucket of documents: those that could link, with their prefixes."""
+    """Of one batch of documents: those that could link, with their prefixes."""
 
     def run(table: pa.Table) -> pa.Table:
-        docs, size, cnt = _column(table, "docs", np.int64), _column(table, "size", np.int32), _column(table, "cnt", np.int32)
-        sh, df = _column(table, "sh", U64), _column(table, "df", np.uint32)
-        ids, first, of = np.unique(docs, return_index=True, return_inverse=True)
-        n = size[first].astype(np.int64)
-        shared = np.bincount(of, cnt, len(ids)).astype(np.int64)
-        ok = 100 * shared >= percent * n
-        who = np.repeat(of, cnt)
-        keep = ok[who]
-        sh, df, who = sh[keep], df[keep], who[keep]
-        order = np.lexsort((sh, df, who))
-        sh, who = sh[order], who[order]
-        at = np.searchsorted(who, np.arange(len(ids) + 1))
-        rows = []
-        for i in np.flatnonzero(ok).tolist():
-            own = sh[at[i]:at[i + 1]]
-            alone = int(n[i] - len(own))  # in no other set, so first in the order
-            prefix = int(n[i] - -(-percent * n[i] // 100) + 1) - alone
-            rows.append((int(ids[i]), int(n[i]), alone, own[:prefix].view(np.int64), np.sort(own).tobytes()))
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("idx", "sh", "df")), strict=True))
+        ids, n = next((np.frombuffer(i, np.int64), np.frombuffer(s, np.int64)) for i, s, d in rows if d is None)
+        rows = [r for r in rows if r[2] is not None]
+        out = []
+        if rows:
+            who = np.concatenate([unpack(i, np.uint32) for i, _, _ in rows])
+            sh = np.concatenate([unpack_sorted(s) for _, s, _ in rows])
+            df = np.concatenate([unpack(d, np.uint32) for _, _, d in rows])
+            ok = 100 * np.bincount(who, minlength=len(ids)) >= percent * n
+            keep = ok[who]
+            who, sh, df = who[keep], sh[keep], df[keep]
+            order = np.lexsort((sh, df, who))
+            who, sh = who[order], sh[order]
+            at = np.searchsorted(who, np.arange(len(ids) + 1))
+            for i in np.flatnonzero(ok).tolist():
+                own = sh[at[i]:at[i + 1]]
+                alone = int(n[i] - len(own))  # in no other set, so first in the order
+                prefix = int(n[i] - -(-percent * n[i] // 100) + 1) - alone
+                out.append((int(ids[i]), int(n[i]), alone, own[:prefix].view(np.int64), np.sort(own).tobytes()))
+        cols = list(zip(*out, strict=True)) or [[]] * 5
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc", "n", "alone", "prefix", "sh"])
 
@@ -185,45 +175,50 @@ def _survivors(percent: int):
 
 
 def _pair_segments(fragments: int):
-    """Cut a document's shared shingles, with the centres that it is compared with."""
+    """Cut documents' shared shingles, with the centres that they are compared with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steps(batches, "sh"):
             sets = [np.frombuffer(x, U64) for x in batch.column("sh").to_pylist()]
-            bounds, _ = _cut(sets, fragments)
-            docs, others = batch.column("doc").to_pylist(), batch.column("others").to_pylist()
-            rows = [(f, docs[i], np.array(others[i] or [], np.int64).tobytes(), s[bounds[i, f]:bounds[i, f + 1]].tobytes())
-                    for i, s in enumerate(sets) for f in np.flatnonzero(np.diff(bounds[i])).tolist()]
-            for lo in range(0, len(rows), 20_000):
-                yield _batch(rows[lo:lo + 20_000], "frag int, doc long, others binary, sh binary")
+            docs = np.array(batch.column("doc").to_pylist(), np.int64)
+            others = [np.array(o or [], np.int64) for o in batch.column("others").to_pylist()]
+            sh, idx = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            cut = np.searchsorted(_pivots(fragments), sh, side="right")
+            order = np.lexsort((sh, idx, cut))
+            sh, idx = sh[order], idx[order]
+            at = np.searchsorted(cut[order], np.arange(fragments + 1)).tolist()
+            rows = []
+            for f, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)):
+                if hi > lo:
+                    own, cnt = np.unique(idx[lo:hi], return_counts=True)
+                    lists = [others[i] for i in own.tolist()]
+                    rows.append((f, docs[own].tobytes(), cnt.astype(np.int64).tobytes(), np.array([len(o) for o in lists], np.int64).tobytes(), np.concatenate(lists).tobytes(), sh[lo:hi].tobytes()))
+            for lo in range(0, len(rows), 64):
+                yield rows_batch(rows[lo:lo + 64], _PAIR_SEGMENTS)
 
     return run
 
 
 def _partial_overlaps(table: pa.Table) -> pa.Table:
     """Of one fragment: for each candidate pair, how many of its shingles both hold."""
-    docs = np.array(table.column("doc").to_pylist(), np.int64)
-    sets = [np.frombuffer(x, U64) for x in table.column("sh").to_pylist()]
-    others = [np.frombuffer(x, np.int64) for x in table.column("others").to_pylist()]
-    n = np.array([len(s) for s in sets], np.int64)
-    flat, base = np.concatenate(sets), np.concatenate(([0], np.cumsum(n)[:-1]))
+    docs, n, n_others, b_id = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("docs", "cnt", "n_others", "others"))
+    flat = np.frombuffer(b"".join(table.column("sh").to_pylist()), U64)
+    base = np.cumsum(n) - n
     order = np.argsort(docs)
-    a = np.repeat(np.arange(len(docs)), [len(o) for o in others])
-    b_id = np.concatenate(others)
+    a = np.repeat(np.arange(len(docs)), n_others)
     at = np.minimum(np.searchsorted(docs[order], b_id), len(docs) - 1)
     here = docs[order][at] == b_id
     a, b = a[here], order[at[here]]
     swap = n[a] > n[b]  # look the shorter segment up in the longer one
     short, long = np.where(swap, b, a), np.where(swap, a, b)
-    with np.errstate(over="ignore"):
-        salt = mix(np.arange(len(docs), dtype=U64))
-        index = np.sort(mix(flat ^ np.repeat(salt, n)))
+    salt = mix(np.arange(len(docs), dtype=U64))
+    index = np.sort(mix(flat ^ np.repeat(salt, n)))
     out = np.zeros(len(a), np.int64)
-    step = max(1, 2_000_000 // max(1, int(n[short].mean()) if len(short) else 1))
+    step = max(1, 1_000_000 // max(1, int(n.mean())))
     for lo in range(0, len(a), step):
         s, g = short[lo:lo + step], long[lo:lo + step]
         c = n[s]
-        take = np.repeat(base[s] - np.concatenate(([0], np.cumsum(c)[:-1])), c) + np.arange(c.sum())
+        take = np.repeat(base[s] - np.cumsum(c) + c, c) + np.arange(c.sum())
         key = mix(flat[take] ^ np.repeat(salt[g], c))
         found = index[np.minimum(np.searchsorted(index, key), len(index) - 1)] == key
         out[lo:lo + step] = np.bincount(np.repeat(np.arange(len(s)), c), found, len(s))
@@ -231,19 +226,21 @@ def _partial_overlaps(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(docs[a[some]]), "b": pa.array(docs[b[some]]), "part": pa.array(out[some])})
 
 
-def _overlaps(sets: DataFrame, pairs: DataFrame, fragments: int) -> DataFrame:
+def _overlaps(sets: DataFrame, sizes: DataFrame, pairs: DataFrame, fragments: int) -> DataFrame:
     """(a, b, n_a, n_b, overlap) of candidate pairs: partial counts, summed per pair."""
-    lists = pairs.groupBy(F.col("a").alias("doc")).agg(F.collect_list("b").alias("others"))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    rows = sets.select("doc", "sh").join(ends, "doc", "left_semi").join(lists, "doc", "left")
-    parts = rows.mapInArrow(_pair_segments(fragments), "frag int, doc long, others binary, sh binary")
+    both = pairs.select(F.col("a").alias("doc"), "b").unionAll(pairs.select(F.col("b").alias("doc"), F.lit(None).cast("long").alias("b")))
+    lists = materialize(both.groupBy("doc").agg(F.collect_list("b").alias("others")), "lists")
+    if lists.agg(F.count("*") + F.coalesce(F.sum(F.size("others")), F.lit(0))).first()[0] <= MAX_BROADCAST_IDS:
+        lists = F.broadcast(lists)  # the sets themselves are then not shuffled for it
+    rows = sets.select("doc", "sh").join(lists, "doc")
+    parts = rows.mapInArrow(_pair_segments(fragments), _PAIR_SEGMENTS)
     parts = parts.groupBy("frag").applyInArrow(_partial_overlaps, "a long, b long, part long")
-    size = sets.select("doc", "n")
+    size = sizes.select("doc", "n")
     return (parts.groupBy("a", "b").agg(F.sum("part").alias("overlap"))
             .join(size.withColumnsRenamed({"doc": "a", "n": "n_a"}), "a").join(size.withColumnsRenamed({"doc": "b", "n": "n_b"}), "b"))
 
 
-def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, fragments: int | None = None, star_rounds: int = 3) -> DataFrame:
+def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, fragments: int | None = None, star_rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, rep_id (smallest id with the same set), component_id.
 
     Two sets link when 100 * intersection >= percent * union.  fragments defaults to
@@ -261,40 +258,35 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, fragment
     member = digests.join(reps, ["sig_a", "sig_b", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep_id"))
 
     segments = docs.mapInArrow(_segments(words, fragments), _SEGMENTS)
-    shared = segments.groupBy("frag").applyInArrow(_shared(4 * shuffle), _SHARED)
-    sets = materialize(shared.groupBy("dbucket").applyInArrow(_survivors(percent), "doc long, n long, alone long, prefix array<long>, sh binary"), "survivors")
+    shared = segments.groupBy("frag").applyInArrow(_shared(fragments), _SHARED)
+    sets = materialize(shared.groupBy("batch").applyInArrow(_survivors(percent), "doc long, n long, alone long, prefix array<long>, sh binary"), "survivors")
+    # of copies in different batches one stays; the long column stays out of this join
+    sizes = materialize(sets.select("doc", "n", "alone", "prefix").join(reps.select(F.col("rep").alias("doc")), "doc", "left_semi"), "sizes")
 
-    postings = materialize(sets.select(F.explode("prefix").alias("s"), "doc", "n", (F.col("alone") / F.col("n")).alias("own")), "postings")
+    postings = materialize(sizes.select("doc", "n", (F.col("alone") / F.col("n")).alias("own"), "alone", F.posexplode("prefix").alias("i", "s")).select("s", "doc", "n", "own", (F.col("alone") + F.col("i")).alias("before")), "postings")
     tested = edges = None
     component = postings.select("doc", F.col("doc").alias("c")).distinct()
     for turn in range(star_rounds + 1):
-        held = postings if turn == 0 else postings.join(component, "doc").select("s", "doc", "n", "own", "c")
-        if turn == 0:
-            held = held.withColumn("c", F.col("doc"))
-        # buckets that hold more than one component, with the document fewest shingles are its own
-        mixed = held.groupBy("s").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi"), F.min(F.struct("own", "n", "doc")).alias("best")).where("c_lo < c_hi")
-        if turn == 0:
-            centre = mixed.select("s", F.col("best.doc").alias("b"), F.col("best.doc").alias("b_c"))
-        else:
-            # the next centre: the best document outside the component of the last one
-            past = held.join(mixed.select("s", F.col("best.doc").alias("b0")), "s")
-            comp_b = component.select(F.col("doc").alias("b0"), F.col("c").alias("c0"))
-            past = past.join(comp_b, "b0").where("c <> c0")
-            centre = past.groupBy("s").agg(F.min(F.struct("own", "n", "doc", "c")).alias("best")).select("s", F.col("best.doc").alias("b"), F.col("best.c").alias("b_c"))
-        if turn == star_rounds and tested is None:
-            break
+        held = postings.join(component, "doc") if turn else postings.withColumn("c", F.col("doc"))
         if turn < star_rounds:
-            pairs = held.join(centre, "s").where("c <> b_c").select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b")).distinct()
+            # in each bucket, by size class: the document with the fewest shingles of its own is the centre
+            held = held.withColumn("size", _size_class("n", percent, turn))
+            best = held.groupBy("s", "size").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi"), F.min(F.struct("own", "n", "doc", "before", "c")).alias("best")).where("c_lo < c_hi")
+            centre = best.select("s", "size", *(F.col(f"best.{x}").alias(f"b_{x}") for x in ("doc", "n", "before", "c")))
+            pairs = held.join(centre, ["s", "size"]).where((F.col("c") != F.col("b_c")) & _possible("n", "before", "b_n", "b_before", percent)).select(F.col("doc").alias("u"), F.col("b_doc").alias("v"))
         else:
-            pairs = _undecided(held, mixed, tested, percent)
+            pairs = _undecided(held, tested, percent)
+        # one row a pair; it is listed at the end that isn't the centre, so no list is long
+        pairs = pairs.groupBy(F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).agg(F.min("u").alias("a"))
         if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+            pairs = pairs.join(tested.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")), ["lo", "hi"], "left_anti")
+        pairs = pairs.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
         pairs = materialize(pairs, "pairs")
         if pairs.isEmpty():
             if turn < star_rounds:
                 continue
             break
-        counted = materialize(_overlaps(sets, pairs, max(8, shuffle)), "overlaps")
+        counted = materialize(_overlaps(sets, sizes, pairs, max(8, shuffle // 4)), "overlaps")
         tested = counted if tested is None else tested.unionAll(counted)
         edges = tested.where(100 * F.col("overlap") >= percent * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).select("a", "b")
         found = connected_components(edges)
@@ -303,20 +295,38 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, fragment
     return member.join(label, "rep_id", "left").select("doc_id", "n_shingles", "rep_id", F.coalesce("component_id", "rep_id").alias("component_id"))
 
 
-def _undecided(held: DataFrame, mixed: DataFrame, tested: DataFrame | None, percent: int) -> DataFrame:
+def _size_class(n: str, percent: int, turn: int):
+    """Sizes that can link share a class, or are at most one apart; odd turns shift the classes by half."""
+    return F.floor(F.log(F.col(n)) / F.log(F.lit(100.0 / percent)) + 0.5 * (turn % 2))
+
+
+def _possible(n_u: str, before_u: str, n_v: str, before_v: str, percent: int):
+    """Whether two sets can link whose first common shingle has so many before it in either.
+
+    Asked in a bucket of a later common shingle it may say no, but never in the first.
+    """
+    most = F.least(F.col(n_u) - F.col(before_u), F.col(n_v) - F.col(before_v))
+    return 100 * most >= percent * (F.col(n_u) + F.col(n_v) - most)
+
+
+def _undecided(held: DataFrame, tested: DataFrame | None, percent: int) -> DataFrame:
     """Pairs of one bucket and two components that sizes and distances don't rule out.
 
-    With the bucket's first centre x, |d(u, x) - d(v, x)| <= d(u, v) for the Jaccard
+    With a first centre x of both, |d(u, x) - d(v, x)| <= d(u, v) for the Jaccard
     distance d, so pairs that differ by more than the allowed distance aren't candidates.
     """
-    first = mixed.select("s", F.col("best.doc").alias("x"))
-    rows = held.join(first, "s")
+    mixed = held.groupBy("s").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi")).where("c_lo < c_hi").select("s")
+    held = held.join(mixed, "s", "left_semi").withColumn("size", _size_class("n", percent, 0))
+    first = held.groupBy("s", "size").agg(F.min(F.struct("own", "n", "doc", "before", "c")).alias("best")).select("s", "size", F.col("best.doc").alias("x"))
+    rows = held.join(first, ["s", "size"])
+    if tested is None:
+        tested = held.select(F.col("doc").alias("a"), F.col("doc").alias("b"), F.col("n").alias("n_a"), F.col("n").alias("n_b"), F.col("n").alias("overlap")).where("false")
     known = tested.select("a", "b", (1 - F.col("overlap") / (F.col("n_a") + F.col("n_b") - F.col("overlap"))).alias("d"))
     known = known.unionAll(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
     rows = rows.join(known, (rows.doc == known.a) & (rows.x == known.b), "left").select(
-        "s", "doc", "n", "c", F.when(F.col("doc") == F.col("x"), 0.0).otherwise(F.col("d")).alias("d"))
+        "s", "doc", "n", "before", "c", "x", F.when(F.col("doc") == F.col("x"), 0.0).otherwise(F.col("d")).alias("d"))
     u, v = rows.alias("u"), rows.alias("v")
-    near = F.coalesce(F.abs(F.col("u.d") - F.col("v.d")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
+    near = (F.col("u.x") != F.col("v.x")) | F.coalesce(F.abs(F.col("u.d") - F.col("v.d")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
     both = u.join(v, (F.col("u.s") == F.col("v.s")) & (F.col("u.doc") < F.col("v.doc")) & (F.col("u.c") != F.col("v.c"))
-                  & (100 * F.least("u.n", "v.n") >= percent * F.greatest("u.n", "v.n")) & near)
-    return both.select(F.col("u.doc").alias("a"), F.col("v.doc").alias("b")).distinct()
+                  & _possible("u.n", "u.before", "v.n", "v.before", percent) & near)
+    return both.select(F.col("u.doc").alias("u"), F.col("v.doc").alias("v"))
