@@ -34,18 +34,18 @@ def test_bpe_equals_library_on_odd_texts():
     bits = [" ", "  ", "\n", "\t", " ", "'s", "'ll", "a", "é", "日本", " x", "23", "!!", "　", "\x1c", "\x85", "​", "😀", "\r\n", "<|endoftext|>", "zzzz"]
     texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 40))) for _ in range(3000)] + ["", "a" * 3000, "ab " * 3, " " * 40 + "x"]
     own = bpe.ByteBpe(PATH, PATTERN)
-    flat, at = bpe.WordCoder(own.encode_words).encode(texts)
+    flat, at = bpe.UnitCoder(own.encode_words).encode([t.encode() for t in texts])
     assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [enc.encode_ordinary(t) for t in texts]
     assert own.decode(flat.astype(np.int64), at) == [t.encode() for t in texts]
 
 
-def test_word_cache_may_be_trimmed(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_WORDS", 4)
+def test_unit_cache_may_be_trimmed(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_UNITS", 4)
     own, enc = bpe.ByteBpe(PATH, PATTERN), _tiktoken()
-    coder = bpe.WordCoder(own.encode_words)
+    coder = bpe.UnitCoder(own.encode_words)
     for k in range(5):
         t = " ".join(f"w{k * i}xq" for i in range(9)) + " again and again"
-        assert coder.encode([t])[0].tolist() == enc.encode_ordinary(t)
+        assert coder.encode([t.encode()])[0].tolist() == enc.encode_ordinary(t)
 
 
 def test_op10_query(spark, sf):

@@ -1,8 +1,7 @@
 """Byte-level BPE encoding and decoding with padded numpy matrices.
 
-A text is cut at each space that a non-space follows; no match of the splitting
-pattern crosses such a place, so the distinct words of a batch are split by the
-pattern and encoded once.  Distinct pieces go to matrices by length bucket, one row of
+A text is cut into units where no match of the splitting pattern crosses (unit_starts),
+so only the distinct units of a batch are split by the pattern and encoded.  Distinct pieces go to matrices by length bucket, one row of
 byte ids a piece, padded on the right.  In each round every row merges its leftmost
 pair of least rank, found by a hashed look-up of (left id, right id); rows without a
 mergeable pair leave and the matrix is compacted.  Pieces that are themselves in the
@@ -16,9 +15,8 @@ outside of the vocabulary, or a null one, raises an error.
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Callable, Iterator
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,76 +25,132 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import steps, text_bytes
+from .hashing import mix, prefix_hash
 
-#: A space that no ordinary non-space character follows; what some engine may call white space counts as such.
-_GAP = r"[\s\x1c-\x1f\x85᠎​-‍⁠﻿]"
-_ODD = re.compile(rf" (?={_GAP}|$)")
-_CUT = re.compile(rf"(?= (?!{_GAP}|$))")
-#: Words whose ids a worker keeps from batch to batch.
-CACHE_WORDS = 600_000
+#: Units whose ids a worker keeps from batch to batch.
+CACHE_UNITS = 800_000
+#: Text bytes that are coded at a time.
+UNIT_STEP = 1_000_000
+_BYTE = np.arange(256)
+_ALNUM = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
+_GRAPH = (_BYTE > 0x20) & (_BYTE < 0x7F)
+_PUNCT = _GRAPH & ~_ALNUM
+#: First bytes of characters that no engine takes for white space.
+_SOLID = _GRAPH | (_BYTE >= 0xC3) & ~np.isin(_BYTE, [0xE1, 0xE2, 0xE3, 0xEF])
 
 
-class _Codes(dict):
-    """word -> number in order of arrival; the new words wait in `fresh`."""
+def unit_starts(data: np.ndarray) -> np.ndarray:
+    """Places where no match of the splitting pattern crosses.
 
-    def __init__(self) -> None:
-        self.fresh: list[str] = []
+    Before a space that a solid character follows, between an ASCII letter or digit and
+    ASCII punctuation, and between a lone newline after a visible character and an
+    ASCII letter or digit.
+    """
+    cut = np.zeros(len(data), bool)
+    cut[:-1] |= (data[:-1] == 0x20) & _SOLID[data[1:]]
+    cut[1:] |= _ALNUM[data[:-1]] & _PUNCT[data[1:]]
+    cut[2:] |= _GRAPH[data[:-2]] & (data[1:-1] == 0x0A) & _ALNUM[data[2:]]
+    return cut
 
-    def __missing__(self, w: str) -> int:
-        self.fresh.append(w)
-        self[w] = n = len(self)
-        return n
 
+class UnitCoder:
+    """Ids of texts from the ids of their distinct units, which are kept for later batches.
 
-class WordCoder:
-    """Ids of texts from the ids of their distinct words, which are kept for later batches."""
+    Units are known by 64-bit hashes in an open-addressing table; only new ones become
+    strings, which encode_words turns into ids.
+    """
 
     def __init__(self, encode_words: Callable[[list[str]], list[list[int]]]):
         self.encode_words = encode_words
-        self.codes = _Codes()
-        self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.keys = np.zeros(0, np.uint64)
+        self._build(1 << 16)
+
+    def _build(self, slots: int) -> None:
+        self.shift, self.mask = np.uint64(65 - slots.bit_length()), slots - 1
+        self.slot_key, self.slot_code = np.zeros(slots, np.uint64), np.full(slots, -1, np.int32)
+        self._insert(self.keys, np.arange(len(self.keys), dtype=np.int32))
+
+    def _insert(self, keys: np.ndarray, codes: np.ndarray) -> None:
+        slot, left = (keys >> self.shift).astype(np.int64), np.arange(len(keys))
+        while len(left):
+            free = self.slot_code[slot[left]] < 0
+            tried = left[free]
+            self.slot_code[slot[tried]] = codes[tried]  # of several, the last one stays
+            won = self.slot_code[slot[left]] == codes[left]
+            self.slot_key[slot[left[won]]] = keys[left[won]]
+            left = left[~won]
+            slot[left] = (slot[left] + 1) & self.mask
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), -1, np.int32)
+        rows, slot = np.arange(len(keys)), (keys >> self.shift).astype(np.int64)
+        while len(rows):
+            code = self.slot_code[slot]
+            hit = (code >= 0) & (self.slot_key[slot] == keys[rows])
+            out[rows[hit]] = code[hit]
+            on = ~hit & (code >= 0)
+            rows, slot = rows[on], (slot[on] + 1) & self.mask
+        return out
 
     def _trim(self) -> None:
-        """Keep the half that came first, as frequent words come early."""
-        half = CACHE_WORDS // 2
-        for w in list(islice(self.codes, half, None)):
-            del self.codes[w]
-        self.size, self.start = self.size[:half], self.start[:half]
+        """Keep the half that came first, as frequent units come early."""
+        half = CACHE_UNITS // 2
+        self.size, self.start, self.keys = self.size[:half].copy(), self.start[:half].copy(), self.keys[:half].copy()
         self.flat = self.flat[:self.start[-1] + self.size[-1]].copy()
+        self._build(len(self.slot_key))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after the other, and offsets (len + 1)."""
-        if len(self.codes) > CACHE_WORDS:
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (UTF-8), one after the other, and offsets (len + 1)."""
+        if len(self.keys) > CACHE_UNITS:
             self._trim()
-        codes = self.codes
-        rows = []
-        for t in texts:
-            # a first word is kept under "\0" + itself, all others without their space
-            if not t:
-                rows.append([])
-            elif _ODD.search(t):
-                parts = _CUT.split(t)
-                parts = parts[1:] if not parts[0] else parts
-                rows.append([codes[p[1:] if p[0] == " " and len(p) > 1 and not _ODD.match(p) else "\0" + p] for p in parts])
-            elif t[0] == " ":
-                rows.append(list(map(codes.__getitem__, t[1:].split(" "))))
-            else:
-                head, *rest = t.split(" ")
-                rows.append([codes["\0" + head], *map(codes.__getitem__, rest)])
-        if codes.fresh:
-            ids = self.encode_words([w[1:] if w[0] == "\0" else " " + w for w in codes.fresh])
-            codes.fresh = []
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(size) - size))
+        ends = np.cumsum([len(t) for t in texts])
+        raw = b"".join(texts)
+        if not raw:
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        data = np.frombuffer(raw, np.uint8)
+        at = _starts_within(data, unit_starts(data), ends)
+        stop = np.append(at[1:], len(data))
+        c, inverse = prefix_hash(data)
+        with np.errstate(over="ignore"):
+            keys = mix((c[stop] - c[at]) * inverse[at] ^ ((stop - at).astype(np.uint64) << np.uint64(40)))
+        del c
+        code = self._find(keys)
+        new = np.flatnonzero(code < 0)
+        if len(new):
+            fresh, where, back = np.unique(keys[new], return_index=True, return_inverse=True)
+            order = np.argsort(where)
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            places = new[where[order]]
+            ids = self.encode_words([raw[a:b].decode() for a, b in zip(at[places].tolist(), stop[places].tolist(), strict=True)])
+            size = np.fromiter(map(len, ids), np.int32, len(ids))
+            base = len(self.keys)
+            self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(size, dtype=np.int64) - size))
             self.size = np.concatenate((self.size, size))
             self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))))
-        n = np.fromiter(map(len, rows), np.int64, len(rows))
-        word = np.fromiter(chain.from_iterable(rows), np.int64, int(n.sum()))
-        size = self.size[word]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.start[word] - ends + size, size) + np.arange(total)]
-        return ids, np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(n)))]
+            self.keys = np.concatenate((self.keys, fresh[order]))
+            code[new] = base + rank[back]
+            if 2 * len(self.keys) > len(self.slot_key):
+                self._build(1 << (4 * len(self.keys)).bit_length())
+            else:
+                self._insert(fresh[order], np.arange(base, base + len(order), dtype=np.int32))
+        size = self.size[code].astype(np.int64)
+        stops = np.cumsum(size)
+        ids = self.flat[np.repeat(self.start[code] - stops + size, size) + np.arange(int(stops[-1]))]
+        return ids, np.concatenate(([0], stops))[np.concatenate(([0], np.searchsorted(at, ends)))]
+
+
+def _starts_within(data: np.ndarray, cut: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Unit starts of joined texts; where a rule saw characters of two texts, it is undone."""
+    first = ends[ends < len(data)]
+    for shift in (-1, 0, 1):
+        p = first + shift
+        p = p[(p >= 0) & (p < len(data))]
+        cut[p] = False
+    cut[first] = True
+    cut[0] = True
+    return np.flatnonzero(cut)
 
 
 class PairTable:
@@ -237,14 +291,14 @@ class ByteBpe:
         return [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-_held: dict[tuple[str, str], tuple[ByteBpe, WordCoder]] = {}
+_held: dict[tuple[str, str], tuple[ByteBpe, UnitCoder]] = {}
 
 
-def _coder(path: str, pattern: str) -> tuple[ByteBpe, WordCoder]:
+def _coder(path: str, pattern: str) -> tuple[ByteBpe, UnitCoder]:
     """Of this worker, for all its batches."""
     if (path, pattern) not in _held:
         bpe = ByteBpe(path, pattern)
-        _held[path, pattern] = (bpe, WordCoder(bpe.encode_words))
+        _held[path, pattern] = (bpe, UnitCoder(bpe.encode_words))
     return _held[path, pattern]
 
 
@@ -259,8 +313,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, coder = _coder(path, pattern)
-        for batch in steps(batches, text):
-            flat, offsets = coder.encode([t.decode() for t in text_bytes(batch, text)])
+        for batch in steps(batches, text, UNIT_STEP):
+            flat, offsets = coder.encode(text_bytes(batch, text))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in others), list_column(flat, offsets)], [*others, ids])
 
     return docs.mapInArrow(run, schema)

@@ -1,7 +1,7 @@
 """Token ids as Parquet list columns.
 
-Documents are ranged by doc_id, encoded by the tokenizers library (each distinct word
-of a batch once, see bpe.WordCoder) and written as one list column a document beside
+Documents are ranged by doc_id, encoded by the tokenizers library (each distinct unit
+of a batch once, see bpe.UnitCoder) and written as one list column a document beside
 small metadata columns.  The files have bounded row groups and pages, dictionary or
 delta (writer version 2) encoding and page indexes, so that a reader takes the columns
 and doc_id ranges it needs only.  File names and rows ascend with doc_id.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrow import steps, text_bytes
-from .bpe import WordCoder, list_column
+from .bpe import UNIT_STEP, UnitCoder, list_column
 
 #: Of the written files.
 PARQUET_OPTIONS = {
@@ -34,12 +34,12 @@ PARQUET_OPTIONS = {
     "parquet.page.row.count.limit": "2000",
 }
 SCHEMA = "doc_id long, n_tokens long, ids array<int>"
-#: Bytes of joined words in one call of the library.
-JOINED_BYTES = 64 << 10
-_held: dict[str, WordCoder] = {}
+#: Units joined in one call of the library.
+JOINED_UNITS = 8000
+_held: dict[str, UnitCoder] = {}
 
 
-def _coder(path: str) -> WordCoder:
+def _coder(path: str) -> UnitCoder:
     if path not in _held:
         import os
 
@@ -53,30 +53,33 @@ def _coder(path: str) -> WordCoder:
             size[i] = len(token)  # one character stands for a byte
 
         def encode_words(words: list[str]) -> list[list[int]]:
-            """Words that start with a space are encoded joined, as no piece crosses their ends."""
+            """Most units are encoded joined, as no piece crosses their ends.
+
+            Those with a leading space as they are, those that are letters and digits only
+            behind a newline, which is an id of its own; others alone.
+            """
             out: list = [None] * len(words)
-            spaced = [i for i, w in enumerate(words) if len(w) > 1 and w[0] == " " and not w[1].isspace()]
-            alone = [i for i, w in enumerate(words) if not (len(w) > 1 and w[0] == " " and not w[1].isspace())]
+            alone, groups = [], [[], []]
+            for i, w in enumerate(words):
+                if len(w) > 1 and w[0] == " " and all(x.isalnum() or "!" <= x <= "~" for x in (w[1], w[-1])):
+                    groups[0].append(i)
+                elif w.isalnum():
+                    groups[1].append(i)
+                else:
+                    alone.append(i)
             for i, e in zip(alone, library.encode_batch_fast([words[i] for i in alone], add_special_tokens=False), strict=True):
                 out[i] = e.ids
-            groups, total = [[]], 0
-            for i in spaced:
-                groups[-1].append(i)
-                total += len(words[i])
-                if total > JOINED_BYTES:
-                    groups.append([])
-                    total = 0
-            for group in groups:
-                if not group:
-                    continue
-                ids = library.encode_batch_fast(["".join([words[i] for i in group])], add_special_tokens=False)[0].ids
-                ends = np.cumsum([len(words[i].encode()) for i in group])
-                cut = [0, *(np.searchsorted(np.cumsum(size[ids]), ends) + 1).tolist()]
-                for i, a, b in zip(group, cut[:-1], cut[1:], strict=True):
-                    out[i] = ids[a:b]
+            for lead, group in zip(("", "\n"), groups, strict=True):
+                for lo in range(0, len(group), JOINED_UNITS):
+                    part = group[lo:lo + JOINED_UNITS]
+                    texts = [lead + words[i] for i in part]
+                    ids = library.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids
+                    cut = [0, *(np.searchsorted(np.cumsum(size[ids]), np.cumsum([len(t.encode()) for t in texts])) + 1).tolist()]
+                    for i, a, b in zip(part, cut[:-1], cut[1:], strict=True):
+                        out[i] = ids[a + len(lead):b]
             return out
 
-        _held[path] = WordCoder(encode_words)
+        _held[path] = UnitCoder(encode_words)
     return _held[path]
 
 
@@ -85,8 +88,8 @@ def write_tokens(docs: DataFrame, out_path: str, tokenizer_path: str, end_id: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(tokenizer_path)
-        for batch in steps(batches):
-            flat, offsets = coder.encode([t.decode() for t in text_bytes(batch)])
+        for batch in steps(batches, size=UNIT_STEP):
+            flat, offsets = coder.encode(text_bytes(batch))
             flat = np.insert(flat, offsets[1:], end_id)
             offsets = offsets + np.arange(len(offsets))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), list_column(flat, offsets)], ["doc_id", "n_tokens", "ids"])
