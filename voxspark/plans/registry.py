@@ -22,9 +22,15 @@ def query(sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    from . import audio_queries, command_queries, decode_queries, segment_queries, stream_queries, text_queries, vocab_queries  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _SQL
