@@ -135,8 +135,8 @@ def _entries(spark, sf_dir):
 @query("""WITH w AS (SELECT p_partkey, p_name AS o, lower(p_name) AS l, regexp_split_to_array(lower(p_name), '[\\s-]+') AS w, CASE WHEN contains(p_name, '-') THEN '-' ELSE ' ' END AS sep FROM part),
 v AS (SELECT p_partkey, o, unnest([l, upper(o), replace(o, '-', ' '), regexp_replace(o, '\\s', '-', 'g'), lower(regexp_replace(o, '[\\s-]', '', 'g')), upper(regexp_replace(o, '[\\s-]', '', 'g')),
   array_to_string(list_transform(string_split(l, ' '), lambda x: array_to_string(list_transform(string_split(x, '-'), lambda y: upper(y[1]) || y[2:]), '-')), ' ')]
-  || CASE WHEN len(w) >= 2 THEN [array_to_string([upper(w[1])] || w[2:], sep), array_to_string([upper(w[1][1]) || w[1][2:]] || w[2:], sep), array_to_string(w[:-2] || [upper(w[-1])], sep)] ELSE [] END
-  || CASE WHEN len(w) >= 3 THEN [array_to_string(list_transform(w[:-2], lambda x: upper(x)) || [w[-1]], sep)] ELSE [] END) AS v FROM w)
+  || CASE WHEN len(w) >= 2 THEN [CASE WHEN sep = '-' THEN array_to_string([upper(w[1])] || w[2:], '-') ELSE array_to_string([upper(w[1])] || w[2:], ' ') END, CASE WHEN sep = '-' THEN array_to_string([upper(w[1][1]) || w[1][2:]] || w[2:], '-') ELSE array_to_string([upper(w[1][1]) || w[1][2:]] || w[2:], ' ') END, CASE WHEN sep = '-' THEN array_to_string(w[:-2] || [upper(w[-1])], '-') ELSE array_to_string(w[:-2] || [upper(w[-1])], ' ') END] ELSE [] END
+  || CASE WHEN len(w) >= 3 THEN [CASE WHEN sep = '-' THEN array_to_string(list_transform(w[:-2], lambda x: upper(x)) || [w[-1]], '-') ELSE array_to_string(list_transform(w[:-2], lambda x: upper(x)) || [w[-1]], ' ') END] ELSE [] END) AS v FROM w)
 SELECT p_partkey, array_to_string(list_sort(list(DISTINCT v)), '|') AS variants FROM v WHERE v <> o GROUP BY p_partkey""")
 def a21_generate_variants(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(text.generate_variants(F.col("p_name"))), "|").alias("variants"))
@@ -175,7 +175,7 @@ def a24_migrate_dictionary(spark, sf_dir):
 SELECT id, CASE WHEN k % 10 = 0 THEN 'N-' || k ELSE original END AS original, CASE WHEN k % 10 = 0 THEN 'N-' || k ELSE replacement END AS replacement FROM e
 UNION ALL SELECT 'new' || k, 'fresh ' || k, 'F-' || k FROM e WHERE k % 7 = 0 AND k % 3 <> 0""")
 def a25_upsert_delete_dictionary(spark, sf_dir):
-    k = F.col("id").cast("long")
+    k = F.col("id").try_cast("long")
     e = _entries(spark, sf_dir).withColumn("original", F.concat_ws(" ", "id", "original")).where(k % 2 == 0)
     e = dictionary.delete_dictionary(e, e.where(k % 9 == 1).select("id"))
     edits = e.where(k % 10 == 0).select("id", F.lit(" ").alias("original"), F.concat(F.lit("N-"), "id").alias("replacement"))
