@@ -32,19 +32,20 @@ from pyspark.sql import functions as F
 
 from .arrow import steps, text_bytes
 from .common import materialize, partitions
-from .hashing import words_of
+from .hashing import chunks, words_of
 from .packing import pack, pack_sorted, rows_batch, unpack, unpack_sorted
 
 BLOCK = 16
 #: Text bytes of a shard, shards of a group, words (with repetition between queries) of a query block.
-SHARD_BYTES, GROUP_SHARDS, QUERY_BLOCK_WORDS = 8 << 20, 8, 1_500_000
+SHARD_BYTES, GROUP_SHARDS, QUERY_BLOCK_WORDS = 6 << 20, 8, 1_000_000
 _INDEX = "shard long, n_docs long, n_words long, docs binary, lens binary, terms binary, dfs binary, post_doc binary, post_tf binary"
 
 
 def _term_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """term, text number, count of all pairs in order of (term, text), and words per text."""
-    words, at = words_of(texts, lower=True)
-    n = np.diff(at)
+    # hashed in small chunks, as the tables of a chunk are many times its size
+    some = [words_of(texts[lo:hi], lower=True) for lo, hi in chunks(texts)] or [(np.zeros(0, np.uint64), np.zeros(1, np.int64))]
+    words, n = np.concatenate([w for w, _ in some]), np.concatenate([np.diff(at) for _, at in some])
     text = np.repeat(np.arange(len(texts)), n)
     order = np.argsort(words, kind="stable")
     words, text = words[order], text[order]
