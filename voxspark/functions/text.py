@@ -58,7 +58,8 @@ def trim_space(c: Column) -> Column:
 
 def finalize_text(c: Column) -> Column:
     t = trim_space(F.regexp_replace(c, f"{S}{{2,}}", " "))
-    return F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 2**31 - 1))
+    # by way of an array, so that the chain before this is evaluated once
+    return F.get(F.transform(F.array(t), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 2**31 - 1))), F.lit(0))
 
 
 def is_blank(c: Column) -> Column:

@@ -1 +1,180 @@
-"""Filled in below."""
+"""Queries of the audio operators, over embeddings as short signals and events as energy series."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import audio as a
+from .registry import query
+from .text_queries import table
+
+
+def _clips(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("clip_id"), F.col("embedding").cast("array<float>").alias("samples"))
+
+
+def _sessions(spark, sf_dir):
+    """Ten vectors a session, one a chunk."""
+    return table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("session_id"), (F.col("vec_id") % 10).alias("chunk_idx"), F.col("embedding").cast("array<float>").alias("samples"), F.lit(1000).alias("sample_rate"))
+
+
+def _lengths(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("clip_id"), (F.col("o_orderkey") * 104729 % 3000000 + 1).alias("n_samples"))
+
+
+_LEN = "(SELECT o_orderkey AS clip_id, o_orderkey * 104729 % 3000000 + 1 AS n FROM orders)"
+_X = "(SELECT vec_id // 10 AS session_id, (vec_id % 10) * 64 + i - 1 AS p, embedding[i]::FLOAT::DOUBLE AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i))"
+_WIN = f"(SELECT session_id, p // 48 AS win_idx, sqrt(sum(x * x) / 48) AS rms FROM {_X} GROUP BY 1, 2 HAVING count(*) = 48)"
+
+
+@query("SELECT vec_id AS clip_id, 32 AS n, round(embedding[1]::FLOAT::DOUBLE, 5) AS first FROM embeddings")
+def c02_resample_cubic(spark, sf_dir):
+    """To half the rate: every second sample."""
+    r = _clips(spark, sf_dir).select("clip_id", a.resample_cubic(F.col("samples"), F.lit(32000)).alias("s"))
+    return r.select("clip_id", F.size("s").alias("n"), F.round(F.get("s", F.lit(0)).cast("double"), 5).alias("first"))
+
+
+@query("SELECT vec_id AS clip_id FROM embeddings WHERE list_max(list_transform(embedding, lambda x: abs(x::FLOAT::DOUBLE))) >= 0.3")
+def c03_drop_silent_clips(spark, sf_dir):
+    return a.drop_silent_clips(_clips(spark, sf_dir).withColumn("samples", F.col("samples").cast("array<double>")), least=64, peak=0.3).select("clip_id")
+
+
+@query(f"SELECT session_id, win_idx, win_idx * 48 AS start_sample, round(rms, 6) AS rms FROM {_WIN}")
+def c04_rms_windows(spark, sf_dir):
+    return a.rms_windows(_sessions(spark, sf_dir), 48).withColumn("rms", F.round("rms", 6))
+
+
+_GATE = f"(SELECT *, greatest(0.0025, least(0.006, max(rms) OVER (PARTITION BY session_id ORDER BY win_idx) * 0.15)) AS gate FROM (SELECT session_id, win_idx, rms / 20 AS rms FROM {_WIN}))"
+
+
+@query(f"SELECT session_id, win_idx, round(gate, 9) AS gate, rms >= gate AS voiced FROM {_GATE}")
+def c05_adaptive_gate(spark, sf_dir):
+    w = a.rms_windows(_sessions(spark, sf_dir), 48).withColumn("rms", F.col("rms") / 20)
+    return a.adaptive_gate(w).select("session_id", "win_idx", F.round("gate", 9).alias("gate"), "voiced")
+
+
+def chunks(spark, sf_dir):
+    """Energy series of users as chunks of a second: loud where the value is high."""
+    from pyspark.sql import Window
+
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), "event_id", "value")
+    e = e.withColumn("chunk_idx", F.row_number().over(Window.partitionBy("session_id").orderBy("event_id")) - 1)
+    wave = F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: (F.when(F.col("event_id") % 7 < 4, 0.15).otherwise(0.0005) * F.sin(i * 0.9)).cast("float"))
+    return e.select("session_id", "chunk_idx", F.lit(1000).alias("sample_rate"), wave.alias("samples"))
+
+
+@query()
+def c06_segment_by_energy(spark, sf_dir):
+    return a.segment_by_energy(chunks(spark, sf_dir))
+
+
+@query("""WITH v AS (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS win_idx, event_id % 5 < 2 AS voiced FROM events), n AS (SELECT *, coalesce(win_idx - lag(win_idx) OVER (PARTITION BY session_id ORDER BY win_idx) - 1 >= 3, true) AS f FROM v WHERE voiced),
+s AS (SELECT *, sum(f::INT) OVER (PARTITION BY session_id ORDER BY win_idx) AS seg_idx FROM n) SELECT session_id, seg_idx::BIGINT AS seg_idx, min(win_idx) AS first_win, max(win_idx) AS last_win FROM s GROUP BY 1, 2""")
+def c07_pause_segments(spark, sf_dir):
+    return a.pause_segments(_numbered(spark, sf_dir).withColumn("voiced", F.col("event_id") % 5 < 2), 3)
+
+
+def _numbered(spark, sf_dir):
+    from pyspark.sql import Window
+
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("user_id").alias("clip_id"), "event_id")
+    return e.withColumn("win_idx", F.row_number().over(Window.partitionBy("session_id").orderBy("event_id")))
+
+
+_VAD = """WITH p AS (SELECT user_id AS c, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, (event_id * 37 % 100) / 100.0 AS p FROM events), s AS (SELECT *, coalesce(last_value(CASE WHEN p >= 0.5 THEN 1 WHEN p < 0.35 THEN 0 END IGNORE NULLS) OVER (PARTITION BY c ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS s FROM p),
+b AS (SELECT *, coalesce(lag(s) OVER (PARTITION BY c ORDER BY i), 0) AS b FROM s), g AS (SELECT *, sum((s = 1 AND b = 0)::INT) OVER (PARTITION BY c ORDER BY i) AS g FROM b), r AS (SELECT c AS clip_id, min(i) * 512 AS start_sample, (max(i) + 1) * 512 AS end_sample FROM g WHERE s = 1 OR b = 1 GROUP BY c, g) """
+
+
+def _raw(spark, sf_dir):
+    return a.vad_hysteresis(_numbered(spark, sf_dir).withColumn("prob", (F.col("event_id") * 37 % 100) / 100.0))
+
+
+@query(_VAD + "SELECT * FROM r")
+def c08_vad_hysteresis(spark, sf_dir):
+    return _raw(spark, sf_dir)
+
+
+@query()
+def c09_vad_merge(spark, sf_dir):
+    clips = _numbered(spark, sf_dir).groupBy("clip_id").agg(((F.max("win_idx") + 1) * 512).alias("n_samples"))
+    return a.vad_merge(_raw(spark, sf_dir), clips)
+
+
+@query(_VAD + "SELECT u AS clip_id, coalesce(start_sample, 0) AS start_sample, coalesce(end_sample, 9999) AS end_sample FROM (SELECT DISTINCT user_id AS u FROM events) LEFT JOIN (SELECT * FROM r WHERE clip_id % 2 = 0) r ON clip_id = u")
+def c10_no_speech_fallback(spark, sf_dir):
+    clips = table(spark, sf_dir, "events").select(F.col("user_id").alias("clip_id"), F.lit(9999).cast("long").alias("n_samples")).distinct()
+    return a.no_speech_fallback(clips, _raw(spark, sf_dir).where("clip_id % 2 = 0"))
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT clip_id, n, 0::BIGINT AS i, 0::BIGINT AS s, least(n, 448000) AS e, n <= 448000 AS stop FROM {_LEN} UNION ALL
+SELECT clip_id, n, i + 1, s + 432000, CASE WHEN n - (s + 432000) < 32000 THEN n ELSE least(s + 880000, n) END, n - (s + 432000) < 32000 FROM c WHERE NOT stop AND s + 432000 < n) SELECT clip_id, i AS chunk_idx, s AS start_sample, e AS end_sample FROM c""")
+def c11_fixed_chunks(spark, sf_dir):
+    return a.fixed_chunks(_lengths(spark, sf_dir))
+
+
+@query(f"SELECT clip_id, i AS chunk_idx, CASE WHEN i > 0 THEN i * 206080 - 1280 ELSE 0 END AS start_sample, least(i * 206080 + 238080, n) AS end_sample FROM (SELECT clip_id, n, unnest(range(0, greatest(0, ceil((n - 238080) / 206080.0)::BIGINT) + 1)) AS i FROM {_LEN})")
+def c12_context_chunks(spark, sf_dir):
+    return a.context_chunks(_lengths(spark, sf_dir))
+
+
+@query("SELECT vec_id AS clip_id, s AS start_sample, round(list_sum(list_transform(embedding[s + 1:least(s + 28, 64)], lambda x: x::FLOAT::DOUBLE)), 5) AS total FROM embeddings, (SELECT unnest([0, 20, 40]) AS s)")
+def c13_slice_audio(spark, sf_dir):
+    c = _clips(spark, sf_dir)
+    plan = c.select("clip_id", F.explode(F.array(*map(F.lit, (0, 20, 40)))).alias("start_sample")).withColumn("end_sample", F.least(F.col("start_sample") + 28, F.lit(64)))
+    return a.slice_audio(c, plan).select("clip_id", "start_sample", F.round(F.aggregate("samples", F.lit(0.0), lambda x, y: x + y.cast("double")), 5).alias("total"))
+
+
+@query("SELECT vec_id AS clip_id, 5 AS n_frames, 4 AS valid_frames, 640 AS n_values FROM embeddings")
+def c14_log_mel(spark, sf_dir):
+    c = _clips(spark, sf_dir).select("clip_id", F.flatten(F.array_repeat("samples", 10)).alias("samples"))
+    return c.select("clip_id", a.log_mel(F.col("samples")).alias("m")).select("clip_id", "m.n_frames", "m.valid_frames", F.size("m.mel").alias("n_values"))
+
+
+_FEAT = "(SELECT vec_id // 50 AS c, vec_id % 50 AS frame, i - 1 AS band, embedding[i]::FLOAT::DOUBLE AS x, vec_id % 50 < 40 AS valid FROM embeddings, (SELECT unnest(range(1, 65)) AS i))"
+
+
+@query(f"SELECT c AS clip_id, frame, band::INTEGER AS band, round(CASE WHEN valid THEN (x - avg(x) FILTER (valid) OVER w) / (stddev_samp(x) FILTER (valid) OVER w + 1e-5) ELSE 0 END, 5) + 0 AS value FROM {_FEAT} WINDOW w AS (PARTITION BY c, band)")
+def c15_cmvn(spark, sf_dir):
+    f = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 50).alias("clip_id"), (F.col("vec_id") % 50).alias("frame"), F.posexplode("embedding").alias("band", "x"))
+    f = f.select("clip_id", "frame", "band", F.col("x").cast("double").alias("value"), (F.col("frame") < 40).alias("valid"))
+    return a.cmvn(f).select("clip_id", "frame", "band", (F.round("value", 5) + 0).alias("value"))
+
+
+@query("SELECT vec_id AS clip_id, 80 AS n, round(list_min(embedding)::FLOAT::DOUBLE, 5) AS last FROM embeddings")
+def c16_pad_to_width(spark, sf_dir):
+    p = _clips(spark, sf_dir).select("clip_id", a.pad_to_width(F.col("samples"), 80).alias("p"))
+    return p.select("clip_id", F.size("p").alias("n"), F.round(F.element_at("p", -1).cast("double"), 5).alias("last"))
+
+
+@query("WITH v AS (SELECT vec_id // 10 AS session_id, vec_id % 10 AS seg_idx, (vec_id * 7 % 60 + 1)::INT AS valid FROM embeddings) SELECT session_id, seg_idx, seg_idx // 4 AS batch, valid, max(valid) OVER (PARTITION BY session_id, seg_idx // 4) AS n FROM v")
+def c17_batch_pad(spark, sf_dir):
+    s = _sessions(spark, sf_dir).select("session_id", F.col("chunk_idx").alias("seg_idx"), F.slice("samples", F.lit(1), ((F.col("session_id") * 10 + F.col("chunk_idx")) * 7 % 60 + 1).cast("int")).alias("samples"))
+    return a.batch_pad(s, 4).select("session_id", "seg_idx", "batch", "valid", F.size("samples").alias("n"))
+
+
+def _energy(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("t"), (F.col("event_id") * 13 % 50).alias("avg"))
+
+
+_EN = "(SELECT user_id AS session_id, event_id AS t, event_id * 13 % 50 AS a FROM events)"
+
+
+@query(f"WITH s AS (SELECT *, avg((a <= 10)::INT) OVER w AS share, min(t) OVER w AS t0 FROM {_EN} WINDOW w AS (PARTITION BY session_id ORDER BY t)) SELECT session_id, min(t) AS flagged_at FROM s WHERE t - t0 >= 300 AND share >= 0.25 GROUP BY 1")
+def c18_silence_ratio_guard(spark, sf_dir):
+    return a.silence_ratio_guard(_energy(spark, sf_dir), ratio=0.25, after_s=300)
+
+
+@query(f"WITH s AS (SELECT *, coalesce(max(CASE WHEN a > 10 THEN t END) OVER w, min(t) OVER w) AS sound FROM {_EN} WINDOW w AS (PARTITION BY session_id ORDER BY t)) SELECT session_id, min(t) AS stop_at FROM s WHERE t - sound > 200 GROUP BY 1")
+def c19_auto_stop_point(spark, sf_dir):
+    return a.auto_stop_point(_energy(spark, sf_dir), 200)
+
+
+@query("SELECT vec_id AS clip_id, CASE WHEN vec_id % 5 = 0 THEN NULL ELSE '64 samples' END AS text, CASE WHEN vec_id % 5 = 0 THEN 'ValueError: no samples' END AS error FROM embeddings")
+def i01_transcribe_segments(spark, sf_dir):
+    def fn(x):
+        if not len(x):
+            raise ValueError("no samples")
+        return f"{len(x)} samples"
+
+    c = _clips(spark, sf_dir).withColumn("samples", F.when(F.col("clip_id") % 5 == 0, F.array().cast("array<float>")).otherwise(F.col("samples")))
+    return a.transcribe_segments(c, fn).select("clip_id", "text", "error")

@@ -1 +1,144 @@
-"""Filled in below."""
+"""Queries of the streaming operators: streams over files written from the driver tables, and batch twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.pipeline import postprocess
+from ..sources import files
+from ..streaming import streams as st
+from .audio_queries import chunks
+from .decode_queries import _E
+from .decode_queries import events as diag_events
+from .registry import query
+from .segment_queries import _turns
+from .text_queries import _docs, table
+
+
+def _stream(spark, df, name):
+    path = files.work_path(spark, name)
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+@query()
+def g01_stream_segments(spark, sf_dir):
+    """The stream's segments equal those of the batch job (c06)."""
+    c = chunks(spark, sf_dir).withColumns({"stop": F.lit(False), "abort": F.lit(False)})
+    end = c.groupBy("session_id").agg((F.max("chunk_idx") + 1).alias("chunk_idx")).select("session_id", "chunk_idx", F.lit(1000).alias("sample_rate"), F.lit(None).cast("array<float>").alias("samples"), F.lit(True).alias("stop"), F.lit(False).alias("abort"))
+    s = _stream(spark, c.unionByName(end), "chunks")
+    out = files.work_path(spark, "segments")
+    st.run_once(st.stream_segments(s, preview_ms=st.PREVIEW_MS), out)
+    return spark.read.parquet(out)
+
+
+@query()
+def g03_partial_transcripts(spark, sf_dir):
+    s = _stream(spark, _turns(spark, sf_dir), "turns")
+    out = files.work_path(spark, "partials")
+    st.run_each(st.partial_transcripts(s), out)
+    return spark.read.parquet(out)
+
+
+_P = "(SELECT user_id AS run_id, ts, event_id, CASE WHEN event_id % 3 = 0 THEN 'confirm' ELSE 'done' END AS stage FROM events)"
+
+
+@query(f"WITH n AS (SELECT *, lead(ts) OVER w AS nt, lead(stage) OVER w AS ns FROM {_P} WINDOW w AS (PARTITION BY run_id ORDER BY ts)) SELECT run_id, event_id, CASE WHEN nt IS NULL OR epoch_us(nt) - epoch_us(ts) > 3600000000 THEN 'cancelled' WHEN ns = 'confirm' THEN 'declined' ELSE 'answered' END AS outcome FROM n WHERE stage = 'confirm'")
+def g05_confirm_timeouts(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.when(F.col("event_id") % 3 == 0, "confirm").otherwise("done").alias("stage"))
+    return st.confirm_timeouts(e, 3600).join(e.select("run_id", "ts", "event_id"), ["run_id", "ts"]).select("run_id", "event_id", "outcome")
+
+
+_V = "(SELECT user_id AS session_id, ts, event_id, CASE event_id % 3 WHEN 0 THEN 'start' WHEN 1 THEN 'result' ELSE 'partial' END AS type FROM events)"
+
+
+def _voice(spark, sf_dir):
+    i = F.col("event_id")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.when(i % 3 == 0, "start").when(i % 3 == 1, "result").otherwise("partial").alias("type"), F.when(i % 3 == 0, "RECORDING").when(i % 3 == 1, "PROCESSING").otherwise("IDLE").alias("state"))
+
+
+@query(f"WITH v AS (SELECT * FROM {_V}) SELECT s.session_id, s.event_id, CASE WHEN epoch_us(r.ts) - epoch_us(s.ts) <= 7200000000 THEN r.event_id END AS result_id FROM (SELECT * FROM v WHERE type = 'start') s ASOF LEFT JOIN (SELECT * FROM v WHERE type = 'result') r ON s.session_id = r.session_id AND s.ts < r.ts")
+def g06_await_results(spark, sf_dir):
+    return st.await_results(_voice(spark, sf_dir), 7200)
+
+
+@query("SELECT user_id AS session_id, event_id, CASE event_id % 3 WHEN 0 THEN 'RECORDING' WHEN 1 THEN 'PROCESSING' ELSE 'IDLE' END AS state, round((epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts)) / 1000000.0, 3) AS seconds FROM events")
+def g07_state_intervals(spark, sf_dir):
+    return st.state_intervals(_voice(spark, sf_dir)).withColumn("seconds", F.round("seconds", 3))
+
+
+_G8 = f"SELECT epoch(date_trunc('day', ts))::BIGINT AS start, count(*) FILTER (kind = 'session') AS sessions, count(*) FILTER (kind = 'segment') AS segments, count(*) FILTER (kind = 'seam_repair') AS seam_repairs, count(*) FILTER (kind = 'fallback') AS fallbacks, count(*) FILTER (kind = 'error') AS errors FROM {_E} GROUP BY 1"
+
+
+@query(_G8)
+def g08_diagnostics_windows(spark, sf_dir):
+    return st.stream_diagnostics(diag_events(spark, sf_dir), "1 day").drop("typical_ms").withColumn("start", F.unix_seconds("start"))
+
+
+@query(_G8)
+def g08_stream_diagnostics(spark, sf_dir):
+    """The same, by a stream in complete mode."""
+    s = _stream(spark, diag_events(spark, sf_dir), "diagnostics")
+    out = files.work_path(spark, "diagnostics-out")
+    st.run_each(st.stream_diagnostics(s, "1 day").drop("typical_ms").withColumn("start", F.unix_seconds("start")), out, "complete")
+    return spark.read.parquet(out).where("batch_id = 0").drop("batch_id")
+
+
+@query("""WITH g AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) > 3600000000, true) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+SELECT user_id, (epoch_us(min(ts)) // 1000000)::BIGINT AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def g09_dictation_sessions(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return st.stream_dictation_sessions(e, "1 hour").withColumn("start", F.unix_seconds("start"))
+
+
+@query()
+def g10_stream_postprocess(spark, sf_dir):
+    s = _stream(spark, _docs(spark, sf_dir).select("doc_id", "text"), "documents")
+    out = files.work_path(spark, "postprocessed")
+    st.run_once(st.stream_postprocess(s), out)
+    return spark.read.parquet(out)
+
+
+@query()
+def g10_batch_postprocess(spark, sf_dir):
+    return postprocess(_docs(spark, sf_dir).select("doc_id", "text"))
+
+
+def _lines(spark, sf_dir):
+    i = F.col("event_id")
+    json = F.to_json(F.struct(F.when(i % 2 == 0, "state").otherwise("result").alias("type"), F.col("event_type").alias("text"), i.cast("string").alias("session_id"), (i * 1000).alias("ts")))
+    return table(spark, sf_dir, "events").select(F.when(i % 5 == 0, ": ping").when(i % 5 == 1, F.concat(F.lit("data: {bad "), json)).otherwise(F.concat(F.lit("data: "), json)).alias("value"))
+
+
+@query("SELECT event_id::VARCHAR AS session_id, CASE WHEN event_id % 2 = 0 THEN 'state' ELSE 'result' END AS type, event_type AS text, event_id AS at FROM events WHERE event_id % 5 > 1")
+def g11_event_lines(spark, sf_dir):
+    path = files.work_path(spark, "lines")
+    _lines(spark, sf_dir).write.text(path)
+    return files.read_event_lines(spark, path).select("session_id", "type", "text", F.unix_seconds("ts").alias("at"))
+
+
+@query("SELECT event_id::VARCHAR AS id, user_id::VARCHAR AS user_id, event_id % 7 AS audio_ms, event_id AS at FROM events")
+def h01_history_json(spark, sf_dir):
+    path = files.work_path(spark, "history")
+    i = F.col("event_id")
+    table(spark, sf_dir, "events").select(i.cast("string").alias("id"), F.col("user_id").cast("string").alias("user_id"), (i * 1000).alias("timestamp"), (i % 7).alias("audioMs")).write.json(path)
+    return files.read_history(spark, path, multi_line=False).select("id", "user_id", "audio_ms", F.unix_seconds("ts").alias("at"))
+
+
+@query("SELECT DISTINCT p_brand AS id, 2::INTEGER AS n_patterns, 2::INTEGER AS n_steps FROM part")
+def h02_recipe_pack(spark, sf_dir):
+    from .command_queries import recipes
+
+    path = files.work_path(spark, "recipes")
+    recipes(spark, sf_dir).write.json(path)
+    return files.read_recipes(spark, path, multi_line=False).select("id", F.size("patterns").alias("n_patterns"), F.size("steps").alias("n_steps"))
+
+
+@query("SELECT DISTINCT p_brand AS said FROM part")
+def i02_register_sql(spark, sf_dir):
+    """The helpers by name, in SQL."""
+    from ..functions.sql import register_sql
+
+    register_sql(spark)
+    table(spark, sf_dir, "part").select("p_brand").distinct().createOrReplaceTempView("vox_brands")
+    return spark.sql("SELECT spoken_punctuation(replace(p_brand, '#', ' hyphen ')) AS s, apply_itn('twenty three') AS n, p_brand FROM vox_brands").select(F.col("p_brand").alias("said"))
