@@ -37,7 +37,7 @@ from .packing import pack, pack_sorted, rows_batch, unpack, unpack_sorted
 
 BLOCK = 16
 #: Text bytes of a shard, shards of a group, words (with repetition between queries) of a query block.
-SHARD_BYTES, GROUP_SHARDS, QUERY_BLOCK_WORDS = 6 << 20, 8, 1_000_000
+SHARD_BYTES, GROUP_SHARDS, QUERY_BLOCK_WORDS = 3 << 20, 6, 1_000_000
 _INDEX = "shard long, n_docs long, n_words long, docs binary, lens binary, terms binary, dfs binary, post_doc binary, post_tf binary"
 
 
