@@ -8,11 +8,14 @@ from ..operators import commands as c
 from .registry import query
 from .text_queries import table
 
-_K = F.col("p_partkey")
+
+
+def _k():
+    return F.col("p_partkey")
 
 
 def _said(spark, sf_dir):
-    n, k = F.col("p_name"), _K % 9
+    n, k = F.col("p_name"), _k() % 9
     text = (F.when(k == 0, F.concat(F.lit("Play "), n, F.lit(" on Spotify please."))).when(k == 1, F.concat(F.lit("hey scribe, open "), n)).when(k == 2, F.concat(F.lit("Could you search the web for "), n, F.lit("?")))
             .when(k == 3, F.concat(F.lit("search for "), n, F.lit(" on youtube"))).when(k == 4, F.concat(F.lit("open youtube and play "), n)).when(k == 5, F.concat(F.lit("open "), n, F.lit(" and then close it")))
             .when(k == 6, F.concat(F.lit("buy "), n)).when(k == 7, F.concat(F.lit("email the "), n, F.lit(" list"))).otherwise(F.concat(F.lit("look up the "), n, F.lit(" on google"))))
@@ -40,8 +43,8 @@ _ENC = "replace(replace(replace(p_name || ' é(' || p_partkey || ')~!', ' ', '%2
 
 @query(f"SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'spotify:search:' || {_ENC} WHEN 1 THEN 'https://www.youtube.com/results?search_query=' || {_ENC} WHEN 2 THEN 'https://music.apple.com/search?term=' || {_ENC} END AS link, 'https://www.google.com/search?q=' || {_ENC} AS url FROM part")
 def f03_media_link(spark, sf_dir):
-    q = F.concat("p_name", F.lit(" é("), _K.cast("string"), F.lit(")~!"))
-    service = F.element_at(F.array(F.lit("Spotify"), F.lit("YouTube"), F.lit("Apple Music"), F.lit("Radio")), (_K % 4 + 1).cast("int"))
+    q = F.concat("p_name", F.lit(" é("), _k().cast("string"), F.lit(")~!"))
+    service = F.element_at(F.array(F.lit("Spotify"), F.lit("YouTube"), F.lit("Apple Music"), F.lit("Radio")), (_k() % 4 + 1).cast("int"))
     return table(spark, sf_dir, "part").select("p_partkey", c.media_link(service, q).alias("link"), c.search_url(q).alias("url"))
 
 
@@ -51,7 +54,7 @@ _CLICKS = ["Password for {}", "Add to cart {}", "Reply to {}", "Remove {}", "See
 
 
 def _templates(items):
-    return F.element_at(F.array(*(F.concat(F.lit(x.split("{}")[0]), F.col("p_name"), F.lit(x.split("{}")[1])) for x in items)), (_K % len(items) + 1).cast("int"))
+    return F.element_at(F.array(*(F.concat(F.lit(x.split("{}")[0]), F.col("p_name"), F.lit(x.split("{}")[1])) for x in items)), (_k() % len(items) + 1).cast("int"))
 
 
 def _pick(items, n=None):
@@ -75,7 +78,7 @@ def f06_risk_of_opening(spark, sf_dir):
 
 @query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'refuse' WHEN 1 THEN 'confirm' WHEN 2 THEN 'auto' WHEN 3 THEN 'error' ELSE 'auto' END AS level FROM part")
 def f07_assess_command(spark, sf_dir):
-    k = _K % 5
+    k = _k() % 5
     tool = F.when(k == 0, "computer_task").when(k == 1, "open_target").when(k == 2, "search_web").when(k == 3, "fly").otherwise("open_target")
     args = F.when(k == 0, F.create_map(F.lit("goal"), F.concat(F.lit("buy "), "p_name"))).when(k == 1, F.create_map(F.lit("target"), F.lit("x.exe"))).otherwise(F.create_map(F.lit("target"), F.lit("x")))
     return table(spark, sf_dir, "part").select("p_partkey", c.assess_command(tool, args)["level"].alias("level"))
@@ -97,7 +100,7 @@ _U = "(SELECT p_partkey AS k, p_name AS n, p_brand AS b, regexp_extract(p_brand,
 @query(f"SELECT k AS p_partkey, b AS recipe_id, n AS what, CASE WHEN k % 3 = 1 THEN 'here' END AS place FROM {_U} WHERE NOT q AND k % 3 <> 2")
 def f08_match_recipes(spark, sf_dir):
     low = F.lower("p_brand")
-    said = F.when(_K % 3 == 0, F.concat(F.lit("Open "), "p_name", F.lit(" in "), low, F.lit("."))).when(_K % 3 == 1, F.concat("p_brand", F.lit(" find  "), "p_name", F.lit(" near here"))).otherwise(F.concat(F.lit("close "), "p_name"))
+    said = F.when(_k() % 3 == 0, F.concat(F.lit("Open "), "p_name", F.lit(" in "), low, F.lit("."))).when(_k() % 3 == 1, F.concat("p_brand", F.lit(" find  "), "p_name", F.lit(" near here"))).otherwise(F.concat(F.lit("close "), "p_name"))
     m = c.match_recipes(table(spark, sf_dir, "part").select("p_partkey", said.alias("text")), recipes(spark, sf_dir), key="p_partkey")
     return m.select("p_partkey", "recipe_id", F.element_at(F.col("slots"), F.lit("what")).alias("what"), F.element_at(F.col("slots"), F.lit("place")).alias("place"))
 
@@ -109,7 +112,7 @@ def f09_interpolate(spark, sf_dir):
 
 @query("SELECT p_partkey::VARCHAR AS id, CASE WHEN p_partkey % 3 = 0 THEN 'learned' ELSE 'builtin' END AS source FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0")
 def f10_resolve_recipe_set(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", _K.cast("string").alias("id"))
+    p = table(spark, sf_dir, "part").select("p_partkey", _k().cast("string").alias("id"))
     return c.resolve_recipe_set(p.where("p_partkey % 2 = 0").select("id", F.lit("builtin").alias("source")), p.where("p_partkey % 3 = 0").select("id", F.lit("learned").alias("source")))
 
 
@@ -133,15 +136,15 @@ def f12_refused_recipes(spark, sf_dir):
 
 @query("SELECT p_partkey, p_partkey % 3 <> 1 AS ok FROM part")
 def f13_typed_text_ok(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", c.typed_text_ok(F.when(_K % 3 == 0, "{{a}} {{b}}").when(_K % 3 == 1, "my password").otherwise("hello")).alias("ok"))
+    return table(spark, sf_dir, "part").select("p_partkey", c.typed_text_ok(F.when(_k() % 3 == 0, "{{a}} {{b}}").when(_k() % 3 == 1, "my password").otherwise("hello")).alias("ok"))
 
 
 @query("""SELECT p_partkey AS run_id, p_partkey % 4 < 2 AS ok, CASE p_partkey % 4 WHEN 2 THEN 'a click had no label to match on later' WHEN 3 THEN 'typed text contains a credential' END AS reason, CASE p_partkey % 4 WHEN 0 THEN 'message {text}' WHEN 1 THEN 'press {target} now' END AS pattern FROM part WHERE contains(p_name, ' ')""")
 def f14_record_recipes(spark, sf_dir):
-    p, k = table(spark, sf_dir, "part").where(F.col("p_name").contains(" ")), _K % 4
-    runs = p.select(_K.alias("run_id"), F.when(k == 0, F.concat(F.lit("message "), "p_name")).when(k == 1, F.concat(F.lit("press "), "p_name", F.lit(" now."))).otherwise("go on").alias("utterance"))
-    a = p.select(_K.alias("run_id"), F.lit(1).alias("pos"), F.when(k == 0, "type").when(k < 3, "click").otherwise("type").alias("kind"), F.lit(None).cast("string").alias("app"), F.when(k == 1, F.upper("p_name")).when(k == 0, "Message box").alias("label"), F.when(k == 0, F.col("p_name")).when(k == 3, "my secret").alias("text"), F.lit(None).cast("array<string>").alias("keys"))
-    launch = p.select(_K.alias("run_id"), F.lit(0).alias("pos"), F.lit("launch").alias("kind"), F.lit("mail").alias("app"), *(F.lit(None).cast(t).alias(x) for x, t in (("label", "string"), ("text", "string"), ("keys", "array<string>"))))
+    p, k = table(spark, sf_dir, "part").where(F.col("p_name").contains(" ")), _k() % 4
+    runs = p.select(_k().alias("run_id"), F.when(k == 0, F.concat(F.lit("message "), "p_name")).when(k == 1, F.concat(F.lit("press "), "p_name", F.lit(" now."))).otherwise("go on").alias("utterance"))
+    a = p.select(_k().alias("run_id"), F.lit(1).alias("pos"), F.when(k == 0, "type").when(k < 3, "click").otherwise("type").alias("kind"), F.lit(None).cast("string").alias("app"), F.when(k == 1, F.upper("p_name")).when(k == 0, "Message box").alias("label"), F.when(k == 0, F.col("p_name")).when(k == 3, "my secret").alias("text"), F.lit(None).cast("array<string>").alias("keys"))
+    launch = p.select(_k().alias("run_id"), F.lit(0).alias("pos"), F.lit("launch").alias("kind"), F.lit("mail").alias("app"), *(F.lit(None).cast(t).alias(x) for x, t in (("label", "string"), ("text", "string"), ("keys", "array<string>"))))
     return c.record_recipes(a.unionAll(launch), runs).select("run_id", "ok", "reason", "pattern")
 
 
@@ -153,7 +156,7 @@ def f15_recipe_stats(spark, sf_dir):
 
 @query("SELECT p_partkey, p_partkey % 3 <> 0 AS ok FROM part")
 def f16_label_matches(spark, sf_dir):
-    wanted = F.when(_K % 3 == 0, F.concat(F.col("p_name"), F.lit("x"))).otherwise(F.upper("p_name"))
+    wanted = F.when(_k() % 3 == 0, F.concat(F.col("p_name"), F.lit("x"))).otherwise(F.upper("p_name"))
     return table(spark, sf_dir, "part").select("p_partkey", c.label_matches(F.concat(F.lit("The: "), "p_name", F.lit("!")), wanted).alias("ok"))
 
 
@@ -178,7 +181,7 @@ def f17_resolve_selectors(spark, sf_dir):
 @query("SELECT p_partkey, p_partkey % 3 <> 2 AS ok FROM part WHERE contains(p_name, ' ')")
 def f18_title_matches(spark, sf_dir):
     w = F.split("p_name", " ")
-    q = F.when(_K % 3 == 0, F.upper("p_name")).when(_K % 3 == 1, F.concat_ws(" ", F.get(w, F.lit(0)), F.element_at(w, -1))).otherwise(F.concat("p_name", F.lit(" zz")))
+    q = F.when(_k() % 3 == 0, F.upper("p_name")).when(_k() % 3 == 1, F.concat_ws(" ", F.get(w, F.lit(0)), F.element_at(w, -1))).otherwise(F.concat("p_name", F.lit(" zz")))
     return table(spark, sf_dir, "part").where(F.col("p_name").contains(" ")).select("p_partkey", c.title_matches(F.concat(F.lit("My "), "p_name", F.lit(" (live)")), q).alias("ok"))
 
 
@@ -194,7 +197,7 @@ b AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY tier, length(name), n
 SELECT q.k AS query_id, CASE WHEN query = 'task manager' THEN 'taskmgr' ELSE name END AS match, CASE WHEN query = 'task manager' THEN 'alias' ELSE list_extract(['exact', 'prefix', 'contains'], tier + 1) END AS tier FROM q LEFT JOIN b ON b.k = q.k AND r = 1""".replace(" WHERE p_partkey < 400", ""))
 def f20_match_app_names(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    q = p.select(_K.alias("query_id"), F.when(_K % 4 == 3, "task manager").otherwise(F.substring(F.col("p_name"), F.lit(1), (4 + _K % 9).cast("int"))).alias("query"))
+    q = p.select(_k().alias("query_id"), F.when(_k() % 4 == 3, "task manager").otherwise(F.substring(F.col("p_name"), F.lit(1), (4 + _k() % 9).cast("int"))).alias("query"))
     return c.match_app_names(q, p.select(F.col("p_name").alias("name")).distinct())
 
 

@@ -18,8 +18,14 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df):
+    """Deal rows out where the files give fewer partitions than there are cores (one small file); never at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
 
 
 def _apply(f):
@@ -81,19 +87,29 @@ def _said(name, build, f, sql, source="orders"):
     _named(name, run, f"SELECT {key}, {sql} AS written FROM {source}")
 
 
-_K, _PRICE = F.col("o_orderkey"), F.col("o_totalprice")
+
+
+def _k():
+    return F.col("o_orderkey")
+
+
 _N = "(o_orderkey * 7919 % 1000000)"
-_said("a09_spoken_punctuation", lambda: F.concat(F.lit("order "), _K.cast("string"), F.lit(" comma ship it to dock "), (_K % 9).cast("string"), F.lit(" period then call mail dot site"), (_K % 5).cast("string"), F.lit(" dot com exclamation mark new line done question mark write to x at sign y colon "), F.lit("a hyphen b")),
+_said("a09_spoken_punctuation", lambda: F.concat(F.lit("order "), _k().cast("string"), F.lit(" comma ship it to dock "), (_k() % 9).cast("string"), F.lit(" period then call mail dot site"), (_k() % 5).cast("string"), F.lit(" dot com exclamation mark new line done question mark write to x at sign y colon "), F.lit("a hyphen b")),
       spoken.spoken_punctuation, "'order ' || o_orderkey || ', ship it to dock ' || (o_orderkey % 9) || '. Then call mail.site' || (o_orderkey % 5) || '.com' || chr(10) || 'Done? Write to x@y: a-b'")
-_said("a10_itn_punctuation", lambda: F.concat(F.lit("item open paren "), _K.cast("string"), F.lit(" close paren comma he said open quote go close quote full stop new paragraph. next dash "), (_K % 7).cast("string"), F.lit(" semi colon end exclamation point")),
+_said("a10_itn_punctuation", lambda: F.concat(F.lit("item open paren "), _k().cast("string"), F.lit(" close paren comma he said open quote go close quote full stop new paragraph. next dash "), (_k() % 7).cast("string"), F.lit(" semi colon end exclamation point")),
       text.itn_punctuation, "'item (' || o_orderkey || '), he said \"go\".' || chr(10) || chr(10) || 'next - ' || (o_orderkey % 7) || '; end!'")
-_said("a11_number_words", lambda: sf_.words(_K * 7919 % 1000000), spoken.number_words_to_int, f"{_N}::BIGINT")
-_said("a12_itn_currency", lambda: F.concat(F.lit("pay "), sf_.words(_PRICE.cast("long") % 1000), F.when(_K % 3 == 0, " euros").when(_K % 3 == 1, " dollars").otherwise(" pounds"), F.when(_K % 2 == 0, F.concat(F.lit(" and "), sf_.words(_K % 99 + 1), F.when(_K % 3 == 2, " pence").otherwise(" cents"))).otherwise(""), F.lit(" now")),
+_said("a11_number_words", lambda: sf_.words(_k() * 7919 % 1000000), spoken.number_words_to_int, f"{_N}::BIGINT")
+_said("a12_itn_currency", lambda: F.concat(F.lit("pay "), sf_.words(F.col("o_totalprice").cast("long") % 1000), F.when(_k() % 3 == 0, " euros").when(_k() % 3 == 1, " dollars").otherwise(" pounds"), F.when(_k() % 2 == 0, F.concat(F.lit(" and "), sf_.words(_k() % 99 + 1), F.when(_k() % 3 == 2, " pence").otherwise(" cents"))).otherwise(""), F.lit(" now")),
       spoken.itn_currency, "'pay ' || CASE o_orderkey % 3 WHEN 0 THEN '€' WHEN 1 THEN '$' ELSE '£' END || (trunc(o_totalprice)::BIGINT % 1000) || CASE WHEN o_orderkey % 2 = 0 THEN '.' || lpad((o_orderkey % 99 + 1)::VARCHAR, 2, '0') ELSE '' END || ' now'")
-_said("a13_itn_times", lambda: F.concat(F.lit("at "), sf_.words(_K % 12 + 1), F.when(_K % 4 == 0, " thirty").when(_K % 4 == 1, " fifteen").when(_K % 4 == 2, " forty five").otherwise(""), F.when(_K % 2 == 0, " pm").otherwise(" a.m.")),
+_said("a13_itn_times", lambda: F.concat(F.lit("at "), sf_.words(_k() % 12 + 1), F.when(_k() % 4 == 0, " thirty").when(_k() % 4 == 1, " fifteen").when(_k() % 4 == 2, " forty five").otherwise(""), F.when(_k() % 2 == 0, " pm").otherwise(" a.m.")),
       spoken.itn_times, "'at ' || (o_orderkey % 12 + 1) || CASE o_orderkey % 4 WHEN 0 THEN ':30' WHEN 1 THEN ':15' WHEN 2 THEN ':45' ELSE '' END || CASE WHEN o_orderkey % 2 = 0 THEN ' PM' ELSE ' AM' END || CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE '' END")
-_DAY = F.dayofmonth("o_orderdate")
-_said("a14_itn_dates", lambda: F.when(_K % 2 == 0, F.concat(F.lit("on "), F.lower(F.date_format("o_orderdate", "MMMM")), F.lit(" "), sf_.ordinal(_DAY))).otherwise(F.concat(F.lit("on the "), sf_.ordinal(_DAY), F.lit(" of "), F.date_format("o_orderdate", "MMMM"))),
+
+
+def _day():
+    return F.dayofmonth("o_orderdate")
+
+
+_said("a14_itn_dates", lambda: F.when(_k() % 2 == 0, F.concat(F.lit("on "), F.lower(F.date_format("o_orderdate", "MMMM")), F.lit(" "), sf_.ordinal(_day()))).otherwise(F.concat(F.lit("on the "), sf_.ordinal(_day()), F.lit(" of "), F.date_format("o_orderdate", "MMMM"))),
       spoken.itn_dates, "'on ' || strftime(o_orderdate, '%B') || ' ' || day(o_orderdate)")
 _ORD_SQL = "n || CASE WHEN n % 100 IN (11, 12, 13) THEN 'th' WHEN n % 10 = 1 THEN 'st' WHEN n % 10 = 2 THEN 'nd' WHEN n % 10 = 3 THEN 'rd' ELSE 'th' END"
 
@@ -105,11 +121,11 @@ def a15_itn_ordinals(spark, sf_dir):
     return p.select("p_partkey", spoken.itn_ordinals(said).alias("written"))
 
 
-_said("a16_itn_cardinals", lambda: F.concat(F.lit("we counted "), sf_.words(_K * 7919 % 1000000), F.lit(" of them")), spoken.itn_cardinals,
+_said("a16_itn_cardinals", lambda: F.concat(F.lit("we counted "), sf_.words(_k() * 7919 % 1000000), F.lit(" of them")), spoken.itn_cardinals,
       "'we counted ' || CASE WHEN n < 10 THEN list_extract(['zero','one','two','three','four','five','six','seven','eight','nine'], n + 1) ELSE n::VARCHAR END || ' of them'".replace("n + 1", f"({_N} + 1)::INT").replace("n < 10", f"{_N} < 10").replace("n::VARCHAR", f"{_N}::VARCHAR"))
-_said("a17_group_digits", lambda: F.concat(F.lit("a $"), (_K * 7919).cast("string"), F.lit(" b "), (_K * 104729).cast("string"), F.lit(" c 1.5000000 d "), (_K % 90000).cast("string")), spoken.group_digits,
+_said("a17_group_digits", lambda: F.concat(F.lit("a $"), (_k() * 7919).cast("string"), F.lit(" b "), (_k() * 104729).cast("string"), F.lit(" c 1.5000000 d "), (_k() % 90000).cast("string")), spoken.group_digits,
       "'a $' || CASE WHEN o_orderkey * 7919 > 999 THEN format('{:,}', o_orderkey * 7919) ELSE (o_orderkey * 7919)::VARCHAR END || ' b ' || CASE WHEN o_orderkey * 104729 > 99999 THEN format('{:,}', o_orderkey * 104729) ELSE (o_orderkey * 104729)::VARCHAR END || ' c 1.5000000 d ' || (o_orderkey % 90000)")
-_said("a18_apply_itn", lambda: F.concat(F.lit("send "), sf_.words(F.lit(1000) + _K * 7919 % 999000), F.lit(" dollars by "), sf_.words(_K % 12 + 1), F.lit(" thirty pm on "), F.lower(F.date_format("o_orderdate", "MMMM")), F.lit(" "), sf_.ordinal(_DAY), F.lit(" for "), sf_.words(_K % 90 + 10), F.lit(" people")), spoken.apply_itn,
+_said("a18_apply_itn", lambda: F.concat(F.lit("send "), sf_.words(F.lit(1000) + _k() * 7919 % 999000), F.lit(" dollars by "), sf_.words(_k() % 12 + 1), F.lit(" thirty pm on "), F.lower(F.date_format("o_orderdate", "MMMM")), F.lit(" "), sf_.ordinal(_day()), F.lit(" for "), sf_.words(_k() % 90 + 10), F.lit(" people")), spoken.apply_itn,
       "'send $' || format('{:,}', 1000 + o_orderkey * 7919 % 999000) || ' by ' || (o_orderkey % 12 + 1) || ':30 PM on ' || strftime(o_orderdate, '%B') || ' ' || day(o_orderdate) || ' for ' || (o_orderkey % 90 + 10) || ' people'")
 
 
@@ -121,7 +137,7 @@ def a19_has_speech(spark, sf_dir):
 
 @query("SELECT o_orderkey, 'Pay $' || (o_orderkey % 900 + 100) || ', then ship ' || (o_orderkey % 90 + 10) || ' boxes. Done' AS text FROM orders WHERE o_orderkey % 4 <> 3")
 def a20_postprocess(spark, sf_dir):
-    said = F.when(_K % 4 == 3, " ... ").otherwise(F.concat(F.lit("um, pay pay "), F.lit("the the ").substr(1, 0), sf_.words(_K % 900 + 100), F.lit(" dollars comma then uh ship "), sf_.words(_K % 90 + 10), F.lit(" boxes period done")))
+    said = F.when(_k() % 4 == 3, " ... ").otherwise(F.concat(F.lit("um, pay pay "), F.lit("the the ").substr(1, 0), sf_.words(_k() % 900 + 100), F.lit(" dollars comma then uh ship "), sf_.words(_k() % 90 + 10), F.lit(" boxes period done")))
     said = F.regexp_replace(said, "pay pay", "pay")
     return postprocess(_orders(spark, sf_dir).select("o_orderkey", said.alias("text")), spoken=True)
 
