@@ -9,7 +9,7 @@ from .bpe import decode, encode
 from .common import fresh_path
 from .html_text import extract_text
 from .jaccard_join import jaccard_classes
-from .line_dedup import dedup_lines
+from .line_dedup import SHINGLES, dedup_lines
 from .mixing import mix_sources
 from .quality import quality_scores
 from .search import search
@@ -59,7 +59,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the lines that stay, and the numbers of those that left."""
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return dedup_lines(docs, counts=True)
+    return dedup_lines(docs, counts=True, shingles=SHINGLES)
 
 
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
