@@ -91,3 +91,18 @@ def test_op3_edges_and_selective_reads(spark):
     empty = fresh_path(spark, "tokens")
     token_output.write_tokens(docs.limit(0), empty, public_tokenizers.path("byte_bpe_50k.json"), 2)
     assert token_output.token_index(spark, empty).count() == 0
+
+
+def test_op3_added_tokens_as_the_library_by_default(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}", f"x{end}\n{end} y\n", "none", "", None, f"  {end}  ", "<|endoftext| >", f"caf\u00e9{end}it's 12{end}"]
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    expected = {i: [*plain.encode(x or "", add_special_tokens=False).ids, 2] for i, x in enumerate(texts)}
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.op3_token_output(spark, str(tmp_path)).collect()}
+    start = 0
+    for i, ids in expected.items():
+        assert got[i] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)

@@ -13,6 +13,7 @@ columns of the input are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -83,13 +84,50 @@ def _coder(path: str) -> UnitCoder:
     return _held[path]
 
 
-def write_tokens(docs: DataFrame, out_path: str, tokenizer_path: str, end_id: int) -> None:
-    """Encode doc_id, text to Parquet files in ascending doc_id order."""
+def _added(path: str) -> tuple[re.Pattern | None, dict[bytes, int]]:
+    """A pattern of the tokenizer's added tokens (of several at a place the longest), and their ids."""
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path).get_added_tokens_decoder()
+    if odd := [t.content for t in found.values() if t.lstrip or t.rstrip or t.single_word or t.normalized]:
+        raise ValueError(f"added tokens that are more than their literal: {odd}")
+    ids = {t.content.encode(): i for i, t in found.items()}
+    return re.compile(b"(" + b"|".join(re.escape(x) for x in sorted(ids, key=len, reverse=True)) + b")") if ids else None, ids
+
+
+def _encode_with_added(coder: UnitCoder, texts: list[bytes], pattern: re.Pattern, added: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """As coder.encode, but texts are cut at added tokens, which have ids of their own."""
+    parts: list[bytes] = []
+    marks, ids, last = [], [], []  # parts before each added token, its id, parts up to each text's end
+    for t in texts:
+        cut = pattern.split(t)
+        for i, x in enumerate(cut):
+            if i % 2:
+                marks.append(len(parts))
+                ids.append(added[x])
+            else:
+                parts.append(x)
+        last.append(len(parts))
+    flat, offsets = coder.encode(parts)
+    ends = offsets[np.array(last, np.int64)] + np.searchsorted(np.array(marks, np.int64), last)
+    flat = np.insert(flat, offsets[np.array(marks, np.int64)], np.array(ids, np.int32))
+    return flat, np.concatenate(([0], ends))
+
+
+def write_tokens(docs: DataFrame, out_path: str, tokenizer_path: str, end_id: int, added_tokens: bool = False) -> None:
+    """Encode doc_id, text to Parquet files in ascending doc_id order.
+
+    added_tokens: literals of the tokenizer's added tokens get their ids, as the library
+    does by default; else special ones are encoded as any other text (its switch
+    encode_special_tokens).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(tokenizer_path)
+        pattern, added = _added(tokenizer_path) if added_tokens else (None, {})
         for batch in steps(batches, size=UNIT_STEP):
-            flat, offsets = coder.encode(text_bytes(batch))
+            texts = text_bytes(batch)
+            flat, offsets = _encode_with_added(coder, texts, pattern, added) if pattern else coder.encode(texts)
             flat = np.insert(flat, offsets[1:], end_id)
             offsets = offsets + np.arange(len(offsets))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), list_column(flat, offsets)], ["doc_id", "n_tokens", "ids"])
