@@ -69,3 +69,24 @@ def test_odd_pages(spark):
     got = {r.page_id: r.text for r in html_text.extract_text(df).collect()}
     assert got[1] == got[2] == "" and got[3] == "deep" and got[4] == "inline" and got[5] == "t" and len(got[6]) == 300_000
     assert html_text.extract_text(df.limit(0)).count() == 0
+
+
+TABLE_CASES = [
+    ("<table><tr><form><td>a</td><td>b</td></form></tr></table>", "a  b"),
+    ("<table><tr><a href=x><td>a</td></a><td>b</td></tr></table>", "a  b"),
+    ("<table><tr><div>text</div><td>a</td></tr></table>", "text\na"),
+    ("<table><tr>text<td>a</td></tr></table>", "text\na"),
+    ("<table><tbody><form><tr><td>a</td></tr></form>more</tbody></table>", "more\na"),
+    ("<table><thead><p>p</p><tr><td>a</td></tr></thead></table>", "p\na"),
+    ("<table><form><tr><td>a<td>b</tr></form></table>", "a  b"),
+    ("<table><colgroup><col><col><tr><td>a</td></tr></table>", "a"),
+    ("<table><colgroup><col><tbody><tr><td>a<td>b</table>", "a  b"),
+    ("<table><colgroup>text<col></colgroup><tr><td>a</table>", "text\na"),
+    ("<table><tr hidden><td>no</td></tr><tr><div><table><tr><td>in</table></div><td>a</table>", "in\na"),
+    ("<table><tr>x<b>y</b>z<td>a</table>", "x\ny\nz\na"),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), TABLE_CASES)
+def test_table_text_outside_of_cells_is_kept(html, text):
+    assert html_text.render_text(html) == text

@@ -4,7 +4,8 @@ A tokenizer feeds a tree builder, which knows void elements, implied end tags an
 implied table rows; the renderer leaves out what a browser doesn't show and lays the
 rest out as text: paragraphs and other spaced blocks are set off by blank lines, list
 items have markers and are indented by depth, cells of a table are aligned in columns,
-preformatted text keeps its white space.
+preformatted text keeps its white space.  What a table holds outside of its cells stands
+before it.
 
 Defined results: null or empty html gives an empty text; unclosed, misplaced or unknown
 tags never fail; elements nested deeper than `MAX_DEPTH` count as children of the one
@@ -114,6 +115,8 @@ def parse(html: str) -> Node:
             close(*CLOSES[tag])
         if tag in _PARAGRAPH_ENDS:
             close({"p"}, {"td", "th", "table", "li", "button", "body"})
+        if stack[-1].tag == "colgroup" and tag not in ("col", "template"):
+            stack.pop()
         if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             push("tr", "")
         if tag in RAW:
@@ -150,24 +153,72 @@ class _Page:
         return self.lines
 
 
-def _cells(node: Node, rows: list[list[Node]]) -> None:
+def _cells(node: Node, rows: list[list[Node]], around: list[Node]) -> None:
+    """Rows of a table or section; what is neither row, section nor cell goes to around.
+
+    Cells inside of other elements of a row are cells of that row, rows inside of other
+    elements of a section are rows, and so on with the rest of these elements.
+    """
     for c in node.children:
-        if isinstance(c, Node) and c.shown():
-            if c.tag == "tr":
-                rows.append([x for x in c.children if isinstance(x, Node) and x.tag in ("td", "th") and x.shown()])
-            elif c.tag in ("tbody", "thead", "tfoot"):
-                _cells(c, rows)
+        if isinstance(c, str):
+            if c.strip():
+                _aside(c, around)
+        elif not c.shown() or c.tag == "col":
+            continue
+        elif c.tag == "tr":
+            rows.append([])
+            _row(c, rows[-1], around)
+        elif c.tag in ("td", "th"):
+            rows.append([c])
+        elif c.tag in ("tbody", "thead", "tfoot", "colgroup") or _holds(c, ("tr", "td", "th")):
+            _cells(c, rows, around)
+        else:
+            _aside(c, around)
+
+
+def _row(node: Node, row: list[Node], around: list[Node]) -> None:
+    for c in node.children:
+        if isinstance(c, str):
+            if c.strip():
+                _aside(c, around)
+        elif not c.shown():
+            continue
+        elif c.tag in ("td", "th"):
+            row.append(c)
+        elif _holds(c, ("td", "th")):
+            _row(c, row, around)
+        else:
+            _aside(c, around)
+
+
+def _aside(c: Node | str, around: list[Node]) -> None:
+    block = Node("div")
+    block.children.append(c)
+    around.append(block)
+
+
+def _holds(node: Node, tags: tuple[str, ...]) -> bool:
+    """Whether an element of these tags is inside, but not in a table or list of its own."""
+    todo = [node]
+    while todo:
+        n = todo.pop()
+        if n.tag in ("table", "ul", "ol", "pre") or not n.shown():
+            continue
+        for c in n.children:
+            if isinstance(c, Node):
+                if c.tag in tags:
+                    return True
+                todo.append(c)
+    return False
 
 
 def _table(node: Node) -> list[str | None]:
     out: list[str | None] = []
-    for c in node.children:  # what isn't in a row stands before the table
-        if isinstance(c, Node) and c.shown() and c.tag not in ("tr", "tbody", "thead", "tfoot", "colgroup", "col"):
-            out += _render(c, 0)
-        elif isinstance(c, str) and c.strip():
-            out.append(_SPACE.sub(" ", c).strip(" "))
     rows: list[list[Node]] = []
-    _cells(node, rows)
+    around: list[Node] = []
+    _cells(node, rows, around)
+    for c in around:  # what isn't in a cell stands before the table
+        out += _render(c, 0)
     grid = [[[x for x in _render(c, 0) if x is not None] for c in r] for r in rows]
     width = [0] * max((len(r) for r in grid), default=0)
     for r in grid:
