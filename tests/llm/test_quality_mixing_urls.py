@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 
@@ -103,3 +104,15 @@ def test_url_trees_on_held_out_rows(spark):
     scored = model.predict(labelled.where("held")).withColumn("ok", F.col("unwanted") == (F.col("label") == 1.0))
     assert scored.agg(F.avg(F.col("ok").cast("int"))).first()[0] > 0.98
     assert scored.where("label = 1").agg(F.avg(F.col("ok").cast("int"))).first()[0] > 0.8
+
+
+def test_suffix_statistics_count_all_labelled_rows(spark):
+    rows = [(f"http://h{i}.s{i % 7}.net/{i}", float(i % 3 == 0)) for i in range(120)] + [("http://h0.s0.net/0", 1.0)] * 4 + [(None, 0.0)]
+    model = url_filter.UrlModel(spark.createDataFrame(rows, "url string, label double"), max_train_rows=4)
+    got = {r.suffix: (r.suffix_rate, r.suffix_log_n) for r in model.suffixes.collect()}
+    expected = {}
+    for url, label in rows:
+        expected.setdefault(url.split("/")[2].split(".", 1)[1] if url else "", []).append(label)
+    assert got == {k: (pytest.approx((sum(v) + 1) / (len(v) + 2)), pytest.approx(math.log(1 + len(v)))) for k, v in expected.items()}
+    scored = model.predict(spark.createDataFrame([(r[0],) for r in rows], "url string"))
+    assert scored.count() == len(rows)

@@ -2,8 +2,9 @@
 
 A url's verdict is that of the longest rule that fits, else the trees'.  The features
 are lengths, depth, digit ratio, entropy, parameter counts and suffix statistics; the
-trees and the suffix statistics are fitted on a bounded sample of labelled urls
-(`max_train_rows` a class, those with the smallest url hashes), scoring is JVM-side.
+suffix statistics are counted over all labelled rows, the trees alone are fitted on a
+bounded sample of them (`max_train_rows` urls a class, those with the smallest url
+hashes), scoring is JVM-side.
 
 Defined results: a null url, or one without "://", has an empty host and path, no rule
 and the trees' verdict on all-zero features; without labelled rows of both classes
@@ -74,12 +75,12 @@ def seed_labels(urls: DataFrame, terms: tuple[str, ...] = SEED_TERMS, url: str =
 
 
 class UrlModel:
-    """Fitted trees with the suffix statistics (at most two rows a training row)."""
+    """Fitted trees with the suffix statistics (a row a suffix)."""
 
     def __init__(self, labelled: DataFrame, max_train_rows: int = 5000, max_iter: int = 10, max_depth: int = 3):
         by_hash = lambda k: labelled.where(F.col("label") == k).dropDuplicates(["url"]).orderBy(F.xxhash64("url"), "url").limit(max_train_rows)
         train = materialize(with_features(by_hash(1.0).unionAll(by_hash(0.0))), "url-train")
-        self.suffixes = materialize(train.groupBy("suffix").agg(((F.sum("label") + 1.0) / (F.count("*") + 2.0)).alias("suffix_rate"), F.log(1.0 + F.count("*")).alias("suffix_log_n")), "url-suffixes")
+        self.suffixes = materialize(labelled.where("label in (0, 1)").select(suffix_of(host_of(F.col("url"))).alias("suffix"), "label").groupBy("suffix").agg(((F.sum("label") + 1.0) / (F.count("*") + 2.0)).alias("suffix_rate"), F.log(1.0 + F.count("*")).alias("suffix_log_n")), "url-suffixes")
         self.assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
         self.trees = None
         if train.select("label").distinct().count() == 2:
@@ -88,7 +89,8 @@ class UrlModel:
             self.trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=max_iter, maxDepth=max_depth, seed=7).fit(rows)
 
     def _vectors(self, rows: DataFrame) -> DataFrame:
-        held = rows.join(F.broadcast(self.suffixes), "suffix", "left").fillna({"suffix_rate": 0.5, "suffix_log_n": 0.0})
+        # no hint: there may be many suffixes; Spark broadcasts a small table, and splits large keys of a large one
+        held = rows.join(self.suffixes, "suffix", "left").fillna({"suffix_rate": 0.5, "suffix_log_n": 0.0})
         return self.assembler.transform(held)
 
     def predict(self, urls: DataFrame, url: str = "url") -> DataFrame:
