@@ -73,7 +73,7 @@ def mix_sources(docs: DataFrame, targets: Mapping[str | None, float] | None = No
         joined = docs.join(F.broadcast(rates), docs[source].eqNullSafe(F.col("_mix_source")))
     else:
         salted = docs.withColumn("_mix_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
-        many = rates.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        many = rates.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         joined = salted.join(many, salted[source].eqNullSafe(many["_mix_source"]) & (salted["_mix_salt"] == many["_mix_salt"])).drop(many["_mix_salt"])
     ident = F.coalesce(F.col(key).cast("string"), F.lit(""))
     u = uniform(F.concat_ws(":", ident, F.lit(seed)))
