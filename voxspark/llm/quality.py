@@ -1,10 +1,12 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule reads one or two feature groups and rejects rows.  On a bounded sample the
-cascade measures what a group costs and what share of rows each rule rejects, and then
-runs the rules in order of rejection per cost; a row that one rule rejects is not shown
-to the rules (and feature groups) after it.  The verdict is the conjunction of all
-rules, so the order changes the cost only, never the result.
+Each rule reads one or two feature groups and rejects rows.  On a bounded sample (rows
+spread over the first batch of every partition) the cascade measures what a group costs a
+row and which rules reject a row together, and then takes, again and again, the rule that
+rejects most of the rows still left for the cost of the groups that no rule before it
+has.  A row that one rule rejects is not shown to the rules (and feature groups) after it.
+The verdict is the conjunction of all rules, so the order changes the cost only, never
+the result.
 
 Words are runs of characters other than space and \\t..\\r.  Rules, all in integers:
 
@@ -56,28 +58,37 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _words(texts: list[bytes]) -> Features:
-    out = {k: np.zeros(len(texts), np.int64) for k in ("n_words", "word_chars", "n_letter_words")}
+    out = {k: np.zeros(len(texts), np.int64) for k in ("n_words", "word_chars")}
     for lo, hi in chunks(texts):
         data, ends = _joined(texts[lo:hi])
         word = ~_SPACE[data]
-        edge = np.flatnonzero(np.diff(np.concatenate(([False], word)).astype(np.int8)))
-        start, end = edge[0::2], edge[1::2]
-        first = np.concatenate(([0], np.searchsorted(start, ends)))
-        letters = np.concatenate(([0], np.cumsum(_LETTER[data], dtype=np.int64)))
-        with_letter = np.concatenate(([0], np.cumsum(letters[end] > letters[start], dtype=np.int64)))
-        out["n_words"][lo:hi] = np.diff(first)
+        starts = word & ~np.concatenate(([False], word[:-1]))
+        out["n_words"][lo:hi] = _per_text(starts, ends)
         out["word_chars"][lo:hi] = _per_text(_CODE_POINT[data], ends)
-        out["n_letter_words"][lo:hi] = np.diff(with_letter[first])
     return out
 
 
-def _symbols(texts: list[bytes]) -> Features:
-    out = {k: np.zeros(len(texts), np.int64) for k in ("n_symbols", "n_upper")}
+def _letters(texts: list[bytes]) -> Features:
+    out = np.zeros(len(texts), np.int64)
     for lo, hi in chunks(texts):
         data, ends = _joined(texts[lo:hi])
-        out["n_symbols"][lo:hi] = _per_text(_SYMBOL[data], ends)
-        out["n_upper"][lo:hi] = _per_text(_UPPER[data], ends)
-    return out
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], ~_SPACE[data])).astype(np.int8)))
+        start, end = edge[0::2], edge[1::2]
+        letters = np.concatenate(([0], np.cumsum(_LETTER[data], dtype=np.int64)))
+        with_letter = np.concatenate(([0], np.cumsum(letters[end] > letters[start], dtype=np.int64)))
+        out[lo:hi] = np.diff(with_letter[np.concatenate(([0], np.searchsorted(start, ends)))])
+    return {"n_letter_words": out}
+
+
+def _characters(name: str, flag: np.ndarray) -> Callable[[list[bytes]], Features]:
+    def count(texts: list[bytes]) -> Features:
+        out = np.zeros(len(texts), np.int64)
+        for lo, hi in chunks(texts):
+            data, ends = _joined(texts[lo:hi])
+            out[lo:hi] = _per_text(flag[data], ends)
+        return {name: out}
+
+    return count
 
 
 def _lines(texts: list[bytes]) -> Features:
@@ -104,7 +115,10 @@ def _repeats(texts: list[bytes]) -> Features:
     return {"n_repeat_words": out}
 
 
-GROUPS: dict[str, Callable[[list[bytes]], Features]] = {"words": _words, "symbols": _symbols, "lines": _lines, "repeats": _repeats}
+GROUPS: dict[str, Callable[[list[bytes]], Features]] = {
+    "words": _words, "symbols": _characters("n_symbols", _SYMBOL), "lines": _lines, "repeats": _repeats, "letters": _letters, "upper": _characters("n_upper", _UPPER)}
+#: The groups of the base counts, which quality_scores has of every row.
+BASE_GROUPS = ("words", "symbols", "lines", "repeats")
 
 
 @dataclass(frozen=True)
@@ -123,9 +137,9 @@ BASE_RULES = (
 METHOD_RULES = (
     Rule("symbols", ("words", "symbols"), lambda f: 10 * f["n_symbols"] > f["n_words"]),
     Rule("word_length", ("words",), lambda f: (f["word_chars"] < 3 * f["n_words"]) | (f["word_chars"] > 12 * f["n_words"])),
-    Rule("no_letters", ("words",), lambda f: 100 * f["n_letter_words"] < 70 * f["n_words"]),
+    Rule("no_letters", ("words", "letters"), lambda f: 100 * f["n_letter_words"] < 70 * f["n_words"]),
     Rule("repeated_lines", ("lines",), lambda f: 100 * f["n_dup_lines"] > 40 * f["n_lines"]),
-    Rule("shouting", ("words", "symbols"), lambda f: 100 * f["n_upper"] > 40 * f["word_chars"]),
+    Rule("shouting", ("words", "upper"), lambda f: 100 * f["n_upper"] > 40 * f["word_chars"]),
 )
 RULES = (*BASE_RULES, *METHOD_RULES)
 
@@ -150,41 +164,64 @@ class _Rows:
         return out
 
 
-def _passes(rows: _Rows, rules: tuple[Rule, ...]) -> np.ndarray:
-    alive = np.arange(len(rows.texts))
+def _passes(rows: _Rows, rules: tuple[Rule, ...], alive: np.ndarray, seen: list[int] | None = None) -> np.ndarray:
+    """Of the rows in alive those that all rules keep; seen gets how many rows each rule was shown."""
     for rule in rules:
-        if not len(alive):
-            break
-        alive = alive[~rule.rejects(rows.features(rule.groups, alive))]
-    kept = np.zeros(len(rows.texts), bool)
-    kept[alive] = True
-    return kept
+        if seen is not None:
+            seen.append(len(alive))
+        if len(alive):
+            alive = alive[~rule.rejects(rows.features(rule.groups, alive))]
+    return alive
 
 
-def _measure(rules: tuple[Rule, ...]):
+_SAMPLED = "kind string, what long, rows long, seconds double"
+
+
+def _measure(rules: tuple[Rule, ...], most: int):
+    """Of up to `most` rows of a partition's first batch: rows by the rules that reject them (as bits), and seconds by group."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
-            texts = text_bytes(batch)
-            rows, cost = _Rows(texts), {}
-            for g in GROUPS:
-                began = time.perf_counter()
-                rows.features((g,), np.arange(len(texts)))
-                cost[g] = time.perf_counter() - began
-            every = np.arange(len(texts))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r.name for r in rules]), pa.array([sum(cost[g] for g in r.groups) for r in rules], pa.float64()),
-                 pa.array([int(r.rejects(rows.features(r.groups, every)).sum()) for r in rules], pa.int64())],
-                ["rule", "cost", "rejected"])
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            places = np.unique(np.linspace(0, batch.num_rows - 1, min(most, batch.num_rows)).astype(np.int64))
+            out = []
+            for part in steps([batch.take(pa.array(places))]):
+                rows, every = _Rows(text_bytes(part)), np.arange(part.num_rows)
+                for i, g in enumerate(GROUPS):
+                    began = time.perf_counter()
+                    rows.features((g,), every)
+                    out.append(("group", i, len(every), time.perf_counter() - began))
+                bits = sum((r.rejects(rows.features(r.groups, every)).astype(np.int64) << i for i, r in enumerate(rules)), np.zeros(len(every), np.int64))
+                out += [("rules", int(b), int(n), 0.0) for b, n in zip(*np.unique(bits, return_counts=True), strict=True)]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["kind", "what", "rows", "seconds"])
+            return
 
     return run
 
 
-def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> tuple[Rule, ...]:
-    """The rules in order of rejections per second on at most sample_rows rows."""
-    sample = docs.select("text").limit(sample_rows)
-    found = {r["rule"]: r["rejected"] / max(r["cost"], 1e-9) for r in
-             sample.mapInArrow(_measure(rules), "rule string, cost double, rejected long").groupBy("rule").agg(F.sum("cost").alias("cost"), F.sum("rejected").alias("rejected")).collect()}
-    return tuple(sorted(rules, key=lambda r: -found.get(r.name, 0.0)))
+def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, held: tuple[str, ...] = ()) -> tuple[Rule, ...]:
+    """The rules, each the one that rejects most of the rows left by those before it for the cost it adds.
+
+    sample_rows are dealt out over the partitions, one row of each at least; held names
+    groups that cost nothing, as they are there anyway.
+    """
+    texts = docs.select("text")
+    each = -(-sample_rows // max(1, texts.rdd.getNumPartitions()))
+    found = texts.mapInArrow(_measure(rules, each), _SAMPLED).groupBy("kind", "what").agg(F.sum("rows").alias("rows"), F.sum("seconds").alias("seconds")).collect()
+    names = list(GROUPS)
+    cost = {names[r["what"]]: r["seconds"] / max(1, r["rows"]) for r in found if r["kind"] == "group"}
+    alive = {r["what"]: r["rows"] for r in found if r["kind"] == "rules"}
+    left, ordered, have = list(enumerate(rules)), [], set(held)
+    while left:
+        gain = lambda x: sum(n for b, n in alive.items() if b >> x[0] & 1) / (1e-9 + sum(cost.get(g, 0.0) for g in x[1].groups if g not in have))
+        best = max(left, key=lambda x: (gain(x), -x[0]))
+        left.remove(best)
+        ordered.append(best[1])
+        have |= set(best[1].groups)
+        alive = {b: n for b, n in alive.items() if not b >> best[0] & 1}
+    return tuple(ordered)
 
 
 def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> DataFrame:
@@ -193,29 +230,39 @@ def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            yield batch.filter(pa.array(_passes(_Rows(text_bytes(batch)), ordered)))
+            kept = np.zeros(batch.num_rows, bool)
+            kept[_passes(_Rows(text_bytes(batch)), ordered, np.arange(batch.num_rows))] = True
+            yield batch.filter(pa.array(kept))
 
     return docs.mapInArrow(run, docs.schema)
 
 
+def cascade_counts(docs: DataFrame, ordered: tuple[Rule, ...]) -> DataFrame:
+    """place (from 0), rule, and seen: the rows that the rules before it left for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            seen: list[int] = []
+            _passes(_Rows(text_bytes(batch)), ordered, np.arange(batch.num_rows), seen)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(ordered)), pa.int64()), pa.array([r.name for r in ordered]), pa.array(seen, pa.int64())], ["place", "rule", "seen"])
+
+    return docs.select("text").mapInArrow(run, "place long, rule string, seen long").groupBy("place", "rule").agg(F.sum("seen").alias("seen"))
+
+
 _COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def quality_scores(docs: DataFrame, base: tuple[Rule, ...] = BASE_RULES, method: tuple[Rule, ...] = METHOD_RULES, sample_rows: int = 2000) -> DataFrame:
     """doc_id, the base counts of every row, base_failed, and the cascade's verdict."""
-    ordered = plan_cascade(docs, method, sample_rows)
+    ordered = plan_cascade(docs, method, sample_rows, held=BASE_GROUPS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             rows = _Rows(text_bytes(batch))
-            every = np.arange(batch.num_rows)
-            f = rows.features(tuple(GROUPS), every)
+            f = rows.features(BASE_GROUPS, np.arange(batch.num_rows))
             failed = np.any([r.rejects(f) for r in base], axis=0)
             kept = np.zeros(batch.num_rows, bool)
-            left = np.flatnonzero(~failed)
-            for rule in ordered:
-                left = left[~rule.rejects(rows.features(rule.groups, left))] if len(left) else left
-            kept[left] = True
+            kept[_passes(rows, ordered, np.flatnonzero(~failed))] = True
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(f[c]) for c in _COLUMNS), pa.array(failed), pa.array(kept)], ["doc_id", *_COLUMNS, "base_failed", "kept"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in _COLUMNS) + ", base_failed boolean, kept boolean")
