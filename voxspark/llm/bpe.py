@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import steps, text_bytes
-from .hashing import mix, prefix_hash
+from .hashing import unit_hashes
 
 #: Units whose ids a worker keeps from batch to batch.
 CACHE_UNITS = 800_000
@@ -111,10 +111,7 @@ class UnitCoder:
         data = np.frombuffer(raw, np.uint8)
         at = _starts_within(data, unit_starts(data), ends)
         stop = np.append(at[1:], len(data))
-        c, inverse = prefix_hash(data)
-        with np.errstate(over="ignore"):
-            keys = mix((c[stop] - c[at]) * inverse[at] ^ ((stop - at).astype(np.uint64) << np.uint64(40)))
-        del c
+        keys = unit_hashes(data, at)
         code = self._find(keys)
         new = np.flatnonzero(code < 0)
         if len(new):

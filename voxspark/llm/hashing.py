@@ -1,8 +1,10 @@
 """Vectorised word and shingle hashing over batches of whole texts.
 
 Words are runs of bytes other than space and \\t..\\r.  A batch is hashed in one
-pass: a polynomial prefix sum over the bytes gives every word a 64-bit hash, and a
-weighted sum of five mixed word hashes gives every window one.
+pass: every byte stands for a random number of a table by its place in the word, the sum
+of which is the word's 64-bit hash (tabulation hashing: two words that differ collide with
+2**-64, whatever their structure), and a weighted sum of five mixed word hashes gives
+every window one.
 """
 
 from __future__ import annotations
@@ -11,7 +13,6 @@ import numpy as np
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_INV = pow(_BASE, -1, 1 << 64)
 _MASK = (1 << 64) - 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -32,31 +33,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_PLACES = 128
+#: A random number for each byte value at each of _PLACES places.
+_TABLE = mix(np.arange(_PLACES * 256, dtype=U64) * U64(_BASE) + U64(0x1F83D9ABFB41BD6B))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n, kept for the next batch of this worker."""
-    size = 1 << max(16, (n - 1).bit_length())
-    if size not in _powers:
-        with np.errstate(over="ignore"):
-            tables = []
-            for base in (_BASE, _INV):
-                t = np.full(size, base, U64)
-                t[0] = 1
-                tables.append(np.multiply.accumulate(t))
-        _powers.clear()
-        _powers[size] = (tables[0], tables[1])
-    return _powers[size]
-
-
-def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums c and inverse powers: bytes [i, j) hash to (c[j] - c[i]) * inv[i]."""
-    power, inverse = _power_tables(len(data) + 1)
-    c = np.zeros(len(data) + 1, U64)
+def unit_hashes(data: np.ndarray, start: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+    """A hash for each unit, from start[i] up to start[i + 1] or the end; bytes where counts is false are left out."""
+    if not len(start):
+        return np.zeros(0, U64)
+    data, base = data[start[0]:], start - start[0]
+    place = np.arange(len(data), dtype=np.int32) - np.repeat(base.astype(np.int32), np.diff(np.append(base, len(data))))
+    value = _TABLE[((place & (_PLACES - 1)) << 8) | data]
+    if counts is not None:
+        value[~counts[start[0]:]] = 0
+    far = np.flatnonzero(place >= _PLACES)
     with np.errstate(over="ignore"):
-        np.cumsum((data.astype(U64) + U64(1)) * power[:len(data)], out=c[1:])
-    return c, inverse
+        if len(far):
+            value[far] = np.where(value[far] == 0, U64(0), mix(value[far] + (place[far] // _PLACES).astype(U64) * U64(_BASE)))
+        return mix(np.add.reduceat(value, base))
 
 
 def words_of(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -68,11 +63,8 @@ def words_of(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
         data = _LOWER[data]
     word = ~_SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([False], word)).astype(np.int8)))
-    start, end = edge[0::2], edge[1::2]
-    c, inverse = prefix_hash(data)
-    with np.errstate(over="ignore"):
-        h = mix((c[end] - c[start]) * inverse[start] ^ (end - start).astype(U64))
-    return h, np.concatenate(([0], np.searchsorted(start, ends)))
+    start = edge[0::2]
+    return unit_hashes(data, start, word), np.concatenate(([0], np.searchsorted(start, ends)))
 
 
 def windows_of(words: np.ndarray, n: int) -> np.ndarray:
