@@ -2,14 +2,18 @@
 
 Every step of documents becomes a shard: an inverted index with postings in blocks of
 `BLOCK` documents (documents with the same most frequent word stand together, which
-keeps block maxima apart) and the largest impact of each term in each block.  Document
-frequencies are summed over all shards in fragments of the term space, where the
-queries' terms pick theirs up; so every shard scores with the same global statistics
-and the shards' top-k lists merge exactly.
-
-Queries go in blocks of bounded size against groups of shards.  For a query and a shard
-the block maxima give an upper bound of each block; blocks that stay below the query's
-k-th score so far are not opened, a shard without open blocks is skipped.
+keeps block maxima apart).  Document frequencies are summed over all shards in fragments
+of the term space, where the queries' terms pick theirs up; so every shard scores with the
+same global statistics and the shards' top-k lists merge exactly.
+
+Queries go in blocks of at most QUERY_BLOCK_WORDS terms, each broadcast to the tasks that
+read the index; the index itself is written once and never shuffled.  A first pass over
+one in SEED_SHARDS shards gives every query a global threshold, its k-th score there.  Then,
+for a query and a shard, terms whose bounds add up to less than the threshold (those of
+most postings for their bound first: the WAND pivot) can't lift a document over it alone.
+Only the other terms are walked: their block maxima and the rest's bound choose the blocks
+to open, in those their postings choose the documents, and only these are looked up
+in the remaining terms.  A shard whose bounds stay below the threshold is skipped.
 
 Score: sum over terms of qtf * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)),
 idf = ln(1 + (N - df + 0.5) / (df + 0.5)), rounded to 6 decimals; ties go to the smaller
@@ -36,8 +40,12 @@ from .hashing import chunks, words_of
 from .packing import pack, pack_sorted, rows_batch, unpack, unpack_sorted
 
 BLOCK = 16
-#: Text bytes of a shard, shards of a group, words (with repetition between queries) of a query block.
-SHARD_BYTES, GROUP_SHARDS, QUERY_BLOCK_WORDS = 3 << 20, 6, 1_000_000
+#: Text bytes of a shard, and distinct words of its queries (added up) of a query block.
+SHARD_BYTES, QUERY_BLOCK_WORDS = 6 << 20, 1_500_000
+#: One shard in so many sets the thresholds.
+SEED_SHARDS = 16
+#: Scores are sums in different orders; bounds leave them so much room.
+_SLACK = 1e-5
 _INDEX = "shard long, n_docs long, n_words long, docs binary, lens binary, terms binary, dfs binary, post_doc binary, post_tf binary"
 
 
@@ -123,59 +131,117 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table(dict(zip(("query_id", "term", "qtf", "df"), map(pa.array, out), strict=True)))
 
 
-def _score(k: int, k1: float, b: float, n_docs: int, avg_len: float):
-    def run(table: pa.Table) -> pa.Table:
-        col = {c: table.column(c).to_pylist() for c in table.column_names}
-        queries = [i for i, s in enumerate(col["shard"]) if s is None]
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        asked = []
-        for i in queries:
-            t, qtf, df = (np.frombuffer(col[c][i], np.int64) for c in ("docs", "lens", "terms"))
-            order = np.argsort(t.view(np.uint64))
-            asked.append((col["n_docs"][i], t.view(np.uint64)[order], (qtf * np.log(1 + (n_docs - df + 0.5) / (df + 0.5)))[order]))
-        for i in (i for i, s in enumerate(col["shard"]) if s is not None):
-            docs, lens = np.frombuffer(col["docs"][i], np.int64), np.frombuffer(col["lens"][i], np.int64)
-            terms, size = unpack_sorted(col["terms"][i]), unpack(col["dfs"][i], np.uint32).astype(np.int64)
-            doc, tf = unpack(col["post_doc"][i], np.uint32).astype(np.int64), unpack(col["post_tf"][i], np.uint32).astype(np.float64)
-            if not len(terms):
-                continue
-            impact = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens[doc] / avg_len))
-            # entries: runs of postings of one term in one block
-            block, owner = doc // BLOCK, np.repeat(np.arange(len(terms)), size)
-            entry = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (block[1:] != block[:-1]))))
-            e_size, e_block, e_max = np.diff(np.append(entry, len(doc))), block[entry], np.maximum.reduceat(impact, entry)
-            e_first = np.searchsorted(owner[entry], np.arange(len(terms) + 1))
-            blocks = int(block.max()) + 1
-            for q, t, w in asked:
-                at = np.minimum(np.searchsorted(terms, t), len(terms) - 1)
-                hit = terms[at] == t
-                at, w_hit = at[hit], w[hit]
-                if not len(at):
-                    continue
-                n = e_first[at + 1] - e_first[at]
-                e = np.repeat(e_first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                weight = np.repeat(w_hit, n)
-                bound = np.bincount(e_block[e], weight * e_max[e], blocks)
-                held_s, held_d = best.get(q, (np.zeros(0), np.zeros(0, np.int64)))
-                least = held_s[-1] if len(held_s) == k else 0.0
-                alive = bound >= least - 1e-5
-                open_ = alive[e_block[e]]
-                e, weight = e[open_], weight[open_]
-                if not len(e):
+class _Queries:
+    """A block of queries, their terms as places in the sorted list of all of them."""
+
+    def __init__(self, rows: list[tuple[int, bytes, bytes, bytes]], least: dict[int, float], n_docs: int):
+        terms = [np.frombuffer(t, np.int64).view(np.uint64) for _, t, _, _ in rows]
+        self.terms, place = np.unique(np.concatenate(terms), return_inverse=True)
+        at = np.cumsum([0, *map(len, terms)]).tolist()
+        self.each = []
+        for (q, _, qtf, df), lo, hi in zip(rows, at[:-1], at[1:], strict=True):
+            f, d = np.frombuffer(qtf, np.int64), np.frombuffer(df, np.int64)
+            self.each.append((q, place[lo:hi], f * np.log(1 + (n_docs - d + 0.5) / (d + 0.5)), least.get(q, 0.0)))
+
+
+class _Shard:
+    """Unpacked postings in order of (term, document), with the maxima of terms and of their blocks."""
+
+    def __init__(self, row: dict, k1: float, b: float, avg_len: float):
+        self.docs, lens = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["lens"], np.int64)
+        self.terms, self.size = unpack_sorted(row["terms"]), unpack(row["dfs"], np.uint32).astype(np.int64)
+        self.doc, tf = unpack(row["post_doc"], np.uint32).astype(np.int64), unpack(row["post_tf"], np.uint32).astype(np.float64)
+        if not len(self.terms):
+            return
+        self.impact = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens[self.doc] / avg_len))
+        self.first = np.cumsum(self.size) - self.size
+        owner, block = np.repeat(np.arange(len(self.terms)), self.size), self.doc // BLOCK
+        self.key = owner * len(self.docs) + self.doc
+        # entries: runs of postings of one term in one block
+        self.entry = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (block[1:] != block[:-1]))))
+        self.e_size, self.e_block, self.e_max = np.diff(np.append(self.entry, len(self.doc))), block[self.entry], np.maximum.reduceat(self.impact, self.entry)
+        self.e_first = np.searchsorted(owner[self.entry], np.arange(len(self.terms) + 1))
+        self.most = np.maximum.reduceat(self.e_max, self.e_first[:-1])
+        self.blocks = int(block.max()) + 1
+
+    def slots(self, asked: np.ndarray) -> np.ndarray:
+        """For each asked term its number here, or -1."""
+        at = np.minimum(np.searchsorted(asked, self.terms), len(asked) - 1)
+        hit = asked[at] == self.terms
+        out = np.full(len(asked), -1, np.int64)
+        out[at[hit]] = np.flatnonzero(hit)
+        return out
+
+    def top(self, terms: np.ndarray, weight: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and rounded scores of documents of at least the score `least`."""
+        bound = weight * self.most[terms]
+        if not len(terms) or bound.sum() < least - _SLACK:
+            return _NONE
+        order = np.argsort(-self.size[terms] / np.maximum(bound, 1e-300))
+        sums = np.cumsum(bound[order])
+        m = int(np.searchsorted(sums, least - _SLACK))
+        rest, walk, later = float(sums[m - 1]) if m else 0.0, order[m:], order[:m]
+        e, w = _ranges(self.e_first[terms[walk]], self.e_first[terms[walk] + 1] - self.e_first[terms[walk]], weight[walk])
+        open_ = np.bincount(self.e_block[e], w * self.e_max[e], self.blocks) + rest >= least - _SLACK
+        e, w = e[open_[self.e_block[e]]], w[open_[self.e_block[e]]]
+        p, w = _ranges(self.entry[e], self.e_size[e], w)
+        part = np.bincount(self.doc[p], w * self.impact[p], len(self.docs))
+        found = np.flatnonzero((part > 0) & (part + rest >= least - _SLACK))
+        score = part[found]
+        if m and len(found):
+            if 4 * m * len(found) > self.size[terms[later]].sum():
+                p, w = _ranges(self.first[terms[later]], self.size[terms[later]], weight[later])
+                score = score + np.bincount(self.doc[p], w * self.impact[p], len(self.docs))[found]
+            else:
+                key = (terms[later][:, None] * len(self.docs) + found).ravel()
+                at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+                more = np.where(self.key[at] == key, self.impact[at], 0.0).reshape(m, -1)
+                score = score + weight[later] @ more
+        score = np.round(score, 6)
+        good = (score > 0) & (score >= least)
+        return found[good], score[good]
+
+
+_NONE = np.zeros(0, np.int64), np.zeros(0)
+
+
+def _ranges(first: np.ndarray, size: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from first[i] on, size[i] of them, and weight[i] for each."""
+    ends = np.cumsum(size)
+    return np.repeat(first - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0), np.repeat(weight, size)
+
+
+_FOUND = "query_id long, doc_id long, score double"
+
+
+def _score(block, k: int, k1: float, b: float, n_docs: int, avg_len: float):
+    """The best k of the shards of a partition for each query of a broadcast block, if they can be among all best."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, best = None, {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard = _Shard(batch.slice(i, 1).to_pylist()[0], k1, b, avg_len)
+                if not len(shard.terms):
                     continue
-                n = e_size[e]
-                p = np.repeat(entry[e] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                score = np.round(np.bincount(doc[p], np.repeat(weight, n) * impact[p], len(docs)), 6)
-                good = np.flatnonzero((score > 0) & (score >= least))
-                s, d = np.concatenate((held_s, score[good])), np.concatenate((held_d, docs[good]))
-                if len(s) > 4 * k:
-                    cut = np.partition(s, len(s) - k)[len(s) - k]
-                    s, d = s[s >= cut], d[s >= cut]
-                order = np.lexsort((d, -s))[:k]
-                best[q] = (s[order], d[order])
-        rows = [(q, x, y) for q, (s, d) in best.items() for x, y in zip(d.tolist(), s.tolist(), strict=True)]
-        cols = list(zip(*rows, strict=True)) or [[], [], []]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "doc_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
+                queries = queries or _Queries(*block.value, n_docs)
+                slots = shard.slots(queries.terms)
+                for q, places, weight, least in queries.each:
+                    own = slots[places]
+                    hit = own >= 0
+                    held_s, held_d = best.get(q, (_NONE[1], _NONE[0]))
+                    least = max(least, float(held_s[-1])) if len(held_s) == k else least
+                    found, s = shard.top(own[hit], weight[hit], least)
+                    if len(found):
+                        s, d = np.concatenate((held_s, s)), np.concatenate((held_d, shard.docs[found]))
+                        if len(s) > 4 * k:
+                            cut = np.partition(s, len(s) - k)[len(s) - k]
+                            s, d = s[s >= cut], d[s >= cut]
+                        order = np.lexsort((d, -s))[:k]
+                        best[q] = (s[order], d[order])
+        if best:
+            n = [len(s) for s, _ in best.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(list(best), np.int64), n)), pa.array(np.concatenate([d for _, d in best.values()])), pa.array(np.concatenate([s for s, _ in best.values()]))], ["query_id", "doc_id", "score"])
 
     return run
 
@@ -193,16 +259,26 @@ def search(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.2, b:
     terms = freq.groupBy("frag").applyInArrow(_meet, "query_id long, term long, qtf long, df long")
     packed = materialize(terms.groupBy("query_id").applyInArrow(_pack_query, "query_id long, words long, t binary, qtf binary, df binary"), "queries")
     words = packed.agg(F.sum("words")).first()[0] or 0
-    q_blocks, groups = int(-(-words // QUERY_BLOCK_WORDS)) or 1, int(-(-total["shards"] // GROUP_SHARDS)) or 1
-    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
-    asked = packed.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), of("query_id", q_blocks).alias("q_block"), F.lit(None).cast("long").alias("shard"),
-                          F.col("query_id").alias("n_docs"), F.lit(0).cast("long").alias("n_words"), F.col("t").alias("docs"), F.col("qtf").alias("lens"), F.col("df").alias("terms"), *(F.lit(None).cast("binary").alias(c) for c in ("dfs", "post_doc", "post_tf")))
-    # shards are dealt to groups in turn, so that all groups hold the same number
-    dealt = index.join(F.broadcast(materialize(index.select("shard").withColumn("part", (F.row_number().over(Window.orderBy("shard")) - 1) % groups), "parts")), "shard")
-    held = dealt.select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("q_block"), "shard", "n_docs", "n_words", "docs", "lens", "terms", "dfs", "post_doc", "post_tf")
-    found = held.unionAll(asked).groupBy("part", "q_block").applyInArrow(_score(k, k1, b, n_docs, avg_len), "query_id long, doc_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    blocks = -(-words // QUERY_BLOCK_WORDS) or 1
+    best = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)
+    seed = F.pmod(F.xxhash64("shard"), F.lit(SEED_SHARDS)) == 0
+    found = None
+    for i in range(blocks):
+        # a part of the terms bounded by QUERY_BLOCK_WORDS, whatever the number of queries
+        rows = [(r["query_id"], bytes(r["t"]), bytes(r["qtf"]), bytes(r["df"])) for r in packed.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()]
+        if not rows:
+            continue
+        passes, least = [], {}
+        for part in ([index.where(seed), index.where(~seed)] if total["shards"] >= SEED_SHARDS else [index]):
+            block = spark.sparkContext.broadcast((rows, least))
+            passes.append(materialize(part.mapInArrow(_score(block, k, k1, b, n_docs, avg_len), _FOUND), "found"))
+            if part is not index and not least:
+                least = {r["query_id"]: r["score"] for r in best(passes[0]).where(F.col("rank") == k).collect()}
+        for p in passes:
+            found = p if found is None else found.unionAll(p)
+    if found is None:
+        found = spark.createDataFrame([], _FOUND)
+    return best(found).select("query_id", "rank", "doc_id", "score")
 
 
 def _pack_query(table: pa.Table) -> pa.Table:
