@@ -7,8 +7,8 @@ of the term space, where the queries' terms pick theirs up; so every shard score
 same global statistics and the shards' top-k lists merge exactly.
 
 Queries go in blocks of at most QUERY_BLOCK_WORDS terms, each broadcast to the tasks that
-read the index; the index itself is written once and never shuffled.  A first pass over
-one in SEED_SHARDS shards gives every query a global threshold, its k-th score there.  Then,
+read the index; the index itself is written once and never shuffled.  First passes over
+one shard in 32 and one in 8 give every query a global threshold, its k-th score there.  Then,
 for a query and a shard, terms whose bounds add up to less than the threshold (those of
 most postings for their bound first: the WAND pivot) can't lift a document over it alone.
 Only the other terms are walked: their block maxima and the rest's bound choose the blocks
@@ -42,8 +42,8 @@ from .packing import pack, pack_sorted, rows_batch, unpack, unpack_sorted
 BLOCK = 16
 #: Text bytes of a shard, and distinct words of its queries (added up) of a query block.
 SHARD_BYTES, QUERY_BLOCK_WORDS = 6 << 20, 1_500_000
-#: One shard in so many sets the thresholds.
-SEED_SHARDS = 16
+#: First one shard in 32 sets thresholds, then one in 8 sharper ones, for all others.
+SEED_SHARDS = (32, 8)
 #: Scores are sums in different orders; bounds leave them so much room.
 _SLACK = 1e-5
 _INDEX = "shard long, n_docs long, n_words long, docs binary, lens binary, terms binary, dfs binary, post_doc binary, post_tf binary"
@@ -161,6 +161,7 @@ class _Shard:
         self.entry = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (block[1:] != block[:-1]))))
         self.e_size, self.e_block, self.e_max = np.diff(np.append(self.entry, len(self.doc))), block[self.entry], np.maximum.reduceat(self.impact, self.entry)
         self.e_first = np.searchsorted(owner[self.entry], np.arange(len(self.terms) + 1))
+        self.e_count = np.diff(self.e_first)
         self.most = np.maximum.reduceat(self.e_max, self.e_first[:-1])
         self.blocks = int(block.max()) + 1
 
@@ -181,15 +182,18 @@ class _Shard:
         sums = np.cumsum(bound[order])
         m = int(np.searchsorted(sums, least - _SLACK))
         rest, walk, later = float(sums[m - 1]) if m else 0.0, order[m:], order[:m]
-        e, w = _ranges(self.e_first[terms[walk]], self.e_first[terms[walk] + 1] - self.e_first[terms[walk]], weight[walk])
-        open_ = np.bincount(self.e_block[e], w * self.e_max[e], self.blocks) + rest >= least - _SLACK
-        e, w = e[open_[self.e_block[e]]], w[open_[self.e_block[e]]]
+        e, w = _ranges(self.e_first[terms[walk]], self.e_count[terms[walk]], weight[walk])
+        block = self.e_block[e]
+        open_ = np.bincount(block, w * self.e_max[e], self.blocks) + rest >= least - _SLACK
+        if not open_.all():
+            kept = np.flatnonzero(open_[block])
+            e, w = e[kept], w[kept]
         p, w = _ranges(self.entry[e], self.e_size[e], w)
         part = np.bincount(self.doc[p], w * self.impact[p], len(self.docs))
         found = np.flatnonzero((part > 0) & (part + rest >= least - _SLACK))
         score = part[found]
         if m and len(found):
-            if 4 * m * len(found) > self.size[terms[later]].sum():
+            if 12 * m * len(found) > self.size[terms[later]].sum():
                 p, w = _ranges(self.first[terms[later]], self.size[terms[later]], weight[later])
                 score = score + np.bincount(self.doc[p], w * self.impact[p], len(self.docs))[found]
             else:
@@ -261,21 +265,24 @@ def search(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.2, b:
     words = packed.agg(F.sum("words")).first()[0] or 0
     blocks = -(-words // QUERY_BLOCK_WORDS) or 1
     best = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)
-    seed = F.pmod(F.xxhash64("shard"), F.lit(SEED_SHARDS)) == 0
+    one_in = lambda n: F.pmod(F.xxhash64("shard"), F.lit(n)) == 0
+    few, some = SEED_SHARDS
+    parts = [index.where(one_in(few)), index.where(one_in(some) & ~one_in(few)), index.where(~one_in(some))] if total["shards"] >= 2 * some else [index]
     found = None
     for i in range(blocks):
         # a part of the terms bounded by QUERY_BLOCK_WORDS, whatever the number of queries
         rows = [(r["query_id"], bytes(r["t"]), bytes(r["qtf"]), bytes(r["df"])) for r in packed.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()]
         if not rows:
             continue
-        passes, least = [], {}
-        for part in ([index.where(seed), index.where(~seed)] if total["shards"] >= SEED_SHARDS else [index]):
+        least: dict[int, float] = {}
+        own = None
+        for part in parts:
             block = spark.sparkContext.broadcast((rows, least))
-            passes.append(materialize(part.mapInArrow(_score(block, k, k1, b, n_docs, avg_len), _FOUND), "found"))
-            if part is not index and not least:
-                least = {r["query_id"]: r["score"] for r in best(passes[0]).where(F.col("rank") == k).collect()}
-        for p in passes:
-            found = p if found is None else found.unionAll(p)
+            found_here = materialize(part.mapInArrow(_score(block, k, k1, b, n_docs, avg_len), _FOUND), "found")
+            own = found_here if own is None else own.unionAll(found_here)
+            if part is not parts[-1]:
+                least = {r["query_id"]: r["score"] for r in best(own).where(F.col("rank") == k).collect()}
+        found = own if found is None else found.unionAll(own)
     if found is None:
         found = spark.createDataFrame([], _FOUND)
     return best(found).select("query_id", "rank", "doc_id", "score")
