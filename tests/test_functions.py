@@ -84,3 +84,24 @@ def test_queries_are_listed_without_a_session():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert len(e.queries()) > 100 and e.oracle_sql()"], cwd=root, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr[-500:]
+
+
+def test_dictionary_follows_chains_to_their_end(spark):
+    from pyspark.sql import functions as F
+
+    from voxspark.operators import dictionary
+
+    pairs = [("aa", "bb"), ("bb", "cc"), ("cc", "dd"), ("dd", "ee"), ("zz", "aa")]
+    entries = spark.createDataFrame([(str(i), o, r, [], i) for i, (o, r) in enumerate(pairs)], "id string, original string, replacement string, variants array<string>, at long")
+    entries = entries.select("id", "original", "replacement", "variants", F.timestamp_seconds("at").alias("created_at"))
+    said = spark.createDataFrame([(1, "say aa now"), (2, "cc"), (3, "zz"), (4, None), (5, "none")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in dictionary.apply_dictionary(said, entries).collect()}
+    assert got == {1: "say ee now", 2: "ee", 3: "aa", 4: None, 5: "none"}  # the last entry comes too late for the first
+
+
+def test_repetition_loops_of_any_length():
+    from voxspark.operators.segments import _collapsed, _runs
+
+    phrase = " ".join(f"word{i}" for i in range(450))
+    assert _collapsed(" ".join(["before", *[phrase] * 3, "after"])) == f"before {phrase} after"
+    assert _runs("a b c d e".split() * 3) == [(0, 5, 15)] and _runs("x a b c d a b c d a b c d y".split()) == [(1, 4, 13)]

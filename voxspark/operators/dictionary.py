@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import generate_variants
+from ..sources.files import work_path
 
 MAX_LITERAL_ENTRIES = 10_000
 
@@ -41,19 +42,36 @@ def dictionary_udf(entries: Sequence[tuple[str, str, Sequence[str]]]):
     return lambda c: run(c)
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the session's shared folder: its lineage ends here."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def apply_dictionary(df: DataFrame, dictionary: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Corrections from a dictionary of any size (id, original, replacement, variants, created_at).
 
     Terms meet texts by their first word in an equi-join, so a row gets its candidate
     entries only; a replacement may bring in a later entry's term, so those whose first
-    word stands in a replacement are candidates, too, for every row that has the former.
+    word stands in a replacement are candidates, too, for every row that has the former,
+    and so on along the dictionary, however many entries follow each other.
     """
     terms = dictionary.where(F.trim("replacement") != "").select("created_at", "id", "original", "replacement", "variants")
     terms = terms.withColumn("patterns", F.filter(F.concat(F.array("original"), F.coalesce("variants", F.array().cast("array<string>"))), lambda p: F.trim(p) != ""))
     first = lambda c: F.lower(F.regexp_extract(c, r"^[^A-Za-z0-9_]*([A-Za-z0-9_]*)", 1))
     keyed = terms.select("created_at", "id", "replacement", "patterns", F.explode(F.array_distinct(F.transform("patterns", first))).alias("w"))
-    brought = terms.select(F.col("id").alias("from_id"), F.explode(F.array_distinct(F.split(F.lower("replacement"), "[^a-z0-9_]+"))).alias("w")).where("w <> ''")
-    chain = keyed.select("id", F.col("w").alias("kw"), "w").unionAll(brought.join(keyed.withColumnRenamed("id", "kid"), "w").join(keyed.select(F.col("id").alias("from_id"), F.col("w").alias("kw")), "from_id").select(F.col("kid").alias("id"), "kw", "w"))
+    brought = terms.select(F.col("id").alias("from_id"), F.col("created_at").alias("from_at"), F.explode(F.array_distinct(F.split(F.lower("replacement"), "[^a-z0-9_]+"))).alias("w")).where("w <> ''")
+    # entries in order: only a later one can meet what an earlier one has put in, and what that puts in in turn
+    after = (F.col("created_at") > F.col("from_at")) | (F.col("created_at").eqNullSafe(F.col("from_at")) & (F.col("id") > F.col("from_id"))) | (F.col("created_at").isNotNull() & F.col("from_at").isNull())
+    step = _written(brought.join(keyed, "w").where(after).select("from_id", "id").distinct(), "dictionary-steps")
+    reach = new = step
+    while not new.isEmpty():
+        new = new.select("from_id", F.col("id").alias("mid")).join(step.select(F.col("from_id").alias("mid"), "id"), "mid").select("from_id", "id").distinct()
+        new = _written(new.join(reach, ["from_id", "id"], "left_anti"), "dictionary-steps")
+        reach = reach.unionAll(new)
+    starts = keyed.select("id", F.col("w").alias("kw")).distinct()
+    chain = starts.unionAll(reach.join(starts.select(F.col("id").alias("from_id"), "kw"), "from_id").select("id", "kw"))
     words = df.select(key, F.explode(F.array_distinct(F.split(F.lower(text), "[^a-z0-9_]+"))).alias("kw"))
     hits = words.join(chain.select("id", "kw").distinct(), "kw").select(key, "id").distinct()
     entry = F.struct("created_at", "id", "replacement", "patterns")

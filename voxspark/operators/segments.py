@@ -127,13 +127,16 @@ def dedup_overlap(df: DataFrame, session: str = "session_id", idx: str = "chunk_
     return lists.select(session, F.explode(rows).alias("r")).select(session, F.col("r.i").alias(idx), F.col("r.t").alias(text))
 
 
-def _runs(words: list[str], least: int = 4, times: int = 3, most: int = 400) -> list[tuple[int, int, int]]:
+def _runs(words: list[str], least: int = 4, times: int = 3) -> list[tuple[int, int, int]]:
     """(start, period, end) of phrases of `least` words or more said `times` times in a row."""
     _, ids = np.unique(words, return_inverse=True)
     out, at = [], 0
     found: list[tuple[int, int, int]] = []
-    for p in range(least, min(most, len(ids) // times) + 1):
-        same = np.concatenate(([False], ids[p:] == ids[:-p], [False])).astype(np.int8)
+    for p in range(least, len(ids) // times + 1):
+        same = ids[p:] == ids[:-p]
+        if not same[p * (times - 2)::p].any():  # a run of that length would have a place among every p-th
+            continue
+        same = np.concatenate(([False], same, [False])).astype(np.int8)
         edge = np.flatnonzero(np.diff(same))
         for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
             if b - a >= p * (times - 1):

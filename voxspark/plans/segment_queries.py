@@ -129,14 +129,14 @@ def b13_tokens_to_text(spark, sf_dir):
     return seg.tokens_to_text(rows.select("segment_id", (F.col("i") * 3 + F.col("j")).alias("pos"), F.xxhash64("piece").alias("token")), vocab)
 
 
-@query(r"WITH w AS (SELECT doc_id, unnest(range(len(regexp_split_to_array(trim(text, ' '), '[\s]+')))) AS pos FROM documents WHERE doc_id % 1 = 0) SELECT doc_id AS session_id, pos::BIGINT AS pos, pos::BIGINT * 5 AS timestamp FROM w")
+@query(r"WITH w AS (SELECT doc_id, unnest(range(len(regexp_split_to_array(trim(text, ' '), '[\s]+')))) AS pos FROM documents WHERE doc_id % 1 = 0) SELECT doc_id AS session_id, pos::BIGINT AS pos, pos::BIGINT * 5 AS timestamp, (doc_id * 31 + pos * 7) % 1000 AS token FROM w")
 def b14_merge_token_chunks(spark, sf_dir):
     """A token list cut into windows that overlap by two seconds merges to itself."""
     n = F.size(F.split(F.trim("text"), r"\s+"))
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("session_id"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    d = d.select("session_id", "i", (F.col("i").cast("long") * 5).alias("timestamp"), F.pmod(F.hash("session_id", "i"), F.lit(1000)).cast("long").alias("token"))
+    d = d.select("session_id", "i", (F.col("i").cast("long") * 5).alias("timestamp"), ((F.col("session_id") * 31 + F.col("i") * 7) % 1000).cast("long").alias("token"))
     d = d.withColumn("chunk_idx", F.explode(F.array_distinct(F.array(F.floor(F.col("i") / 20), F.greatest(F.floor((F.col("i") - 5) / 20), F.lit(0))))))
-    return seg.merge_token_chunks(d.select("session_id", "chunk_idx", F.col("i").alias("pos"), "token", "timestamp", F.lit(1).cast("long").alias("duration"))).select("session_id", "pos", "timestamp")
+    return seg.merge_token_chunks(d.select("session_id", "chunk_idx", F.col("i").alias("pos"), "token", "timestamp", F.lit(1).cast("long").alias("duration"))).select("session_id", "pos", "timestamp", "token")
 
 
 @query(r"WITH w AS (SELECT doc_id, unnest(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL), s AS (SELECT doc_id, sum(n) AS n, coalesce(sum(n) FILTER (w IN ('the', 'de')), 0) AS m FROM c GROUP BY doc_id) SELECT d.doc_id, coalesce(n, 0)::INTEGER AS n_said, coalesce(n - m + 1, 1)::INTEGER AS n_heard, coalesce(m, 0)::INTEGER AS missing, 1::INTEGER AS extra FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id")

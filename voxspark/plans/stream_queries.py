@@ -134,11 +134,11 @@ def h02_recipe_pack(spark, sf_dir):
     return files.read_recipes(spark, path, multi_line=False).select("id", F.size("patterns").alias("n_patterns"), F.size("steps").alias("n_steps"))
 
 
-@query("SELECT DISTINCT p_brand AS said FROM part")
+@query("SELECT DISTINCT p_brand AS brand, replace(p_brand, '#', '-') AS said, 'room 23' AS room, 42::BIGINT AS number FROM part")
 def i02_register_sql(spark, sf_dir):
     """The helpers by name, in SQL."""
     from ..functions.sql import register_sql
 
     register_sql(spark)
     table(spark, sf_dir, "part").select("p_brand").distinct().createOrReplaceTempView("vox_brands")
-    return spark.sql("SELECT spoken_punctuation(replace(p_brand, '#', ' hyphen ')) AS s, apply_itn('twenty three') AS n, p_brand FROM vox_brands").select(F.col("p_brand").alias("said"))
+    return spark.sql("SELECT p_brand AS brand, spoken_punctuation(replace(p_brand, '#', ' hyphen ')) AS said, apply_itn(concat('room', ' twenty three')) AS room, number_words_to_int('forty two') AS number FROM vox_brands")
