@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,6 +37,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Have the shuffle files of jobs that are over removed from the disks.
+
+    Spark removes them when the driver happens to collect the garbage of their plans;
+    between steps that each shuffle the corpus this asks for it.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle partitions, by which its owner sizes jobs to the data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
