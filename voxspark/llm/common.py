@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,10 +42,13 @@ def release_shuffles(spark: SparkSession) -> None:
     """Have the shuffle files of jobs that are over removed from the disks.
 
     Spark removes them when the driver happens to collect the garbage of their plans;
-    between steps that each shuffle the corpus this asks for it.
+    between steps that each shuffle the corpus this asks for it.  The second round gets
+    what the cleaning after the first one has set free.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def partitions(spark: SparkSession) -> int:
