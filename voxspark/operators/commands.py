@@ -119,6 +119,10 @@ def assess_command(tool: Column, args: Column) -> Column:
     return F.when(tool == "computer_task", assess_goal(F.coalesce(args["goal"], F.lit("")))).when(tool == "open_target", risk_of_opening(F.coalesce(args["target"], F.lit("")))).when(tool.isin("play_media", "search_web", "read_history", "type_text", "none"), safe).otherwise(bad)
 
 
+#: Patterns such as {what}, which fit any text.
+MAX_OPEN_PATTERNS = 1000
+
+
 def _tidy(c: Column) -> Column:
     return F.trim(_each(c, (f"{S}+", " "), (r"[.!?,]+$", "")))
 
@@ -126,8 +130,9 @@ def _tidy(c: Column) -> Column:
 def match_recipes(utterances: DataFrame, recipes: DataFrame, key: str = "utterance_id", text: str = "text") -> DataFrame:
     """key, recipe_id, slots (map): the matching pattern with the most literal characters, else the first.
 
-    A pattern that starts with a word meets texts with that first word only (an
-    equi-join); patterns that start with a slot are few and are asked of all texts.
+    A pattern that starts with a word meets texts with that first word only, and one that
+    starts with a slot those that hold its longest word (equi-joins); a pattern without a
+    word of its own, of which MAX_OPEN_PATTERNS are allowed, is asked of all texts.
     """
     p = recipes.where("not coalesce(stats.quarantined, false)").select(F.col("id").alias("recipe_id"), F.col("slots").alias("wanted"), F.monotonically_increasing_id().alias("r"), F.posexplode("patterns").alias("p", "pattern"))
     quoted = F.concat(F.lit(r"\Q"), F.regexp_replace(F.regexp_replace(F.trim("pattern"), r"\{(\w+)\}", r"\\E(.+?)\\Q"), r"\s+", r"\\E\\s+\\Q"), F.lit(r"\E"))
@@ -135,10 +140,18 @@ def match_recipes(utterances: DataFrame, recipes: DataFrame, key: str = "utteran
                  F.lower(F.regexp_extract(F.trim("pattern"), r"^([^\s{]+)(?:\s|$)", 1)).alias("first"))
     u = utterances.select(key, _tidy(F.col(text)).alias("t")).withColumn("first", F.lower(F.substring_index("t", " ", 1)))
     known = u.join(p.where("first <> ''"), "first").drop("first")
-    loose = p.where("first = ''").drop("first")
-    lists = loose.agg(F.collect_list(F.struct(*loose.columns)).alias("all"))
-    free = u.drop("first").join(F.broadcast(lists)).select(key, "t", F.explode("all").alias("x")).select(key, "t", "x.*")
-    every = known.unionByName(free)
+    own = F.filter(F.split(F.lower(F.trim("pattern")), r"\s+"), lambda w: ~w.contains("{") & ~w.contains("}"))
+    longest = F.array_max(F.transform(own, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    loose = p.where("first = ''").drop("first").withColumn("word", longest)
+    words = u.select(key, "t", F.explode(F.array_distinct(F.split(F.lower("t"), " "))).alias("word"))
+    every = known.unionByName(words.join(loose.where("word is not null"), "word").drop("word"))
+    wide = loose.where("word is null").drop("word").limit(MAX_OPEN_PATTERNS + 1)
+    n_wide = wide.count()
+    if n_wide > MAX_OPEN_PATTERNS:
+        raise ValueError(f"over {MAX_OPEN_PATTERNS} patterns without a word of their own")
+    if n_wide:
+        lists = wide.agg(F.collect_list(F.struct(*wide.columns)).alias("all"))
+        every = every.unionByName(u.drop("first").join(F.broadcast(lists)).select(key, "t", F.explode("all").alias("x")).select(key, "t", "x.*"))
     hit = every.where(F.expr("t rlike rx"))
     # captured values: each group in turn
     values = F.transform(F.sequence(F.lit(1), F.greatest(F.size("names"), F.lit(1))), lambda i: _tidy(F.when(i <= F.size("names"), F.call_function("regexp_extract", F.col("t"), F.col("rx"), i)).otherwise("")))

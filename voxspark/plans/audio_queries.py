@@ -27,11 +27,32 @@ _X = "(SELECT vec_id // 10 AS session_id, (vec_id % 10) * 64 + i - 1 AS p, embed
 _WIN = f"(SELECT session_id, p // 48 AS win_idx, sqrt(sum(x * x) / 48) AS rms FROM {_X} GROUP BY 1, 2 HAVING count(*) = 48)"
 
 
-@query("SELECT vec_id AS clip_id, 32 AS n, round(embedding[1]::FLOAT::DOUBLE, 5) AS first FROM embeddings")
+def _weighed(c):
+    """One number that depends on each sample and its place."""
+    return F.round(F.aggregate(F.transform(c, lambda x, i: (i + 1) * x.cast("double")), F.lit(0.0), lambda s, x: s + x), 3)
+
+
+@query("""WITH c AS (SELECT vec_id // 100 AS c, count(*) * 64 AS n, min(vec_id) AS a, max(vec_id) AS z, sum(list_sum(list_transform(embedding, lambda x: x::FLOAT::DOUBLE))) AS total FROM embeddings GROUP BY 1)
+SELECT 'clip' || c || '-' || c * 1000 || '-16000hz' AS clip_id, c * 1000 AS ms, 16000 AS sample_rate, n, round(f.embedding[1]::FLOAT::DOUBLE, 5) AS first, round(l.embedding[64]::FLOAT::DOUBLE, 5) AS last, round(total, 3) AS total
+FROM c JOIN embeddings f ON f.vec_id = a JOIN embeddings l ON l.vec_id = z""")
+def c01_read_f32_audio(spark, sf_dir):
+    """A hundred vectors a dump, written and read back."""
+    from ..sources.files import read_f32_audio, work_path, write_f32_audio
+
+    rows = table(spark, sf_dir, "embeddings").groupBy(F.floor(F.col("vec_id") / 100).alias("c")).agg(F.array_sort(F.collect_list(F.struct("vec_id", F.col("embedding").cast("array<float>").alias("e")))).alias("v"))
+    dumps = rows.select(F.concat(F.lit("clip"), "c").alias("clip_id"), (F.col("c") * 1000).alias("ms"), F.lit(16000).alias("sample_rate"), F.flatten(F.transform("v", lambda x: x["e"])).alias("samples"))
+    path = work_path(spark, "audio")
+    write_f32_audio(dumps, path)
+    s = F.transform("samples", lambda x: x.cast("double"))
+    return read_f32_audio(spark, f"{path}/*.f32").select("clip_id", F.unix_millis("ts").alias("ms"), "sample_rate", F.size("samples").cast("long").alias("n"), F.round(F.get(s, F.lit(0)), 5).alias("first"), F.round(F.element_at(s, -1), 5).alias("last"),
+                                                         F.round(F.aggregate(s, F.lit(0.0), lambda x, y: x + y), 3).alias("total"))
+
+
+@query("SELECT vec_id AS clip_id, 32 AS n, round(embedding[1]::FLOAT::DOUBLE, 5) AS first, round(list_sum(list_transform(range(0, 32), lambda i: (i + 1) * embedding[2 * i + 1]::FLOAT::DOUBLE)), 3) AS weighed FROM embeddings")
 def c02_resample_cubic(spark, sf_dir):
     """To half the rate: every second sample."""
     r = _clips(spark, sf_dir).select("clip_id", a.resample_cubic(F.col("samples"), F.lit(32000)).alias("s"))
-    return r.select("clip_id", F.size("s").alias("n"), F.round(F.get("s", F.lit(0)).cast("double"), 5).alias("first"))
+    return r.select("clip_id", F.size("s").alias("n"), F.round(F.get("s", F.lit(0)).cast("double"), 5).alias("first"), _weighed("s").alias("weighed"))
 
 
 @query("SELECT vec_id AS clip_id FROM embeddings WHERE list_max(list_transform(embedding, lambda x: abs(x::FLOAT::DOUBLE))) >= 0.3")
@@ -100,10 +121,11 @@ def c09_vad_merge(spark, sf_dir):
     return a.vad_merge(_raw(spark, sf_dir), clips)
 
 
-@query(_VAD + "SELECT u AS clip_id, coalesce(start_sample, 0) AS start_sample, coalesce(end_sample, 9999) AS end_sample FROM (SELECT DISTINCT user_id AS u FROM events) LEFT JOIN (SELECT * FROM r WHERE clip_id % 2 = 0) r ON clip_id = u")
+@query(_VAD + "SELECT u AS clip_id, coalesce(start_sample, 0) AS start_sample, coalesce(end_sample, 9999) AS end_sample FROM (SELECT DISTINCT user_id AS u FROM events UNION ALL SELECT DISTINCT -1 - user_id FROM events) LEFT JOIN r ON clip_id = u")
 def c10_no_speech_fallback(spark, sf_dir):
     clips = table(spark, sf_dir, "events").select(F.col("user_id").alias("clip_id"), F.lit(9999).cast("long").alias("n_samples")).distinct()
-    return a.no_speech_fallback(clips, _raw(spark, sf_dir).where("clip_id % 2 = 0"))
+    silent = clips.withColumn("clip_id", -1 - F.col("clip_id"))
+    return a.no_speech_fallback(clips.unionAll(silent), _raw(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE c AS (SELECT clip_id, n, 0::BIGINT AS i, 0::BIGINT AS s, least(n, 448000) AS e, n <= 448000 AS stop FROM {_LEN} UNION ALL
@@ -146,10 +168,12 @@ def c16_pad_to_width(spark, sf_dir):
     return p.select("clip_id", F.size("p").alias("n"), F.round(F.element_at("p", -1).cast("double"), 5).alias("last"))
 
 
-@query("WITH v AS (SELECT vec_id // 10 AS session_id, vec_id % 10 AS seg_idx, (vec_id * 7 % 60 + 1)::INT AS valid FROM embeddings) SELECT session_id, seg_idx, seg_idx // 4 AS batch, valid, max(valid) OVER (PARTITION BY session_id, seg_idx // 4) AS n FROM v")
+@query("""WITH v AS (SELECT vec_id // 10 AS session_id, vec_id % 10 AS seg_idx, (vec_id * 7 % 60 + 1)::INT AS valid, embedding FROM embeddings),
+m AS (SELECT *, max(valid) OVER (PARTITION BY session_id, seg_idx // 4) AS n FROM v)
+SELECT session_id, seg_idx, seg_idx // 4 AS batch, valid, n, CASE WHEN valid < n THEN 0 ELSE round(embedding[n]::FLOAT::DOUBLE, 5) END AS last, round(list_sum(list_transform(range(0, valid), lambda i: (i + 1) * embedding[i + 1]::FLOAT::DOUBLE)), 3) AS weighed FROM m""")
 def c17_batch_pad(spark, sf_dir):
     s = _sessions(spark, sf_dir).select("session_id", F.col("chunk_idx").alias("seg_idx"), F.slice("samples", F.lit(1), ((F.col("session_id") * 10 + F.col("chunk_idx")) * 7 % 60 + 1).cast("int")).alias("samples"))
-    return a.batch_pad(s, 4).select("session_id", "seg_idx", "batch", "valid", F.size("samples").alias("n"))
+    return a.batch_pad(s, 4).select("session_id", "seg_idx", "batch", "valid", F.size("samples").alias("n"), F.round(F.element_at("samples", -1).cast("double"), 5).alias("last"), _weighed("samples").alias("weighed"))
 
 
 def _energy(spark, sf_dir):

@@ -71,17 +71,17 @@ def f05_assess_click(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", c.assess_click(_templates(_CLICKS)).alias("r")).select("p_partkey", "r.*")
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 4 IN (0, 1) THEN 'confirm' ELSE 'auto' END AS level FROM part")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 IN (0, 1) THEN 'confirm' ELSE 'auto' END AS level, CASE WHEN p_partkey % 4 IN (0, 1) THEN 'This would run an executable file' END AS reason FROM part")
 def f06_risk_of_opening(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", c.risk_of_opening(_templates(["{}.EXE ", "{}.com", " https://{}.com", "{}.txt"]))["level"].alias("level"))
+    return table(spark, sf_dir, "part").select("p_partkey", c.risk_of_opening(_templates(["{}.EXE ", "{}.com", " https://{}.com", "{}.txt"])).alias("r")).select("p_partkey", "r.*")
 
 
-@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'refuse' WHEN 1 THEN 'confirm' WHEN 2 THEN 'auto' WHEN 3 THEN 'error' ELSE 'auto' END AS level FROM part")
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'refuse' WHEN 1 THEN 'confirm' WHEN 2 THEN 'auto' WHEN 3 THEN 'error' ELSE 'auto' END AS level, CASE p_partkey % 5 WHEN 0 THEN 'Agent mode never spends money' WHEN 1 THEN 'This would run an executable file' WHEN 3 THEN 'unknown tool fly' END AS reason FROM part")
 def f07_assess_command(spark, sf_dir):
     k = _k() % 5
     tool = F.when(k == 0, "computer_task").when(k == 1, "open_target").when(k == 2, "search_web").when(k == 3, "fly").otherwise("open_target")
     args = F.when(k == 0, F.create_map(F.lit("goal"), F.concat(F.lit("buy "), "p_name"))).when(k == 1, F.create_map(F.lit("target"), F.lit("x.exe"))).otherwise(F.create_map(F.lit("target"), F.lit("x")))
-    return table(spark, sf_dir, "part").select("p_partkey", c.assess_command(tool, args)["level"].alias("level"))
+    return table(spark, sf_dir, "part").select("p_partkey", c.assess_command(tool, args).alias("r")).select("p_partkey", "r.*")
 
 
 def recipes(spark, sf_dir):
@@ -97,11 +97,14 @@ def recipes(spark, sf_dir):
 _U = "(SELECT p_partkey AS k, p_name AS n, p_brand AS b, regexp_extract(p_brand, '(\\d+)', 1)::BIGINT % 5 = 0 AS q FROM part)"
 
 
-@query(f"SELECT k AS p_partkey, b AS recipe_id, n AS what, CASE WHEN k % 3 = 1 THEN 'here' END AS place FROM {_U} WHERE NOT q AND k % 3 <> 2")
+@query(f"SELECT k AS p_partkey, b AS recipe_id, n AS what, CASE WHEN k % 4 = 1 THEN 'here' END AS place FROM {_U} WHERE NOT q AND k % 4 <> 2")
 def f08_match_recipes(spark, sf_dir):
     low = F.lower("p_brand")
-    said = F.when(_k() % 3 == 0, F.concat(F.lit("Open "), "p_name", F.lit(" in "), low, F.lit("."))).when(_k() % 3 == 1, F.concat("p_brand", F.lit(" find  "), "p_name", F.lit(" near here"))).otherwise(F.concat(F.lit("close "), "p_name"))
-    m = c.match_recipes(table(spark, sf_dir, "part").select("p_partkey", said.alias("text")), recipes(spark, sf_dir), key="p_partkey")
+    k = _k() % 4
+    said = F.when(k == 0, F.concat(F.lit("Open "), "p_name", F.lit(" in "), low, F.lit("."))).when(k == 1, F.concat("p_brand", F.lit(" find  "), "p_name", F.lit(" near here"))).when(k == 2, F.concat(F.lit("close "), "p_name")).otherwise(F.concat("p_name", F.lit(" inside "), "p_brand", F.lit("!")))
+    # a pattern that starts with a slot, too
+    known = recipes(spark, sf_dir).withColumn("patterns", F.array_append("patterns", F.concat(F.lit("{what} inside "), F.lower("id"))))
+    m = c.match_recipes(table(spark, sf_dir, "part").select("p_partkey", said.alias("text")), known, key="p_partkey")
     return m.select("p_partkey", "recipe_id", F.element_at(F.col("slots"), F.lit("what")).alias("what"), F.element_at(F.col("slots"), F.lit("place")).alias("place"))
 
 
@@ -110,10 +113,11 @@ def f09_interpolate(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", c.interpolate(F.lit("say {{a}} to {{b}} {{nobody}} end"), F.create_map(F.lit("a"), F.col("p_name"), F.lit("b"), F.col("p_brand"))).alias("text"))
 
 
-@query("SELECT p_partkey::VARCHAR AS id, CASE WHEN p_partkey % 3 = 0 THEN 'learned' ELSE 'builtin' END AS source FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0")
+@query("SELECT CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'own ' END || p_partkey AS id, 'learned' AS source FROM part UNION ALL SELECT p_partkey::VARCHAR, 'builtin' FROM part WHERE p_partkey % 3 <> 0")
 def f10_resolve_recipe_set(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", _k().cast("string").alias("id"))
-    return c.resolve_recipe_set(p.where("p_partkey % 2 = 0").select("id", F.lit("builtin").alias("source")), p.where("p_partkey % 3 = 0").select("id", F.lit("learned").alias("source")))
+    own = F.concat(F.when(_k() % 3 == 0, "").otherwise("own "), "id")
+    return c.resolve_recipe_set(p.select("id", F.lit("builtin").alias("source")), p.select(own.alias("id"), F.lit("learned").alias("source")))
 
 
 @query(r"""SELECT doc_id, r IS NULL AS ok, r AS reason FROM (SELECT doc_id, CASE WHEN v = '' THEN NULL WHEN regexp_matches(v, '(?i)[A-Za-z]:\\Users\\[^\\/*?"<>|]+') OR regexp_matches(v, '/(?:home|Users)/[^/\s]+') THEN 'contains a user profile path' WHEN regexp_matches(v, '[\w.+-]+@[\w-]+\.[\w.]+') THEN 'contains an email address'

@@ -64,6 +64,32 @@ _named("a07_finalize_text", _apply(text.finalize_text), f"SELECT doc_id, {_final
 _named("a08_clean_transcript", _apply(text.clean_transcript))
 
 
+
+def _parts(spark, sf_dir, said, f):
+    """f of a sentence with a known slip in it, which holds the part's number (%s)."""
+    pick = F.element_at(F.array(*(F.format_string(x.replace("?", "%1$s"), F.col("p_partkey").cast("string")) for x in said)), (F.col("p_partkey") % len(said) + 1).cast("int"))
+    # a column of its own, so that the rules don't repeat it
+    return table(spark, sf_dir, "part").select("p_partkey", pick.alias("said")).select("p_partkey", f(F.col("said")).alias("text"))
+
+
+def _known(name, f, cases):
+    """A query of sentences (? stands for the part's number), with what is to become of them."""
+    said, clean = zip(*cases, strict=True)
+    to = ", ".join(f"'{x}'" for x in clean)
+    sql = f"SELECT p_partkey, replace(list_extract([{to}], (p_partkey % {len(cases)} + 1)::INT), '?', p_partkey::VARCHAR) AS text FROM part"
+    _named(name, lambda spark, sf_dir: _parts(spark, sf_dir, said, f), sql)
+
+
+_known("a02_known_stutters", text.collapse_stutters,
+       [("I-I-I want ? now", "I want ? now"), ("We-we took ? of the-the-the", "We took ? of the"), ("well-known ? stays co-op", "well-known ? stays co-op")])
+_known("a03_known_false_starts", text.drop_false_starts,
+       [("a pic picture of ?", "a picture of ?"), ("? and wan wanted ones", "? and wanted ones"), ("? in the then new way", "? in the then new way")])
+_known("a04_known_restarts", text.collapse_restarts,
+       [("i want ? i want ? today", "i want ? today"), ("we sold part ? we sold part ?", "we sold part ?"), ("i want ? you want ? today", "i want ? you want ? today")])
+_known("a08_known_transcripts", text.clean_transcript,
+       [("um, so the the part ? is , ready", "So the part ? is, ready"), ("i need ? i need ? by noon ..ok", "I need ? by noon.ok"), ("we-we  saw pic picture ?", "We saw picture ?")])
+
+
 @query()
 def flagship_cleanup_report(spark, sf_dir):
     """By language: rows, rows that clean-up changed, characters that it removed."""
@@ -174,14 +200,15 @@ def a22_apply_large_dictionary(spark, sf_dir):
     return dictionary.apply_dictionary(said, _entries(spark, sf_dir))
 
 
-@query("""WITH e AS (SELECT p_partkey::VARCHAR AS id, p_name AS original, 'X-' || p_partkey AS replacement FROM part WHERE p_partkey % 2 = 0),
-i AS (SELECT 'i' || p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE upper(p_name) END AS original, 'Y-' || p_partkey AS replacement FROM part WHERE p_partkey % 3 = 0)
+@query("""WITH e AS (SELECT p_partkey::VARCHAR AS id, p_name AS original, 'X-' || p_partkey AS replacement FROM part),
+i AS (SELECT 'i' || p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE 'New ' || p_name END AS original, 'Y-' || p_partkey AS replacement FROM part)
 SELECT * FROM e UNION ALL SELECT * FROM i WHERE original <> '' AND NOT EXISTS (SELECT 1 FROM e WHERE lower(e.original) = lower(i.original))""")
 def a23_merge_dictionary(spark, sf_dir):
     e = _entries(spark, sf_dir)
     n = F.col("id").cast("long")
-    imported = e.where(n % 3 == 0).select(F.concat(F.lit("i"), "id").alias("id"), F.when(n % 5 == 0, "").otherwise(F.upper("original")).alias("original"), F.concat(F.lit("Y-"), "id").alias("replacement"), F.lit(None).cast("array<string>").alias("variants"), F.lit(None).cast("timestamp").alias("created_at"))
-    return dictionary.merge_dictionary(e.where(n % 2 == 0), imported).select("id", "original", "replacement")
+    said = F.when(n % 5 == 0, "").when(n % 2 == 0, F.upper("original")).otherwise(F.concat(F.lit("New "), "original"))
+    imported = e.select(F.concat(F.lit("i"), "id").alias("id"), said.alias("original"), F.concat(F.lit("Y-"), "id").alias("replacement"), F.lit(None).cast("array<string>").alias("variants"), F.lit(None).cast("timestamp").alias("created_at"))
+    return dictionary.merge_dictionary(e, imported).select("id", "original", "replacement")
 
 
 @query("SELECT DISTINCT p_brand AS original, p_brand AS replacement, 0::INTEGER AS n_variants FROM part")
@@ -190,12 +217,12 @@ def a24_migrate_dictionary(spark, sf_dir):
     return dictionary.migrate_dictionary(legacy).select("original", "replacement", F.size("variants").alias("n_variants"))
 
 
-@query("""WITH e AS (SELECT p_partkey AS k, p_partkey::VARCHAR AS id, p_partkey || ' ' || p_name AS original, 'X-' || p_partkey AS replacement FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 9 <> 1)
+@query("""WITH e AS (SELECT p_partkey AS k, p_partkey::VARCHAR AS id, p_partkey || ' ' || p_name AS original, 'X-' || p_partkey AS replacement FROM part WHERE p_partkey % 9 <> 1)
 SELECT id, CASE WHEN k % 10 = 0 THEN 'N-' || k ELSE original END AS original, CASE WHEN k % 10 = 0 THEN 'N-' || k ELSE replacement END AS replacement FROM e
 UNION ALL SELECT 'new' || k, 'fresh ' || k, 'F-' || k FROM e WHERE k % 7 = 0 AND k % 3 <> 0""")
 def a25_upsert_delete_dictionary(spark, sf_dir):
     k = F.col("id").try_cast("long")
-    e = _entries(spark, sf_dir).withColumn("original", F.concat_ws(" ", "id", "original")).where(k % 2 == 0)
+    e = _entries(spark, sf_dir).withColumn("original", F.concat_ws(" ", "id", "original"))
     e = dictionary.delete_dictionary(e, e.where(k % 9 == 1).select("id"))
     edits = e.where(k % 10 == 0).select("id", F.lit(" ").alias("original"), F.concat(F.lit("N-"), "id").alias("replacement"))
     # an addition whose original is known is refused, in whatever case

@@ -60,6 +60,26 @@ def read_f32_audio(spark: SparkSession, glob: str) -> DataFrame:
     return raw.select(F.regexp_extract("path", r"([^/]*)\.f32$", 1).alias("clip_id"), F.timestamp_millis(part(2).cast("long")).alias("ts"), part(3).cast("int").alias("sample_rate"), "samples")
 
 
+def write_f32_audio(clips: DataFrame, folder: str) -> None:
+    """clips (clip_id, ms, sample_rate, samples) as one raw dump each, in a folder that all executors share.
+
+    A task that runs again writes the same files again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(folder)
+        files.create_dir(root, recursive=True)
+        for batch in batches:
+            for clip, ms, rate, samples in zip(*(batch.column(c) for c in ("clip_id", "ms", "sample_rate", "samples")), strict=True):
+                with files.open_output_stream(f"{root}/{clip}-{ms}-{rate}hz.f32") as out:
+                    out.write(np.asarray(samples.values, "<f4").tobytes())
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    clips.select("clip_id", "ms", "sample_rate", "samples").mapInArrow(run, "n long").agg({"n": "sum"}).collect()
+
+
 def event_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """Events of `data: {json}` lines; comments and malformed lines are left out."""
     body = F.regexp_extract(value, r"^data: ?(\{.*\})\s*$", 1)
