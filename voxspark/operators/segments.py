@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,29 +104,35 @@ def seam_report(df: DataFrame, session: str = "session_id", idx: str = "seg_idx"
 
 
 def dedup_overlap(df: DataFrame, session: str = "session_id", idx: str = "chunk_idx", text: str = "text", window: int = 15, least: int = 3) -> DataFrame:
-    """Each chunk without the words that the kept text before it ends with; and in JVM code:
-    an ordered fold whose state is the last kept chunk's words."""
-    part = F.struct(F.col(idx).alias("i"), F.filter(F.split(F.trim(text), r"\s+"), lambda x: x != "").alias("w"))
-    lists = df.groupBy(session).agg(F.array_sort(F.collect_list(part)).alias("parts"))
-    empty = F.array().cast("array<string>")
-
-    def cut(last: Column, now: Column) -> Column:
-        tail = F.slice(last, F.greatest(F.size(last) - window + 1, F.lit(1)), window)
-        low = lambda a: F.transform(a, F.lower)
-        ks = F.transform(F.sequence(F.lit(least), F.lit(window)), lambda k: F.when((F.size(tail) >= k) & (F.size(now) >= k) & (low(F.slice(tail, F.greatest(F.size(tail) - k + 1, F.lit(1)), k)) == low(F.slice(now, 1, k))), k).otherwise(0))
-        k = F.coalesce(F.array_max(ks), F.lit(0))
-        return F.slice(now, k + 1, F.size(now) + 1)
-
-    out = F.struct(F.lit(0).alias("i"), F.lit("").alias("t"))
-    start = F.struct(empty.alias("last"), F.array(out).alias("rows"))
-
-    def step(s: Column, p: Column) -> Column:
-        kept = cut(s["last"], p["w"])
-        skip = F.size(p["w"]) == 0
-        return F.struct(F.when(skip | (F.size(kept) == 0), s["last"]).otherwise(kept).alias("last"), F.when(skip, s["rows"]).otherwise(F.concat(s["rows"], F.array(F.struct(p["i"].cast("int").alias("i"), F.array_join(kept, " ").alias("t"))))).alias("rows"))
-
-    rows = F.aggregate("parts", start, step, lambda s: F.slice(s["rows"], 2, F.size(s["rows"])))
-    return lists.select(session, F.explode(rows).alias("r")).select(session, F.col("r.i").alias(idx), F.col("r.t").alias(text))
+    """Each chunk without the words that the kept text before it ends with; chunks without words go.
+
+    An ordered fold over partitions sorted by session and chunk: rows stream by, and only the
+    last `window` kept words of one session are held.
+    """
+    kinds = [(c, df.schema[c].dataType.simpleString()) for c in (session, idx)]
+
+    def cut(last: list[str], now: list[str]) -> int:
+        low = [w.lower() for w in now[:window]]
+        return next((k for k in range(min(window, len(last), len(low)), least - 1, -1) if last[-k:] == low[:k]), 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, last = object(), []
+        for batch in batches:
+            stay, texts = [], []
+            for n, (s, t) in enumerate(zip(batch.column(session).to_pylist(), batch.column(text).to_pylist(), strict=True)):
+                if s != current:
+                    current, last = s, []
+                words = re.findall(r"\S+", t or "", re.A)
+                if words:
+                    kept = words[cut(last, words):]
+                    last = [w.lower() for w in kept[-window:]] or last
+                    stay.append(n)
+                    texts.append(" ".join(kept))
+            out = batch.select([session, idx]).take(pa.array(stay, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(texts, pa.string())], [session, idx, text])
+
+    rows = df.select(session, idx, text)
+    return rows.repartition(session).sortWithinPartitions(session, idx).mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in kinds) + f", `{text}` string")
 
 
 def _runs(words: list[str], least: int = 4, times: int = 3) -> list[tuple[int, int, int]]:

@@ -108,7 +108,8 @@ def _said(name, build, f, sql, source="orders"):
     key = "o_orderkey" if source == "orders" else "p_partkey"
 
     def run(spark, sf_dir):
-        return table(spark, sf_dir, source).select(key, f(build()).alias("written"))
+        # a column of its own, so that rules that name their input several times don't repeat it
+        return spread(table(spark, sf_dir, source).select(key, build().alias("said"))).select(key, f(F.col("said")).alias("written"))
 
     _named(name, run, f"SELECT {key}, {sql} AS written FROM {source}")
 
