@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,16 +125,37 @@ class Segmenter:
 
 
 def segment_by_energy(chunks: DataFrame, session: str = "session_id") -> DataFrame:
-    """session, seg_idx, start_sample, end_sample, forced of ordered chunks (chunk_idx, sample_rate, samples)."""
-    kind = chunks.schema[session].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk_idx")
-        s = Segmenter(int(pdf["sample_rate"].iloc[0]))
-        rows = [r for x in _rows(pdf["samples"]) for r in s.push(x)] + s.finish()
-        return pd.DataFrame([(pdf[session].iloc[0], *r) for r in rows], columns=[session, "seg_idx", "start_sample", "end_sample", "forced"])
+    """session, seg_idx, start_sample, end_sample, forced of ordered chunks (chunk_idx, sample_rate, samples).
 
-    return chunks.groupBy(session).applyInPandas(run, f"{session} {kind}, seg_idx long, start_sample long, end_sample long, forced boolean")
+    A fold over partitions sorted by session and chunk: chunks stream by, and only the open
+    segment of one session is held.
+    """
+    kind = chunks.schema[session].dataType.simpleString()
+    names = [session, "seg_idx", "start_sample", "end_sample", "forced"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, s, key_type = None, None, None
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            types = [key_type, pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+        for batch in batches:
+            rows, key_type = [], batch.schema.field(session).type
+            for key, rate, x in zip(*(batch.column(c) for c in (session, "sample_rate", "samples")), strict=True):
+                key = key.as_py()
+                if s is None or key != current:
+                    rows += [(current, *r) for r in s.finish()] if s else []
+                    current, s = key, Segmenter(rate.as_py())
+                if x.is_valid:
+                    rows += [(current, *r) for r in s.push(np.asarray(x.values, np.float32))]
+            yield out(rows)
+        if s:
+            yield out([(current, *r) for r in s.finish()])
+
+    rows = chunks.select(session, "chunk_idx", "sample_rate", "samples").repartition(session).sortWithinPartitions(session, "chunk_idx")
+    return rows.mapInArrow(run, f"`{session}` {kind}, seg_idx long, start_sample long, end_sample long, forced boolean")
 
 
 def _islands(df: DataFrame, key: str, order: str, flag: Column, name: str) -> DataFrame:
