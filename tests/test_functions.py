@@ -105,3 +105,21 @@ def test_repetition_loops_of_any_length():
     phrase = " ".join(f"word{i}" for i in range(450))
     assert _collapsed(" ".join(["before", *[phrase] * 3, "after"])) == f"before {phrase} after"
     assert _runs("a b c d e".split() * 3) == [(0, 5, 15)] and _runs("x a b c d a b c d a b c d y".split()) == [(1, 4, 13)]
+
+
+def test_overlap_fold_of_odd_rows(spark):
+    rows = [(1, 0, "a b c d"), (1, 1, "B C D e"), (1, 2, None), (1, 3, "  "), (1, 4, "b c d e"), (1, 5, "c d e f"), (2, 0, "c d e f"), (None, 0, "x y z"), (None, 1, "x y z w")]
+    got = segments.dedup_overlap(spark.createDataFrame(rows, "session_id long, chunk_idx long, text string")).collect()
+    # a chunk that is all overlap leaves an empty text, and the kept words before it stay the ones to compare with
+    assert {(r.session_id, r.chunk_idx): r.text for r in got} == {(1, 0): "a b c d", (1, 1): "e", (1, 4): "b c d e", (1, 5): "f", (2, 0): "c d e f", (None, 0): "x y z", (None, 1): "w"}
+
+
+def test_recipes_that_start_with_a_slot(spark, monkeypatch):
+    kinds = "id string, patterns array<string>, slots array<string>, stats struct<quarantined:boolean>"
+    recipes = spark.createDataFrame([("r1", ["{a} near {b}"], ["a"], None), ("r2", ["{what}"], ["what"], None), ("r3", ["open {a}"], ["a"], None)], kinds)
+    said = spark.createDataFrame([(1, "Bread NEAR  home."), (2, "nearby things"), (3, "open door")], "utterance_id int, text string")
+    got = {r.utterance_id: (r.recipe_id, r.slots) for r in commands.match_recipes(said, recipes).collect()}
+    assert got == {1: ("r1", {"a": "Bread", "b": "home"}), 2: ("r2", {"what": "nearby things"}), 3: ("r3", {"a": "door"})}
+    monkeypatch.setattr(commands, "MAX_OPEN_PATTERNS", 0)
+    with pytest.raises(ValueError, match="without a word"):
+        commands.match_recipes(said, recipes)
