@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .bpe import decode, encode
 from .common import fresh_path
+from .conversation import damage, repair_reports
 from .html_text import extract_text
 from .jaccard_join import jaccard_classes
 from .line_dedup import SHINGLES, dedup_lines
@@ -94,7 +95,13 @@ def bpe_digests(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op3_token_output, op4_quality_rules, op5_html_text, op6_suffix_dedup, op7_line_dedup, op8_url_filter, op9_topk_search, op10_byte_bpe)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after damage."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair_reports(damage(turns), turns)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op3_token_output, op4_quality_rules, op5_html_text, op6_suffix_dedup, op7_line_dedup, op8_url_filter, op9_topk_search, op10_byte_bpe, op13_conversation_repair)}
 
 _OP1_SQL = r"""
 WITH RECURSIVE w AS (
