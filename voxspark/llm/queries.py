@@ -14,6 +14,7 @@ from .line_dedup import SHINGLES, dedup_lines
 from .mixing import mix_sources
 from .quality import quality_scores
 from .search import search
+from .spelling import corpus_words, spelling_forms
 from .suffix_dedup import remove_repeats
 from .token_output import token_index, write_tokens
 from .url_filter import UrlModel, judge_urls, seed_labels
@@ -95,13 +96,19 @@ def bpe_digests(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of the corpus with its near words' number, its form and its root."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling_forms(corpus_words(docs, least_length=6, least_n=5, drop=199), times=5)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults and cheapest repair of every conversation, after damage."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return repair_reports(damage(turns), turns)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op3_token_output, op4_quality_rules, op5_html_text, op6_suffix_dedup, op7_line_dedup, op8_url_filter, op9_topk_search, op10_byte_bpe, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op3_token_output, op4_quality_rules, op5_html_text, op6_suffix_dedup, op7_line_dedup, op8_url_filter, op9_topk_search, op10_byte_bpe, op12_spelling_variants, op13_conversation_repair)}
 
 _OP1_SQL = r"""
 WITH RECURSIVE w AS (
