@@ -12,6 +12,7 @@ from .html_text import extract_text
 from .jaccard_join import jaccard_classes
 from .line_dedup import SHINGLES, dedup_lines
 from .mixing import mix_sources
+from .pii import KINDS, learn_field, personal_spans, span_list
 from .quality import quality_scores
 from .search import search
 from .spelling import corpus_words, spelling_forms
@@ -96,6 +97,16 @@ def bpe_digests(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base matches and all spans of personal data of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = personal_spans(docs, learn_field(docs))
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("spans")).alias("spans"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every frequent word of the corpus with its near words' number, its form and its root."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -108,7 +119,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_reports(damage(turns), turns)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op3_token_output, op4_quality_rules, op5_html_text, op6_suffix_dedup, op7_line_dedup, op8_url_filter, op9_topk_search, op10_byte_bpe, op12_spelling_variants, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op3_token_output, op4_quality_rules, op5_html_text, op6_suffix_dedup, op7_line_dedup, op8_url_filter, op9_topk_search, op10_byte_bpe, op11_personal_data, op12_spelling_variants, op13_conversation_repair)}
 
 _OP1_SQL = r"""
 WITH RECURSIVE w AS (
