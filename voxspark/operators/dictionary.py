@@ -2,42 +2,106 @@
 
 from __future__ import annotations
 
+import functools
+import heapq
 import re
+from bisect import bisect_right
 from collections.abc import Sequence
+from datetime import datetime
+from string import ascii_lowercase, ascii_uppercase
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.automaton import WordAutomaton
 from ..functions.text import generate_variants
 from ..sources.files import work_path
 
-MAX_LITERAL_ENTRIES = 10_000
+#: Code points of the patterns of a dictionary that goes to the workers as one automaton; larger ones are joined.
+AUTOMATON_CHARS = 20_000_000
+_FEW = 64
+_LOWER = str.maketrans(ascii_uppercase, ascii_lowercase)
+#: A term that begins and ends with a word.
+_WHOLE = r"[A-Za-z0-9_](?:[\s\S]*[A-Za-z0-9_])?"
+Entry = tuple[str, Sequence[str]]  # replacement, patterns
+
+
+class Corrections:
+    """Entries in order, applied to one text at a time.
+
+    A text meets the entries whose whole pattern can stand in it, one for each pattern: the first
+    one whose turn is still to come, since that one leaves no place for those behind it.  A replacement can bring a
+    pattern about only by its words, or by an end that isn't a word's; then the text is searched again for
+    later entries.
+    """
+
+    def __init__(self, entries: Sequence[Entry]) -> None:
+        self.entries = [(r, [p for p in ps if p and p.strip()]) for r, ps in entries]
+        owners: dict[str, list[int]] = {}
+        for e, (r, patterns) in enumerate(self.entries):
+            for p in dict.fromkeys(p.translate(_LOWER) for p in patterns):
+                owners.setdefault(p, []).append(e)
+        self.automaton, self.owners = WordAutomaton(owners), list(owners.values())
+        self.opens = [opens(r, ps) or self.automaton.knows(r) for r, ps in self.entries]
+
+    def due(self, text: str, after: int) -> list[int]:
+        """A heap of the entries behind `after` that the text meets."""
+        own = (self.owners[k] for k in set(self.automaton.found(text)))
+        heap = list({e[k] for e in own if (k := bisect_right(e, after)) < len(e)})
+        heapq.heapify(heap)
+        return heap
+
+    def apply(self, text: str) -> str:
+        heap = self.due(text, -1)
+        while heap:
+            e = heapq.heappop(heap)
+            text, hits = replaced(text, *self.entries[e])
+            if hits and self.opens[e]:  # even where it puts in what was there
+                heap = self.due(text, e)
+        return text
+
+
+def opens(replacement: str, patterns: Sequence[str]) -> bool:
+    """Whether words can join or meet where the replacement is put in."""
+    return any(not re.fullmatch(_WHOLE, x) for x in (replacement, *patterns))
+
+
+@functools.lru_cache(20_000)
+def _compiled(pattern: str) -> re.Pattern:
+    return re.compile(rf"\b{re.escape(pattern)}\b", re.I | re.A)
+
+
+def replaced(text: str, replacement: str, patterns: Sequence[str]) -> tuple[str, int]:
+    """The text after one entry, and the number of places."""
+    hits = 0
+    for p in patterns:
+        text, n = _compiled(p).subn(lambda _: replacement, text)
+        hits += n
+    return text, hits
 
 
 def dictionary_udf(entries: Sequence[tuple[str, str, Sequence[str]]]):
     """A Column function that applies (original, replacement, variants) in entry order.
 
-    For dictionaries up to MAX_LITERAL_ENTRIES, which go along with the function; a row
-    that holds none of the terms is not searched term by term.
+    For dictionaries that go along with the function; see apply_dictionary for those of any size.
     """
-    rules = [(p, r) for o, r, vs in entries if r and r.strip() for p in [o, *(vs or [])] if p and p.strip()]
-    if len(rules) > MAX_LITERAL_ENTRIES:
-        raise ValueError(f"{len(rules)} patterns; use apply_dictionary for large dictionaries")
-    compiled = [(p.lower(), re.compile(rf"\b{re.escape(p)}\b", re.I | re.A), r) for p, r in rules]
+    kept = [(r, [p for p in [o, *(vs or [])] if p and p.strip()]) for o, r, vs in entries if r and r.strip()]
+    corrections = None if sum(len(ps) for _, ps in kept) <= _FEW else Corrections(kept)
+    few = [(p.lower(), p, r) for r, ps in kept for p in ps]
 
     def one(t: str) -> str:
+        """Of a few terms each is looked for by itself."""
         low = t.lower()
-        for p, rx, r in compiled:
+        for p, pattern, r in few:
             if p in low:
-                new = rx.sub(lambda _m, r=r: r, t)
-                if new is not t:
-                    t, low = new, new.lower()
+                t, hits = replaced(t, r, [pattern])
+                low = t.lower() if hits else low
         return t
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(one, na_action="ignore")
+        return s.map(corrections.apply if corrections else one, na_action="ignore")
 
     return lambda c: run(c)
 
@@ -49,49 +113,86 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def apply_dictionary(df: DataFrame, dictionary: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Corrections from a dictionary of any size (id, original, replacement, variants, created_at).
+def apply_dictionary(df: DataFrame, dictionary: DataFrame, text: str = "text", automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
+    """Corrections from a dictionary of any size (id, original, replacement, variants, created_at), by creation, then id.
 
-    Terms meet texts by their first word in an equi-join, so a row gets its candidate
-    entries only; a replacement may bring in a later entry's term, so those whose first
-    word stands in a replacement are candidates, too, for every row that has the former,
-    and so on along the dictionary, however many entries follow each other.
+    Up to automaton_chars of patterns, the entries go to the workers as an automaton, and no
+    row moves.  Beyond that, texts and patterns meet in an equi-join on all words of the pattern in a row.  Either way a
+    row gets those entries only whose whole pattern can stand in it, and both give the same texts.
     """
-    terms = dictionary.where(F.trim("replacement") != "").select("created_at", "id", "original", "replacement", "variants")
-    terms = terms.withColumn("patterns", F.filter(F.concat(F.array("original"), F.coalesce("variants", F.array().cast("array<string>"))), lambda p: F.trim(p) != ""))
-    first = lambda c: F.lower(F.regexp_extract(c, r"^[^A-Za-z0-9_]*([A-Za-z0-9_]*)", 1))
-    keyed = terms.select("created_at", "id", "replacement", "patterns", F.explode(F.array_distinct(F.transform("patterns", first))).alias("w"))
-    brought = terms.select(F.col("id").alias("from_id"), F.col("created_at").alias("from_at"), F.explode(F.array_distinct(F.split(F.lower("replacement"), "[^a-z0-9_]+"))).alias("w")).where("w <> ''")
-    # entries in order: only a later one can meet what an earlier one has put in, and what that puts in in turn
-    after = (F.col("created_at") > F.col("from_at")) | (F.col("created_at").eqNullSafe(F.col("from_at")) & (F.col("id") > F.col("from_id"))) | (F.col("created_at").isNotNull() & F.col("from_at").isNull())
-    step = _written(brought.join(keyed, "w").where(after).select("from_id", "id").distinct(), "dictionary-steps")
-    reach = new = step
-    while not new.isEmpty():
-        new = new.select("from_id", F.col("id").alias("mid")).join(step.select(F.col("from_id").alias("mid"), "id"), "mid").select("from_id", "id").distinct()
-        new = _written(new.join(reach, ["from_id", "id"], "left_anti"), "dictionary-steps")
-        reach = reach.unionAll(new)
-    starts = keyed.select("id", F.col("w").alias("kw")).distinct()
-    chain = starts.unionAll(reach.join(starts.select(F.col("id").alias("from_id"), "kw"), "from_id").select("id", "kw"))
-    words = df.select(key, F.explode(F.array_distinct(F.split(F.lower(text), "[^a-z0-9_]+"))).alias("kw"))
-    hits = words.join(chain.select("id", "kw").distinct(), "kw").select(key, "id").distinct()
-    entry = F.struct("created_at", "id", "replacement", "patterns")
-    lists = hits.join(terms, "id").groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
+    terms = dictionary.where(F.trim("replacement") != "").select("created_at", "id", "replacement", F.filter(F.concat(F.array("original"), F.coalesce("variants", F.array().cast("array<string>"))), lambda p: F.trim(p) != "").alias("patterns"))
+    size = terms.select(F.sum(F.length("replacement") + F.aggregate("patterns", F.lit(0).cast("long"), lambda n, p: n + F.length(p) + 8))).first()[0] or 0
+    if size > automaton_chars:
+        return _apply_joined(df, terms, text)
+    entries = sorted(((r["created_at"] is not None, r["created_at"], r["id"] is not None, r["id"], r["replacement"], r["patterns"]) for r in terms.collect()), key=lambda r: (r[0], r[1] or datetime.min, r[2], r[3] or ""))
+    held = df.sparkSession.sparkContext.broadcast(Corrections([(r[4], r[5]) for r in entries]))
 
     @F.pandas_udf("string")
-    def run(t: pd.Series, entries: pd.Series) -> pd.Series:
-        def one(x, es):
-            for e in es:
-                for p in e["patterns"]:
-                    if p.lower() not in x.lower():
-                        continue
-                    x = re.sub(rf"\b{re.escape(p)}\b", lambda _m, r=e["replacement"]: r, x, flags=re.I | re.A)
-            return x
-
-        return pd.Series([x if x is None or es is None else one(x, es) for x, es in zip(t, entries, strict=True)])
-
-    joined = df.join(lists, key, "left")
-    fixed = F.when(F.col("_entries").isNull(), F.col(text)).otherwise(run(F.col(text), F.col("_entries")))
-    return joined.withColumn(text, fixed).select(*df.columns)
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(held.value.apply, na_action="ignore")
+
+    return df.withColumn(text, run(F.col(text)))
+
+
+def _pieces(c: str) -> Column:
+    """The words of a text, in lower case."""
+    return F.transform(F.regexp_extract_all(F.col(c), F.lit(r"([A-Za-z0-9_]+)"), 1), F.lower)
+
+
+def _gaps(c: str) -> Column:
+    """What stands between one word and the next, each behind a line break."""
+    s = F.split(c, "[A-Za-z0-9_]+")
+    return F.transform(F.slice(s, 2, F.greatest(F.size(s) - 2, F.lit(0))), lambda g: F.concat(F.lit("\n"), g))
+
+
+def _gram(n: int):
+    return lambda i: F.array_join(F.slice("w", i, F.lit(n)), " ")
+
+
+def _apply_joined(df: DataFrame, terms: DataFrame, text: str) -> DataFrame:
+    """Rounds of joins: each applies what a text meets up to the first entry that may open the way for a later one."""
+    order = F.struct(F.col("created_at").isNotNull().alias("dated"), "created_at", "id")
+    long = terms.select(order.alias("order"), "replacement", "patterns", F.explode(F.array_distinct(F.transform("patterns", lambda p: F.translate(p, ascii_uppercase, ascii_lowercase)))).alias("pattern"))
+    long = long.withColumn("words", _pieces("pattern"))
+    long = _written(long.withColumn("key", F.when(F.size("words") > 0, F.array_join("words", " ")).otherwise(F.concat(F.lit("\n"), "pattern"))), "dictionary-patterns")
+    known = long.select(F.explode(F.when(F.size("words") > 0, F.col("words")).otherwise(F.array("key"))).alias("w")).distinct()
+    put_in = terms.select(order.alias("order"), F.explode(F.concat(_pieces("replacement"), _gaps("replacement"))).alias("w")).join(known, "w").select("order").distinct().withColumn("again", F.lit(True))
+    whole = rf"\A{_WHOLE}\z"
+    edges = ~F.col("replacement").rlike(whole) | F.exists("patterns", lambda p: ~p.rlike(whole))
+    entries = terms.select(order.alias("order"), "replacement", "patterns", edges.alias("edges")).join(put_in, "order", "left")
+    entries = _written(entries.select("order", "replacement", "patterns", (F.col("edges") | F.coalesce("again", F.lit(False))).alias("opens")), "dictionary-entries")
+    lengths = [r[0] for r in long.select(F.size("words")).distinct().collect() if r[0] > 0]  # of patterns, in words: a few numbers
+    kind = entries.schema["order"].dataType.simpleString()
+
+    @F.pandas_udf(f"text string, done {kind}")
+    def run(t: pd.Series, found: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, es in zip(t, found, strict=True):
+            done = None
+            for e in () if es is None else es:
+                x, hits = replaced(x, e["replacement"], e["patterns"])
+                if hits and e["opens"]:
+                    done = e["order"]
+                    break
+            out.append((x, done))
+        return pd.DataFrame(out, columns=["text", "done"])
+
+    named = _written(df.withColumn("_row", F.expr("uuid()")), "dictionary-texts")
+    todo, final, how = named.select("_row", F.col(text).alias("t"), F.lit(None).cast(kind).alias("done")).where("t is not null"), None, "inner"
+    while True:
+        words = todo.select("_row", "done", _pieces("t").alias("w"), _gaps("t").alias("g"))
+        grams = [F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), _gram(n))) for n in lengths]
+        keys = F.array_distinct(F.concat("g", *[F.coalesce(g, F.array().cast("array<string>")) for g in grams]))
+        met = words.select("_row", "done", F.explode(keys).alias("key")).join(long.select("key", "order", "pattern"), "key").where("done is null or order > done")
+        first = met.groupBy("_row", "pattern").agg(F.min("order").alias("order")).select("_row", "order").distinct()
+        lists = first.join(entries, "order").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("order", "replacement", "patterns", "opens"))).alias("found"))
+        step = _written(todo.join(lists, "_row", how).select("_row", run("t", "found").alias("r")).select("_row", F.col("r.text").alias("t"), "r.done"), "dictionary-round")
+        over = step.where("done is null").select("_row", "t")
+        final = over if final is None else final.unionAll(over)
+        todo, how = step.where("done is not null"), "left"
+        if todo.isEmpty():
+            break
+    return named.join(final.select("_row", F.col("t").alias("_fixed")), "_row", "left").withColumn(text, F.coalesce("_fixed", text)).select(*df.columns)
 
 
 def _low(c: str) -> Column:
