@@ -62,7 +62,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the lines that stay, and the numbers of those that left."""
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return dedup_lines(docs, counts=True, shingles=SHINGLES)
+    return dedup_lines(docs, counts=True, shingles=SHINGLES, from_files=True)
 
 
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
