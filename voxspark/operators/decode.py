@@ -73,6 +73,26 @@ def nearest_rank(col: str, p: float) -> Column:
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {col})")
 
 
+#: Size of a sketch: ranks are off by about 1.7 / k ** 0.9 of all (99 % of cases), 0.1 % here; up to some thousand values it is exact.
+SKETCH_K, SKETCH_ERROR = 4096, 0.001
+
+
+def latency_sketch(c: str | Column, k: int = SKETCH_K) -> Column:
+    """An aggregate of a bounded size, of a group or time window, from which percentiles can be had later."""
+    return F.kll_sketch_agg_bigint(c, k)
+
+
+def merge_sketches(c: str | Column, k: int = SKETCH_K) -> Column:
+    """An aggregate: the sketch of all values behind the sketches, as of windows that make up a longer time."""
+    return F.kll_merge_agg_bigint(c, k)
+
+
+def sketch_percentile(sketch: str | Column, p: float) -> Column:
+    """The nearest-rank percentile of a sketch, within its rank error; null of no values."""
+    s = F.col(sketch) if isinstance(sketch, str) else sketch
+    return F.when(F.kll_sketch_get_n_bigint(s) > 0, F.kll_sketch_get_quantile_bigint(s, F.lit(p)))
+
+
 def latency_report(history: DataFrame, by: list[str] | None = None) -> DataFrame:
     """By length of audio, and over all (bucket "all"): n, typical wait and best speed."""
     b = F.when(F.col("audio_ms") < 10_000, "<10s").when(F.col("audio_ms") < 30_000, "10-30s").when(F.col("audio_ms") < 60_000, "30-60s").otherwise(">60s")

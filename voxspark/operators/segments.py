@@ -38,11 +38,22 @@ def ends_sentence(c: Column) -> Column:
     return c.rlike(_ENDS)
 
 
+def last_words(text: str, n: int = 6) -> list[str]:
+    """The last n words of a text, found from its end."""
+    size = 64
+    while True:
+        at = max(0, len(text) - size)
+        words = list(_WORD.finditer(text, at))
+        if at == 0 or len(words) > n:  # the first one may be cut
+            return [m[0] for m in words[-n:]]
+        size *= 4
+
+
 def repair_seam(left: str, right: str, forced: bool) -> tuple[str, str, bool, bool]:
     """(left, right, trimmed, repaired) after looking at the seam between two texts."""
     trimmed = repaired = False
     if not forced:
-        tail = [m[0].lower().replace("’", "'") for m in _WORD.finditer(left[-400:])] if len(left) > 400 else [m[0].lower().replace("’", "'") for m in _WORD.finditer(left)]
+        tail = [w.lower().replace("’", "'") for w in last_words(left)]
         head = list(_WORD.finditer(right))
         said = [m[0].lower().replace("’", "'") for m in head[:6]]
         k = next((k for k in range(min(6, len(tail), len(said)), 1, -1) if tail[-k:] == said[:k]), 0)
@@ -63,32 +74,71 @@ def repair_seam(left: str, right: str, forced: bool) -> tuple[str, str, bool, bo
     return left, right, trimmed, repaired
 
 
-def _fold(parts: list) -> dict:
-    """Seams only look at the end of what is there, so finished text waits in a list."""
-    kept = [(p["text"].strip(), bool(p["forced"])) for p in parts if p["text"] and p["text"].strip()]
-    done, tail, repairs, trims = [], kept[0][0] if kept else "", 0, 0
-    for (_, forced), (right, _) in zip(kept, kept[1:]):
-        tail, right, t, r = repair_seam(tail, right, forced)
-        trims, repairs = trims + t, repairs + r
-        if right:
-            tail += " " + right
-            if len(tail) > 4000:  # a seam needs six words at most
-                cut = tail.rindex(" ", 0, len(tail) - 800) if " " in tail[:-800] else 0
-                done.append(tail[:cut])
-                tail = tail[cut:]
-    return {"text": re.sub(r"\s+", " ", "".join([*done, tail])).strip(), "repairs": repairs, "trims": trims}
+#: A seam looks at six words and a mark; so much of a text is kept open, in words, and as a rule in characters.
+_OPEN_WORDS, _OPEN_CHARS = 8, 4000
+
+
+class SeamFold:
+    """Segments of one session joined one by one; text that no seam can change any more is passed on."""
+
+    def __init__(self, tail: str = "", forced: bool = False) -> None:
+        self.tail, self.forced, self.repairs, self.trims = tail, forced, 0, 0
+
+    def push(self, text: str | None, forced: bool) -> list[str]:
+        """The parts that have become final."""
+        text = (text or "").strip()
+        if not text:
+            return []
+        if self.tail:
+            self.tail, text, trimmed, repaired = repair_seam(self.tail, text, self.forced)
+            self.trims, self.repairs = self.trims + trimmed, self.repairs + repaired
+        self.forced = forced
+        if text:
+            self.tail += " " + text if self.tail else text
+        self.tail = re.sub(r"\s+", " ", self.tail)
+        return self._settled() if len(self.tail) > _OPEN_CHARS else []
+
+    def _settled(self) -> list[str]:
+        size = 800
+        while size < len(self.tail):
+            cut = self.tail.rfind(" ", 0, len(self.tail) - size)
+            if cut > 0 and len(last_words(self.tail[cut:], _OPEN_WORDS)) >= _OPEN_WORDS:
+                done, self.tail = self.tail[:cut], self.tail[cut:]
+                return [done]
+            size *= 2
+        return []
 
 
 def join_segments(df: DataFrame, session: str = "session_id", idx: str = "seg_idx", text: str = "text", forced: str = "forced_split") -> DataFrame:
-    """One text a session, with counts of repaired and trimmed seams."""
-    part = F.struct(F.col(idx).alias("i"), F.col(text).alias("text"), F.coalesce(F.col(forced), F.lit(False)).alias("forced"))
+    """One text a session, with counts of repaired and trimmed seams.
 
-    @F.pandas_udf("text string, repairs long, trims long")
-    def run(parts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_fold(p) for p in parts], columns=["text", "repairs", "trims"])
+    A fold over partitions sorted by session and segment: rows stream by, and of one session its text is held.
+    """
+    kind = df.schema[session].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, fold, done, key_type = None, None, [], None
 
-    lists = df.groupBy(session).agg(F.array_sort(F.collect_list(part)).alias("parts"))
-    return lists.select(session, run("parts").alias("j")).select(session, "j.*")
+        def row() -> tuple:
+            return (current, "".join([*done, fold.tail]).strip(), fold.repairs, fold.trims)
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*rows, strict=True) if rows else [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [key_type, pa.string(), pa.int64(), pa.int64()], strict=True)], [session, "text", "repairs", "trims"])
+
+        for batch in batches:
+            rows, key_type = [], batch.schema.field(session).type
+            for key, t, f in zip(*(batch.column(c).to_pylist() for c in (session, text, forced)), strict=True):
+                if fold is None or key != current:
+                    rows += [row()] if fold else []
+                    current, fold, done = key, SeamFold(), []
+                done += fold.push(t, bool(f))
+            yield out(rows)
+        if fold:
+            yield out([row()])
+
+    rows = df.select(session, idx, text, forced).repartition(session).sortWithinPartitions(session, idx)
+    return rows.mapInArrow(run, f"`{session}` {kind}, text string, repairs long, trims long")
 
 
 def seam_report(df: DataFrame, session: str = "session_id", idx: str = "seg_idx", text: str = "text", forced: str = "forced_split") -> DataFrame:

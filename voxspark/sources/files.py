@@ -91,5 +91,7 @@ def read_event_lines(spark: SparkSession, path: str) -> DataFrame:
     return event_lines(spark.read.text(path))
 
 
-def stream_event_lines(spark: SparkSession, path: str) -> DataFrame:
-    return event_lines(spark.readStream.text(path))
+def stream_event_lines(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """The same of files as they come, at most max_files a micro-batch."""
+    reader = spark.readStream.option("maxFilesPerTrigger", max_files) if max_files else spark.readStream
+    return event_lines(reader.text(path))

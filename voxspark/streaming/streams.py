@@ -2,79 +2,49 @@
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.audio import Segmenter
-from ..operators.segments import _fold
+from ..operators.decode import latency_sketch, sketch_percentile
+from .processors import PARTIAL, SEGMENT, PartialProcessor, SegmentProcessor
 
-_SEGMENT = "session_id long, kind string, seg_idx long, start_sample long, end_sample long, forced boolean"
-PREVIEW_MS, PREVIEW_LEAST_MS, PREVIEW_VOICED_MS, PREVIEW_SILENCE_MS = 1200, 300, 400, 320
+PREVIEW_MS = 1200
 
 
 def stream_segments(chunks: DataFrame, idle: str | None = None, preview_ms: int | None = None) -> DataFrame:
     """Closed segments of a stream of (session_id, chunk_idx, sample_rate, samples, stop, abort).
 
-    State is the open segment's window energies and the chunks that came too early; they
-    wait until their number is due.  A stop row closes the tail, an abort row drops all;
-    with idle (an interval; the stream needs a watermark on ts) silence of the source does.
-    preview_ms: also rows of kind "preview" where a preview of the open segment is due.
+    Chunks that come too early wait until their number is due.  A stop row closes the tail, an
+    abort row drops all that is open; with idle (an interval; the stream needs a watermark on ts) silence of the source does.
+    preview_ms: also rows of kind "preview" where a preview of the open segment is due; with a
+    column decoded (rows that say a decode of a preview or segment has come back) none is due while one is in flight.
+    Needs the RocksDB state store (see run_once).
     """
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
+    return chunks.groupBy("session_id").transformWithStateInPandas(SegmentProcessor(idle_ms, preview_ms), SEGMENT, "append", "eventTime" if idle else "none")
 
-    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s, due, early, seen = pickle.loads(state.get[0]) if state.exists else (None, 0, {}, 0)
-        out: list[tuple] = []
-        ended = state.hasTimedOut
-        for pdf in pdfs:
-            for r in pdf.itertuples():
-                early[int(r.chunk_idx)] = (int(r.sample_rate), None if r.samples is None else np.asarray(r.samples, np.float32), bool(r.stop), bool(r.abort))
-        while due in early and not ended:
-            rate, x, stop, abort = early.pop(due)
-            due += 1
-            s = s or Segmenter(rate)
-            if abort:
-                state.remove()
-                return
-            if x is not None:
-                closed = s.push(x)
-                out += [("segment", *c) for c in closed]
-                seen = 0 if closed else seen
-                new_ms = (s.open - seen) / s.rate * 1000
-                if preview_ms and not closed and new_ms >= max(PREVIEW_LEAST_MS, preview_ms) and s.voiced >= PREVIEW_VOICED_MS and s.silence < PREVIEW_SILENCE_MS:
-                    out.append(("preview", s.index, s.begin, s.begin + s.open, False))
-                    seen = s.open
-            ended = ended or stop
-        if ended:
-            out += [("segment", *c) for c in (s.finish() if s else [])]
-            state.remove()
-        else:
-            state.update((pickle.dumps((s, due, early, seen)),))
-            if idle:
-                state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + int(pd.Timedelta(idle).total_seconds() * 1000) + 1)
-        if out:
-            yield pd.DataFrame([(key[0], *o) for o in out], columns=["session_id", "kind", "seg_idx", "start_sample", "end_sample", "forced"])
-
-    timeout = GroupStateTimeout.EventTimeTimeout if idle else GroupStateTimeout.NoTimeout
-    return chunks.groupBy("session_id").applyInPandasWithState(run, _SEGMENT, "state binary", "append", timeout)
 
+def partial_transcripts(segments: DataFrame, ttl: str | None = None) -> DataFrame:
+    """After every batch of segments (session_id, seg_idx from 0, text, forced_split): newly settled text, and the end as it stands.
 
-def partial_transcripts(segments: DataFrame) -> DataFrame:
-    """After every batch of segments (session_id, seg_idx, text, forced_split) the joined text so far."""
+    ttl: an interval after whose passing without a segment a session's state goes.
+    """
+    ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else None
+    return segments.groupBy("session_id").transformWithStateInPandas(PartialProcessor(ttl_ms), PARTIAL, "update", "processingTime" if ttl else "none")
 
-    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        parts = pickle.loads(state.get[0]) if state.exists else {}
-        for pdf in pdfs:
-            parts |= {int(r.seg_idx): {"text": r.text, "forced": bool(r.forced_split)} for r in pdf.itertuples()}
-        state.update((pickle.dumps(parts),))
-        yield pd.DataFrame({"session_id": [key[0]], "segments": [len(parts)], "text": [_fold([parts[i] for i in sorted(parts)])["text"]]})
 
-    return segments.groupBy("session_id").applyInPandasWithState(run, "session_id long, segments long, text string", "state binary", "update", GroupStateTimeout.NoTimeout)
+def partial_texts(partials: DataFrame) -> DataFrame:
+    """Rows of partial_transcripts that were written down, to the last text of each session: session_id, segments, text."""
+    w = Window.partitionBy("session_id")
+    rows = partials.withColumn("last", F.max("segments").over(w))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segments", "settled"))), lambda p: p["settled"]), "")
+    tail = F.max(F.when(F.col("segments") == F.col("last"), F.col("tail")))
+    return rows.groupBy("session_id").agg(F.max("segments").alias("segments"), F.trim(F.concat(text, tail)).alias("text"))
 
 
 def stream_confirm_timeouts(events: DataFrame, seconds: int = 15) -> DataFrame:
@@ -123,11 +93,20 @@ def await_results(events: DataFrame, timeout_s: int = 120, key: str = "session_i
 
 
 def stream_await_results(starts: DataFrame, results: DataFrame, timeout_s: int = 120, late: str = "10 seconds", key: str = "session_id") -> DataFrame:
-    """Watermarked interval join of two streams; starts without a result come out with nulls."""
+    """Watermarked interval join of two streams of (key, event_id, ts): every result of a start in time.
+
+    A start without one comes out with nulls when its time is over; rows that are later than the watermark are dropped.
+    """
     s = starts.withWatermark("ts", late).alias("s")
     r = results.withWatermark("ts", late).alias("r")
-    cond = (F.col(f"s.{key}") == F.col(f"r.{key}")) & (F.col("r.ts") >= F.col("s.ts")) & (F.col("r.ts") <= F.col("s.ts") + F.expr(f"interval {timeout_s} seconds"))
-    return s.join(r, cond, "leftOuter").select(F.col(f"s.{key}").alias(key), F.col("s.ts").alias("started"), F.col("r.ts").alias("ended"))
+    cond = (F.col(f"s.{key}") == F.col(f"r.{key}")) & (F.col("r.ts") > F.col("s.ts")) & (F.col("r.ts") <= F.col("s.ts") + F.expr(f"interval {timeout_s} seconds"))
+    return s.join(r, cond, "leftOuter").select(F.col(f"s.{key}").alias(key), F.col("s.event_id").alias("event_id"), F.col("s.ts").alias("started"), F.col("r.ts").alias("ended"), F.col("r.event_id").alias("result_id"))
+
+
+def first_results(joined: DataFrame, key: str = "session_id") -> DataFrame:
+    """Of what stream_await_results has written: each start with its first result, or null."""
+    first = F.min(F.when(F.col("ended").isNotNull(), F.struct("ended", "result_id")))
+    return joined.groupBy(key, "event_id").agg(first.alias("f")).select(key, "event_id", F.col("f.result_id").alias("result_id"))
 
 
 def state_intervals(events: DataFrame, key: str = "session_id") -> DataFrame:
@@ -136,11 +115,14 @@ def state_intervals(events: DataFrame, key: str = "session_id") -> DataFrame:
 
 
 def stream_diagnostics(events: DataFrame, window: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
-    """Counters of kinds per window; late rows beyond the watermark are dropped in a stream."""
+    """Counters of kinds per window, and a sketch of latencies with the typical one; late rows beyond the watermark are dropped in a stream.
+
+    The sketch is what a stream holds of a window's latencies; those of several windows can be merged (operators.decode).
+    """
     n = lambda k: F.sum((F.col("kind") == k).cast("long"))
     e = events.withWatermark("ts", late) if events.isStreaming else events
     g = e.groupBy(F.window("ts", window, slide) if slide else F.window("ts", window))
-    return g.agg(n("session").alias("sessions"), n("segment").alias("segments"), n("seam_repair").alias("seam_repairs"), n("fallback").alias("fallbacks"), n("error").alias("errors"), F.percentile_approx(F.when(F.col("kind") == "stop_to_text", F.col("ms")), 0.5).alias("typical_ms")).select(F.col("window.start").alias("start"), "sessions", "segments", "seam_repairs", "fallbacks", "errors", "typical_ms")
+    return g.agg(n("session").alias("sessions"), n("segment").alias("segments"), n("seam_repair").alias("seam_repairs"), n("fallback").alias("fallbacks"), n("error").alias("errors"), latency_sketch(F.when(F.col("kind") == "stop_to_text", F.col("ms"))).alias("ms_sketch")).select(F.col("window.start").alias("start"), "sessions", "segments", "seam_repairs", "fallbacks", "errors", sketch_percentile("ms_sketch", 0.5).alias("typical_ms"), "ms_sketch")
 
 
 def stream_dictation_sessions(events: DataFrame, gap: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
@@ -155,11 +137,36 @@ def stream_postprocess(df: DataFrame, **options) -> DataFrame:
     return postprocess(df, **options)
 
 
+@contextmanager
+def _state_store(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB, which stateful processors need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def run_once(df: DataFrame, path: str, mode: str = "append") -> None:
     """Run a stream over what is there, to Parquet files at path."""
-    df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    with _state_store(df.sparkSession):
+        q = df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def write_batch(path: str):
+    """A foreachBatch sink: each batch in a folder of its own number, so that one that runs again replaces itself."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return write
 
 
-def run_each(df: DataFrame, path: str, mode: str = "update") -> None:
-    """The same for update mode, by way of foreachBatch."""
-    df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-checkpoint").foreachBatch(lambda b, i: b.withColumn("batch_id", F.lit(i)).write.mode("append").parquet(path)).trigger(availableNow=True).start().awaitTermination()
+def run_each(df: DataFrame, path: str, mode: str = "update", sink=write_batch) -> None:
+    """The same for update and complete mode, by way of foreachBatch; the rows have the column batch_id."""
+    with _state_store(df.sparkSession):
+        q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-checkpoint").foreachBatch(sink(path)).trigger(availableNow=True).start()
+    q.awaitTermination()
