@@ -329,18 +329,28 @@ def find_play_button(elements: DataFrame, queries: DataFrame, window: int = 12)
     return queries.join(first, "snapshot_id", "left").join(near, "snapshot_id", "left").join(has_own, "snapshot_id", "left").select("snapshot_id", F.when(F.col("h"), F.col("own_id")).otherwise(F.col("near_id")).alias("element_id"))
 
 
+def _grams(c: str, k: int) -> Column:
+    """All parts of k characters."""
+    parts = F.transform(F.sequence(F.lit(1), F.length(c) - (k - 1)), lambda i: F.substring(F.col(c), i, F.lit(k)))
+    return F.when(F.length(c) >= k, parts).otherwise(F.array().cast("array<string>"))
+
+
 def match_app_names(queries: DataFrame, names: DataFrame) -> DataFrame:
     """query_id, match, tier: an alias, else an equal, the shortest starting with, the shortest containing name."""
     solid = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     alias = queries.sparkSession.createDataFrame(list(ALIASES.items()), "said string, target string")
     q = queries.select("query_id", F.lower(F.trim("query")).alias("said"), solid(F.col("query")).alias("q")).join(F.broadcast(alias), "said", "left")
-    n = names.select("name", solid(F.col("name")).alias("n")).where("n <> ''")
-    # all parts of a name are joined on equality: a name of k letters has k * (k + 1) / 2 of them
-    parts = n.select("name", "n", F.explode(F.sequence(F.lit(1), F.length("n"))).alias("a")).select("name", "n", "a", F.explode(F.sequence(F.lit(1), F.length("n") - F.col("a") + 1)).alias("k")).select("name", "n", (F.col("a") == 1).alias("starts"), F.substring(F.col("n"), F.col("a"), F.col("k")).alias("q"))
-    parts = parts.groupBy("name", "n", "q").agg(F.max("starts").alias("starts"))
-    hit = q.where("target is null and q <> ''").join(parts, "q").withColumn("tier", F.when(F.col("n") == F.col("q"), 0).when(F.col("starts"), 1).otherwise(2))
-    best = hit.groupBy("query_id").agg(F.min(F.struct("tier", F.length("name").alias("l"), "name")).alias("b"))
-    return q.join(best, "query_id", "left").select("query_id", F.coalesce("target", "b.name").alias("match"), F.when(F.col("target").isNotNull(), "alias").otherwise(F.element_at(F.array(F.lit("exact"), F.lit("prefix"), F.lit("contains")), F.col("b.tier") + 1)).alias("tier"))
+    # of names that are alike without their marks, one stands for all
+    n = names.select("name", solid(F.col("name")).alias("n")).where("n <> ''").groupBy("n").agg(F.min(F.struct(F.length("name").alias("l"), "name")).alias("b"))
+    index = n.select("n", "b", F.explode(F.array_distinct(F.concat(*(_grams("n", k) for k in (1, 2, 3))))).alias("gram"))
+    asked = q.where("target is null and q <> ''").select("q").distinct()
+    own = asked.select("q", F.explode(F.array_distinct(F.when(F.length("q") < 3, F.array("q")).otherwise(_grams("q", 3)))).alias("gram"))
+    # a name that contains the query has all of its grams: the rarest one leads to the fewest names
+    counts = own.join(index.groupBy("gram").agg(F.count("*").alias("df")), "gram", "left")
+    rare = counts.groupBy("q").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("r")).select("q", F.col("r.gram").alias("gram"))
+    hit = rare.join(index, "gram").where(F.col("n").contains(F.col("q"))).withColumn("tier", F.when(F.col("n") == F.col("q"), 0).when(F.col("n").startswith(F.col("q")), 1).otherwise(2))
+    best = hit.groupBy("q").agg(F.min(F.struct("tier", "b.l", "b.name")).alias("b")).withColumnRenamed("q", "bq")
+    return q.join(best, (q["q"] == F.col("bq")) & q["target"].isNull(), "left").select("query_id", F.coalesce("target", "b.name").alias("match"), F.when(F.col("target").isNotNull(), "alias").when(F.col("b.tier") == 0, "exact").when(F.col("b.tier") == 1, "prefix").when(F.col("b.tier") == 2, "contains").alias("tier"))
 
 
 def action_loops(df: DataFrame, run: str = "run_id", pos: str = "pos", times: int = 3) -> DataFrame:

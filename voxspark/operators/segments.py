@@ -306,8 +306,7 @@ def _merge_pair(left: np.ndarray, right: np.ndarray, overlap: float) -> np.ndarr
     for i in range(len(li) - 1, -1, -1):
         run[i, :-1] = np.where(match[i], run[i + 1, 1:] + 1, 0)
     for i in range(1, len(li) + 1):
-        for j in range(1, len(ri) + 1):
-            best[i, j] = best[i - 1, j - 1] + 1 if match[i - 1, j - 1] else max(best[i - 1, j], best[i, j - 1])
+        best[i, 1:] = np.maximum.accumulate(np.maximum(best[i - 1, 1:], best[i - 1, :-1] + match[i - 1]))
     pairs: list[tuple[int, int]] = []
     if run.max() >= max(len(li) // 2, 1):
         i, j = np.unravel_index(run.argmax(), run.shape)
@@ -336,19 +335,73 @@ def _merge_pair(left: np.ndarray, right: np.ndarray, overlap: float) -> np.ndarr
     return np.concatenate(out)
 
 
-def merge_token_chunks(df: DataFrame, overlap_s: float = 2.0, session: str = "session_id") -> DataFrame:
-    """session_id, pos, token, timestamp, duration of overlapping windows put together, in order of time."""
+class TokenFold:
+    """Windows of one session merged one by one; tokens that no later window reaches are passed on.
+
+    Windows come in order of their begin.  A window changes tokens that end less than the overlap before its begin
+    at most, so what is older is final, and the fold holds the rest only.
+    """
+
+    def __init__(self, overlap: float) -> None:
+        self.overlap, self.held = overlap, np.zeros((0, 3), np.int64)
+
+    def push(self, window: np.ndarray) -> np.ndarray:
+        """The (token, timestamp, duration) that have become final, by time."""
+        final = self.held[:0]
+        if len(window) and len(self.held):
+            old = self.held[:, 1] * FRAME_S + FRAME_S <= window[0, 1] * FRAME_S - self.overlap
+            final, self.held = _by_time(self.held[old]), self.held[~old]
+        self.held = _merge_pair(self.held, window, self.overlap)
+        return final
+
+    def finish(self) -> np.ndarray:
+        return _by_time(self.held)
+
+
+def _by_time(tokens: np.ndarray) -> np.ndarray:
+    return tokens[np.argsort(tokens[:, 1], kind="stable")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["chunk_idx", "pos"])
-        merged = np.zeros((0, 3), np.int64)
-        for _, chunk in pdf.groupby("chunk_idx", sort=True):
-            merged = _merge_pair(merged, chunk[["token", "timestamp", "duration"]].to_numpy(np.int64), overlap_s)
-        merged = merged[np.argsort(merged[:, 1], kind="stable")]
-        return pd.DataFrame({session: pdf[session].iloc[0], "pos": np.arange(len(merged)), "token": merged[:, 0], "timestamp": merged[:, 1], "duration": merged[:, 2]})
 
+def merge_token_chunks(df: DataFrame, overlap_s: float = 2.0, session: str = "session_id") -> DataFrame:
+    """session_id, pos, token, timestamp, duration of overlapping windows put together, in order of time.
+
+    A fold over partitions sorted by session, window and place: rows stream by, and only a
+    window and the tokens that it can reach are held.
+    """
     kind = df.schema[session].dataType.simpleString()
-    return df.groupBy(session).applyInPandas(run, f"{session} {kind}, pos long, token long, timestamp long, duration long")
+    names = [session, "pos", "token", "timestamp", "duration"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold, current, chunk, parts, given, keys = None, None, None, [], 0, None
+
+        def out(tokens: np.ndarray) -> pa.RecordBatch:
+            nonlocal given
+            pos, given = np.arange(given, given + len(tokens)), given + len(tokens)
+            return pa.RecordBatch.from_arrays([pa.array([current] * len(tokens), keys), pa.array(pos), *(pa.array(np.ascontiguousarray(c)) for c in tokens.T)], names)
+
+        for batch in batches:
+            keys = batch.schema.field(session).type
+            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("token", "timestamp", "duration")], axis=1)
+            ids, windows = batch.column(session).to_pylist(), batch.column("chunk_idx").to_pylist()
+            edges = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1] or windows[i] != windows[i - 1]), len(ids)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                if fold is None or (ids[a], windows[a]) != (current, chunk):
+                    if fold is not None:
+                        yield out(fold.push(np.concatenate(parts)))
+                    if fold is None or ids[a] != current:
+                        if fold is not None:
+                            yield out(fold.finish())
+                        fold, current, given = TokenFold(overlap_s), ids[a], 0
+                    chunk, parts = windows[a], []
+                parts.append(rows[a:b])
+        if fold is not None:
+            yield out(fold.push(np.concatenate(parts)))
+            yield out(fold.finish())
+
+    rows = df.select(session, "chunk_idx", "pos", "token", "timestamp", "duration").repartition(session).sortWithinPartitions(session, "chunk_idx", "pos")
+    return rows.mapInArrow(run, f"`{session}` {kind}, pos long, token long, timestamp long, duration long")
 
 
 def content_words(c: Column) -> Column:

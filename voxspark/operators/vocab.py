@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MAX_PIECES = 200_000
+from ..functions.rx import S
 
 
 def load_vocab(spark: SparkSession, path: str) -> DataFrame:
@@ -22,29 +21,33 @@ def load_vocab(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tokenize_terms(terms: DataFrame, vocab: DataFrame, term: str = "term", out: str = "ids") -> DataFrame:
-    """Greedy longest pieces of each word behind a word mark; null where a character has none."""
-    pieces = vocab.select("piece", "id").limit(MAX_PIECES + 1).collect()
-    if len(pieces) > MAX_PIECES:
-        raise ValueError(f"more than {MAX_PIECES} pieces")
-    held = terms.sparkSession.sparkContext.broadcast(({p: i for p, i in pieces}, max((len(p) for p, _ in pieces), default=0)))
-
-    def one(t: str | None) -> list[int] | None:
-        ids, (known, most) = [], held.value
-        for w in (t or "").split():
-            rest = "▁" + w
-            while rest:
-                n = next((n for n in range(min(most, len(rest)), 0, -1) if rest[:n] in known), 0)
-                if not n:
-                    return None
-                ids.append(known[rest[:n]])
-                rest = rest[n:]
-        return ids or None
-
-    @F.pandas_udf("array<int>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(one)
-
-    return terms.withColumn(out, run(F.col(term)))
+    """Greedy longest pieces of each word behind a word mark; null where a character has none, or where there is no word.
+
+    All parts of the distinct words meet the pieces in an equi-join, whatever the size of the
+    vocabulary; the longest one at each place stays, and a word is walked from place to place.
+    Of pieces spelt alike the highest id counts.
+    """
+    t = terms.select(F.col(term).alias("t")).distinct()
+    words = t.select("t", F.posexplode(F.filter(F.split("t", f"{S}+"), lambda w: w != "")).alias("at", "w")).withColumn("w", F.concat(F.lit("▁"), "w"))
+    known = vocab.groupBy("piece").agg(F.max("id").alias("id"), F.first(F.length("piece")).alias("n"))
+    lengths = F.broadcast(known.agg(F.collect_set("n").alias("lengths")))  # one row: the pieces' lengths
+    parts = words.select("w").distinct().join(lengths).select("w", F.explode(F.sequence(F.lit(1), F.length("w"))).alias("p"), "lengths")
+    parts = parts.select("w", "p", F.explode(F.filter("lengths", lambda n: n <= F.length("w") - F.col("p") + 1)).alias("n")).withColumn("piece", F.substring(F.col("w"), F.col("p"), F.col("n")))
+    longest = parts.join(known.select("piece", "id"), "piece").groupBy("w", "p").agg(F.max(F.struct("n", "id")).alias("best"))
+    held = longest.groupBy("w").agg(F.map_from_entries(F.collect_list(F.struct("p", "best"))).alias("best"))
+    # at: the place to go on from, 0 where no piece fits
+    step = lambda x, p: F.when(x["at"] != p, x).otherwise(_walked(x, p, F.element_at(F.col("best"), p)))
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("ids"))
+    cut = held.select("w", F.aggregate(F.sequence(F.lit(1), F.length("w")), start, step).alias("x")).select("w", F.when(F.col("x.at") > 0, F.col("x.ids")).alias("ids"))
+    whole = words.join(cut, "w", "left").groupBy("t").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("x"))
+    ids = F.when(~F.exists("x", lambda e: e["ids"].isNull()), F.flatten(F.transform("x", lambda e: e["ids"]))).alias("_ids")
+    found = whole.select(F.col("t").alias("_term"), ids)
+    return terms.join(found, F.col(term) == F.col("_term"), "left").select(*(F.col(c) for c in terms.columns if c != out), F.col("_ids").alias(out))
+
+
+def _walked(x: Column, p: Column, best: Column) -> Column:
+    at = F.when(best.isNull(), 0).otherwise(p + best["n"])
+    return F.struct(at.cast("int").alias("at"), F.when(best.isNull(), x["ids"]).otherwise(F.array_append(x["ids"], best["id"].cast("int"))).alias("ids"))
 
 
 def start_branching(vocab: DataFrame) -> DataFrame:

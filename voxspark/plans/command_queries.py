@@ -195,13 +195,13 @@ def f19_find_play_button(spark, sf_dir):
     return c.find_play_button(e, e.select("snapshot_id").distinct().withColumn("query", F.lit("song 1")))
 
 
-@query(r"""WITH n AS (SELECT DISTINCT p_name AS name, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS n FROM part), q AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 4 = 3 THEN 'task manager' ELSE p_name[1:(4 + p_partkey % 9)::INT] END AS query FROM part WHERE p_partkey < 400),
-h AS (SELECT k, name, CASE WHEN n.n = x THEN 0 WHEN starts_with(n.n, x) THEN 1 ELSE 2 END AS tier FROM (SELECT k, query, regexp_replace(lower(query), '[^a-z0-9]', '', 'g') AS x FROM q WHERE query <> 'task manager') z JOIN n ON contains(n.n, x)),
+@query(r"""WITH n AS (SELECT DISTINCT p_name AS name, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS n FROM part), q AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 4 = 3 THEN 'task manager' ELSE CASE WHEN p_partkey % 4 = 2 THEN substr(p_name, (2 + p_partkey % 5)::INT, (1 + p_partkey % 7)::INT) ELSE p_name[1:(4 + p_partkey % 9)::INT] END END AS query FROM part WHERE p_partkey < 400),
+h AS (SELECT k, name, CASE WHEN n.n = x THEN 0 WHEN starts_with(n.n, x) THEN 1 ELSE 2 END AS tier FROM (SELECT k, query, regexp_replace(lower(query), '[^a-z0-9]', '', 'g') AS x FROM q WHERE query <> 'task manager') z JOIN n ON x <> '' AND contains(n.n, x)),
 b AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY tier, length(name), name) AS r FROM h)
 SELECT q.k AS query_id, CASE WHEN query = 'task manager' THEN 'taskmgr' ELSE name END AS match, CASE WHEN query = 'task manager' THEN 'alias' ELSE list_extract(['exact', 'prefix', 'contains'], tier + 1) END AS tier FROM q LEFT JOIN b ON b.k = q.k AND r = 1""".replace(" WHERE p_partkey < 400", ""))
 def f20_match_app_names(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    q = p.select(_k().alias("query_id"), F.when(_k() % 4 == 3, "task manager").otherwise(F.substring(F.col("p_name"), F.lit(1), (4 + _k() % 9).cast("int"))).alias("query"))
+    q = p.select(_k().alias("query_id"), F.when(_k() % 4 == 3, "task manager").when(_k() % 4 == 2, F.substring(F.col("p_name"), (2 + _k() % 5).cast("int"), (1 + _k() % 7).cast("int"))).otherwise(F.substring(F.col("p_name"), F.lit(1), (4 + _k() % 9).cast("int"))).alias("query"))
     return c.match_app_names(q, p.select(F.col("p_name").alias("name")).distinct())
 
 

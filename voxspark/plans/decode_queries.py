@@ -97,6 +97,19 @@ def d08_nearest_rank_percentile(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(d.nearest_rank("event_id", 0.9).cast("long").alias("p90"))
 
 
+@query(f"SELECT user_id % 10 AS grp, p, count(ms) AS n, quantile_disc(ms, 0.5) FILTER (p = 0.5) AS exact_p50, true AS within FROM {_E}, (SELECT unnest([0.5, 0.9, 0.99]) AS p) GROUP BY 1, 2")
+def d08_sketch_percentile(spark, sf_dir):
+    """Percentiles of sketches of days, merged: the share of values up to each is within the stated error of its rank."""
+    e = events(spark, sf_dir).select((F.col("user_id") % 10).alias("grp"), F.to_date("ts").alias("day"), F.col("ms").cast("long").alias("ms"))
+    days = e.groupBy("grp", "day").agg(d.latency_sketch("ms").alias("s"))
+    whole = days.groupBy("grp").agg(d.merge_sketches("s").alias("s"))
+    at = whole.select("grp", F.explode(F.array(*(F.struct(F.lit(p).alias("p"), d.sketch_percentile("s", p).alias("v")) for p in (0.5, 0.9, 0.99)))).alias("x")).select("grp", "x.*")
+    ranks = e.join(F.broadcast(at), "grp").groupBy("grp", "p", "v").agg(F.count("*").alias("n"), F.avg((F.col("ms") <= F.col("v")).cast("double")).alias("upto"), F.avg((F.col("ms") < F.col("v")).cast("double")).alias("below"))
+    within = (F.col("below") <= F.col("p") + d.SKETCH_ERROR) & (F.col("upto") >= F.col("p") - d.SKETCH_ERROR)
+    exact = e.groupBy("grp").agg(d.nearest_rank("ms", 0.5).cast("long").alias("exact_p50"))
+    return ranks.join(exact, "grp").select("grp", "p", "n", F.when(F.col("p") == 0.5, F.col("exact_p50")).alias("exact_p50"), within.alias("within"))
+
+
 @query(f"SELECT event_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY ts DESC) AS r FROM (SELECT event_id, kind, epoch_us(ts) // 1000000 * 1000000 + event_id AS ts FROM {_E})) WHERE r <= 500")
 def d09_recent_sample(spark, sf_dir):
     e = events(spark, sf_dir).select("event_id", "kind", (F.unix_seconds("ts") * 1000000 + F.col("event_id")).alias("ts"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import segments as seg
@@ -38,6 +39,51 @@ def b02_b03_join_plain_segments(spark, sf_dir):
     return seg.join_segments(t.withColumn("text", said).withColumn("forced_split", F.lit(False))).withColumn("text", F.regexp_replace("text", "Segment", "segment"))
 
 
+#: Known cuts of known sentences, N a number: segments, which of them were cut by force, the joined text, repairs, trims.
+_SEAMS = (
+    (("I sent N boxes", "And billed N more"), (), "I sent N boxes and billed N more", 1, 0),
+    (("Would you.", "Would you like N cups?"), (), "Would you like N cups?", 0, 1),
+    (("The total is N.", "And it grew"), (0,), "The total is N and it grew", 1, 0),
+    (("We should ship N", "ship N today"), (0,), "We should ship N ship N today", 0, 0),
+    (("Order N left.", "But it came back."), (), "Order N left. But it came back.", 0, 0),
+    (("He sat in", "US offices of N", "   ", "With  staff"), (), "He sat in US offices of N with staff", 1, 0),
+    (("Can you send me the N.", "Send me the N now.", "To Paris"), (), "Can you send me the N now. To Paris", 0, 1),
+    (("I called N", "And asked about it", "But they left", "But they left early."), (), "I called N and asked about it but they left early.", 2, 1),
+    (("He said \"no N.\"", "And left"), (), "He said \"no N.\" And left", 0, 0),
+    (("She flew to", "Paris for N", "Than", "than home"), (), "She flew to Paris for N than than home", 1, 0),
+    (("Stop at N.", "Stop at N."), (), "Stop at N.", 0, 1),
+)
+#: So many plain sentences stand before the known cuts of every 50th session, so that a part of its text is final early.
+_PLAIN = 200
+
+
+def known_segments(spark, sf_dir):
+    """session_id, seg_idx, text, forced_split of the known cuts, one session a customer."""
+    k = F.col("c_custkey")
+    case = F.array(*(F.struct(F.array(*map(F.lit, texts)).alias("texts"), F.array(*(F.lit(i in forced) for i in range(len(texts)))).alias("forced")) for texts, forced, *_ in _SEAMS))
+    o = table(spark, sf_dir, "customer").select(k.alias("session_id"), F.get(case, (k % len(_SEAMS)).cast("int")).alias("c"), F.when(k % 50 == 0, _PLAIN).otherwise(0).alias("plain"))
+    numbered = lambda t: F.replace(t, F.lit("N"), F.col("session_id").cast("string"))
+    plain = F.when(F.col("plain") > 0, F.transform(F.sequence(F.lit(1), F.col("plain")), lambda i: F.struct(F.concat(F.lit("Item "), i.cast("string"), F.lit(" of this list is done.")).alias("text"), F.lit(False).alias("forced_split")))).otherwise(F.array().cast("array<struct<text:string,forced_split:boolean>>"))
+    own = F.zip_with("c.texts", "c.forced", lambda t, f: F.struct(numbered(t).alias("text"), f.alias("forced_split")))
+    return o.select("session_id", F.posexplode(F.concat(plain, own)).alias("seg_idx", "s")).select("session_id", F.col("seg_idx").cast("long").alias("seg_idx"), "s.*")
+
+
+def _quoted(x):
+    return "'" + x.replace("'", "''") + "'"
+
+
+_SEAM_SQL = f"""WITH c AS (SELECT * FROM (VALUES {', '.join(f"({k}, {_quoted(joined)}, {repairs}, {trims}, {sum(bool(t.strip()) for t in texts)}, {len(texts)})" for k, (texts, _, joined, repairs, trims) in enumerate(_SEAMS))}) v(k, joined, repairs, trims, said, parts)),
+p AS (SELECT string_agg('Item ' || i || ' of this list is done.', ' ' ORDER BY i) AS plain FROM (SELECT unnest(range(1, {_PLAIN} + 1)) AS i)),
+j AS (SELECT c_custkey AS session_id, CASE WHEN c_custkey % 50 = 0 THEN plain || ' ' ELSE '' END || replace(joined, 'N', c_custkey::VARCHAR) AS text, repairs::BIGINT AS repairs, trims::BIGINT AS trims, (parts + CASE WHEN c_custkey % 50 = 0 THEN {_PLAIN} ELSE 0 END)::BIGINT AS segments
+FROM customer JOIN c ON c.k = c_custkey % {len(_SEAMS)}, p)"""
+
+
+@query(f"{_SEAM_SQL} SELECT session_id, text, repairs, trims FROM j")
+def b03_known_seams(spark, sf_dir):
+    """Seams that each of the rules touches, or leaves."""
+    return seg.join_segments(known_segments(spark, sf_dir))
+
+
 @query(rf"""WITH t AS (SELECT conv_id AS session_id, turn AS seg_idx, text, turn % 3 = 0 AS forced FROM conversations WHERE trim(text, ' ') <> ''),
 l AS (SELECT *, lag(text) OVER w AS l, lag(forced) OVER w AS was_forced FROM t WINDOW w AS (PARTITION BY session_id ORDER BY seg_idx)),
 p AS (SELECT *, {_WORDS.format('l')} AS a, {_WORDS.format('text')} AS b, regexp_extract(trim(text, ' '), '^([A-Za-z][A-Za-z''’-]*)', 1) AS f, regexp_matches(trim(l, ' '), '[.!?…]["''”’)\]]*$') AS left_ends FROM l WHERE l IS NOT NULL),
@@ -129,7 +175,7 @@ def b13_tokens_to_text(spark, sf_dir):
     return seg.tokens_to_text(rows.select("segment_id", (F.col("i") * 3 + F.col("j")).alias("pos"), F.xxhash64("piece").alias("token")), vocab)
 
 
-@query(r"WITH w AS (SELECT doc_id, unnest(range(len(regexp_split_to_array(trim(text, ' '), '[\s]+')))) AS pos FROM documents WHERE doc_id % 1 = 0) SELECT doc_id AS session_id, pos::BIGINT AS pos, pos::BIGINT * 5 AS timestamp, (doc_id * 31 + pos * 7) % 1000 AS token FROM w")
+@query(r"WITH w AS (SELECT doc_id, unnest(range(len(regexp_split_to_array(trim(text, ' '), '[\s]+')))) AS pos FROM documents) SELECT doc_id AS session_id, pos::BIGINT AS pos, pos::BIGINT * 5 AS timestamp, (doc_id * 31 + pos * 7) % 1000 AS token FROM w")
 def b14_merge_token_chunks(spark, sf_dir):
     """A token list cut into windows that overlap by two seconds merges to itself."""
     n = F.size(F.split(F.trim("text"), r"\s+"))
@@ -139,6 +185,24 @@ def b14_merge_token_chunks(spark, sf_dir):
     return seg.merge_token_chunks(d.select("session_id", "chunk_idx", F.col("i").alias("pos"), "token", "timestamp", F.lit(1).cast("long").alias("duration"))).select("session_id", "pos", "timestamp", "token")
 
 
+_LISTED = r"WITH w AS (SELECT doc_id, unnest(range(len(regexp_split_to_array(trim(text, ' '), '[\s]+')))) AS pos FROM documents)"
+
+
+@query(_LISTED + " SELECT doc_id AS session_id, pos::BIGINT AS pos, (doc_id * 31 + pos * 7) % 1000 AS token FROM w")
+def b14_merge_jittered_chunks(spark, sf_dir):
+    """The same where a window hears its words a frame later than the one before it, and mishears its second word."""
+    n = F.size(F.split(F.trim("text"), r"\s+"))
+    i = F.col("i")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("session_id"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    d = d.select("session_id", "i", ((F.col("session_id") * 31 + i * 7) % 1000).cast("long").alias("token"))
+    d = d.withColumn("chunk_idx", F.explode(F.array_distinct(F.array(F.floor(i / 20), F.greatest(F.floor((i - 5) / 20), F.lit(0))))))
+    # not in a last window of one or two words, which is too short to be aligned
+    odd = (F.col("chunk_idx") > 0) & (F.col("chunk_idx") * 20 + 2 <= F.max("i").over(Window.partitionBy("session_id")))
+    wrong = odd & (i == F.col("chunk_idx") * 20 + 1)
+    d = d.withColumns({"timestamp": i.cast("long") * 5 + F.when(odd, F.col("chunk_idx") % 2).otherwise(0), "token": F.when(wrong, F.col("token") + 2000).otherwise(F.col("token"))})
+    return seg.merge_token_chunks(d.select("session_id", "chunk_idx", i.alias("pos"), "token", "timestamp", F.lit(1).cast("long").alias("duration"))).select("session_id", "pos", "token")
+
+
 @query(r"WITH w AS (SELECT doc_id, unnest(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL), s AS (SELECT doc_id, sum(n) AS n, coalesce(sum(n) FILTER (w IN ('the', 'de')), 0) AS m FROM c GROUP BY doc_id) SELECT d.doc_id, coalesce(n, 0)::INTEGER AS n_said, coalesce(n - m + 1, 1)::INTEGER AS n_heard, coalesce(m, 0)::INTEGER AS missing, 1::INTEGER AS extra FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id")
 def b15_word_loss(spark, sf_dir):
     heard = F.concat(F.array_join(F.filter(seg.content_words(F.col("text")), lambda w: ~w.isin("the", "de")), " "), F.lit(" zzextra"))

@@ -11,7 +11,7 @@ from .audio_queries import chunks
 from .decode_queries import _E
 from .decode_queries import events as diag_events
 from .registry import query
-from .segment_queries import _turns
+from .segment_queries import _SEAM_SQL, _turns, known_segments
 from .text_queries import _docs, table
 
 
@@ -150,6 +150,17 @@ def g03_partial_transcripts(spark, sf_dir):
     return st.partial_texts(spark.read.parquet(out))
 
 
+@query(f"{_SEAM_SQL} SELECT session_id, segments, text FROM j")
+def g03_known_partials(spark, sf_dir):
+    """Known cuts as a stream in three micro-batches, some segments before their turn: the last running text is the joined one."""
+    t = known_segments(spark, sf_dir)
+    i = F.col("seg_idx")
+    s = _fed(spark, t.withColumn("step", F.when(i % 7 == 1, F.least(F.lit(2), F.floor(i / 90) + 1)).otherwise(F.least(F.lit(2), F.floor(i / 90))).cast("int")), "known-segments", 3)
+    out = files.work_path(spark, "known-partials")
+    st.run_each(st.partial_transcripts(s), out)
+    return st.partial_texts(spark.read.parquet(out))
+
+
 _P = "(SELECT user_id AS run_id, ts, event_id, CASE WHEN event_id % 3 = 0 THEN 'confirm' ELSE 'done' END AS stage FROM events)"
 
 
