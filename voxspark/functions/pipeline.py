@@ -16,5 +16,6 @@ def postprocess(df: DataFrame, text: str = "text", dictionary=None, spoken: bool
     out = out.withColumn(text, spoken_punctuation(F.col(text))) if spoken else out
     out = out.withColumn(text, itn_punctuation(F.col(text))) if spoken and numbers else out
     out = out.withColumn(text, apply_itn(F.col(text))) if numbers else out
-    out = out.where(has_speech(F.col(text)))
+    # by way of a generator: a filter would be pushed below all steps, and evaluate them again for each mention of a column
+    out = out.withColumn(text, F.explode(F.filter(F.array(text), has_speech)))
     return out.withColumn(text, F.concat(text, F.lit(" "))) if trailing_space else out

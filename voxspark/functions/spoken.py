@@ -263,6 +263,12 @@ def _udf(f: Callable[[str], str]):
 _NUMBERISH = "|".join(sorted({*NUMBER_WORDS, *ORDINALS, *_MONTHS, *_SIGNS})) + r"|[ap]\.?m\.?"
 
 
+_TWO = r"[.,!?;:]*[\s\x1c-\x1f\x85\p{Z}]+"
+_COMMANDS = [*_ATTACHED, "period", "ampersand", "hyphen", "dot", *(_TWO.join(x) for x in (*_MARKS, *_BREAKS, ("at", "sign")))]
+#: A command, or white space that is not one blank between words, in a text with a word.
+_COMMANDED = rf"(?s)(?=.*\S)(?:(?i).*?(?:{'|'.join(_COMMANDS)})|.*?[\t-\r\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|.*?  |^ |.* $)"
+
+
 def _behind(c: Column, pattern: str, f: Callable[[str], str]) -> Column:
     """f, by way of Python only for the rows that the pattern finds."""
     return F.when(c.rlike(pattern), _udf(f)(F.when(c.rlike(pattern), c))).otherwise(c)
@@ -312,4 +318,5 @@ def apply_itn(c: Column, marks: bool = False) -> Column:
 
 
 def spoken_punctuation(c: Column) -> Column:
-    return _behind(c, r"\S", punctuation)
+    """Of a text without a command, and with single blanks only, nothing changes."""
+    return _behind(c, _COMMANDED, punctuation)

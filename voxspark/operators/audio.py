@@ -50,10 +50,26 @@ def drop_silent_clips(df: DataFrame, samples: str = "samples", recorded_ms: str
 def rms_windows(df: DataFrame, window: int, session: str = "session_id", chunk: str = "chunk_idx", samples: str = "samples") -> DataFrame:
     """session, win_idx, start_sample, rms of whole windows; what is left goes to the next chunk."""
     w = Window.partitionBy(session).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    at = df.withColumn("base", F.coalesce(F.sum(F.size(samples)).over(w), F.lit(0)))
-    # squares are summed per chunk and window first, so a session's samples are never shuffled one by one
-    part = at.select(session, "base", F.posexplode(samples).alias("i", "x")).select(session, F.floor((F.col("base") + F.col("i")) / window).alias("win_idx"), (F.col("x").cast("double") * F.col("x")).alias("e"))
-    g = part.groupBy(session, "win_idx").agg(F.sum("e").alias("e"), F.count("*").alias("n")).where(F.col("n") == window)
+    at = df.withColumn("base", F.coalesce(F.sum(F.coalesce(F.size(samples), F.lit(0))).over(w), F.lit(0)).cast("long"))
+    kind = df.schema[session].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each chunk and window with the sum of squares and the number of samples there."""
+        for batch in batches:
+            keys, wins, sums, sizes = [], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
+            for row, (base, x) in enumerate(zip(batch.column("base").to_pylist(), batch.column(samples), strict=True)):
+                a = np.asarray(x.values, np.float64) if x.is_valid else np.zeros(0)
+                if len(a):
+                    first = np.arange(base // window, (base + len(a) - 1) // window + 1)
+                    at = np.maximum(first * window - base, 0)
+                    wins.append(first)
+                    sums.append(np.add.reduceat(a * a, at))
+                    sizes.append(np.diff(np.append(at, len(a))))
+                    keys += [row] * len(first)
+            yield pa.RecordBatch.from_arrays([batch.column(session).take(pa.array(keys, pa.int64())), pa.array(np.concatenate(wins)), pa.array(np.concatenate(sums)), pa.array(np.concatenate(sizes))], [session, "win_idx", "e", "n"])
+
+    part = at.select(session, "base", samples).mapInArrow(run, f"`{session}` {kind}, win_idx long, e double, n long")
+    g = part.groupBy(session, "win_idx").agg(F.sum("e").alias("e"), F.sum("n").alias("n")).where(F.col("n") == window)
     return g.select(session, "win_idx", (F.col("win_idx") * window).alias("start_sample"), F.sqrt(F.col("e") / window).alias("rms"))
 
 
@@ -182,32 +198,58 @@ def vad_hysteresis(probs: DataFrame, window: int = 512, on: float = 0.5, off: fl
 
 
 def vad_merge(raw: DataFrame, clips: DataFrame, clip: str = "clip_id", rate: int = RATE) -> DataFrame:
-    """Merge near segments, drop short ones, pad, split long ones; clips has n_samples."""
+    """Merge near segments, drop short ones, pad, split long ones; clips has n_samples.
+
+    A fold over partitions sorted by clip and start, which holds the open segment only.
+    """
     pad = 30 * rate // 1000
     least, most, gap = 250 * rate // 1000 - 2 * pad, 55 * rate - 2 * pad, 700 * rate // 1000 + 2 * pad
     kind = raw.schema[clip].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start_sample")
-        n = int(pdf["n_samples"].iloc[0])
+    names = [clip, "start_sample", "end_sample", "duration_ms"]
+
+    def merged(held: tuple[int, int] | None, seg: tuple[int, int] | None, n: int) -> tuple[list[tuple[int, int]], tuple[int, int] | None]:
+        """What is final once seg has come (null: the end), and the segment that is open then."""
         out: list[tuple[int, int]] = []
-        held: tuple[int, int] | None = None
-        todo = [*zip(pdf["start_sample"].tolist(), pdf["end_sample"].tolist(), strict=True), (n, n), None]
-        for seg in todo:
-            if held and seg and seg[0] - held[1] < gap and seg[1] - held[0] < most:
-                held = (held[0], seg[1])
-                continue
-            if held and held[1] - held[0] > least:
-                out.append((max(held[0] - pad, 0), min(held[1] + pad, n)))
-            if seg:
-                s = seg[0]
-                while seg[1] - s > most:
-                    out.append((max(s - pad, 0), s + most + pad))
-                    s += most
-                held = (s, seg[1])
-        return pd.DataFrame([(pdf[clip].iloc[0], a, b, (b - a) / rate * 1000) for a, b in out], columns=[clip, "start_sample", "end_sample", "duration_ms"])
+        if held and seg and seg[0] - held[1] < gap and seg[1] - held[0] < most:
+            return out, (held[0], seg[1])
+        if held and held[1] - held[0] > least:
+            out.append((max(held[0] - pad, 0), min(held[1] + pad, n)))
+        if seg is None:
+            return out, None
+        s = seg[0]
+        while seg[1] - s > most:
+            out.append((max(s - pad, 0), s + most + pad))
+            s += most
+        return out, (s, seg[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, n, keys = None, None, None, None
+
+        def ended() -> list[tuple]:
+            """The clip's end counts as a segment without length."""
+            first, open_ = merged(held, (n, n), n)
+            return [(current, *x) for x in (*first, *merged(open_, None, n)[0])]
 
-    return raw.join(clips.select(clip, "n_samples"), clip).groupBy(clip).applyInPandas(run, f"{clip} {kind}, start_sample long, end_sample long, duration_ms double")
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            rows = [(*r, (r[2] - r[1]) / rate * 1000) for r in rows]
+            types = [keys, pa.int64(), pa.int64(), pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+
+        for batch in batches:
+            rows, keys = [], batch.schema.field(clip).type
+            for key, a, b, size in zip(*(batch.column(c).to_pylist() for c in (clip, "start_sample", "end_sample", "n_samples")), strict=True):
+                if n is None or key != current:
+                    rows += ended() if n is not None else []
+                    current, held, n = key, None, size
+                done, held = merged(held, (a, b), n)
+                rows += [(current, *x) for x in done]
+            yield out(rows)
+        if n is not None:
+            yield out(ended())
+
+    rows = raw.select(clip, F.col("start_sample").cast("long").alias("start_sample"), F.col("end_sample").cast("long").alias("end_sample")).join(clips.select(clip, F.col("n_samples").cast("long").alias("n_samples")), clip)
+    return rows.repartition(clip).sortWithinPartitions(clip, "start_sample").mapInArrow(run, f"`{clip}` {kind}, start_sample long, end_sample long, duration_ms double")
 
 
 def no_speech_fallback(clips: DataFrame, segments: DataFrame, clip: str = "clip_id") -> DataFrame:
@@ -322,3 +364,15 @@ def transcribe_segments(segments: DataFrame, fn, samples: str = "samples", text:
         return pd.DataFrame(out, columns=["text", "error"])
 
     return segments.withColumn("_t", run(samples)).withColumns({text: F.col("_t.text"), "error": F.col("_t.error")}).drop("_t")
+
+
+def streamed_texts(transcribed: DataFrame, session: str = "session_id", idx: str = "seg_idx", text: str = "text", forced: str = "forced_split", error: str = "error") -> DataFrame:
+    """session, text, healthy of transcribed segments: their joined text; one failed segment makes a session unhealthy.
+
+    With engine_fallback such a session is given to the other engine.
+    """
+    from .segments import join_segments
+
+    joined = join_segments(transcribed, session, idx, text, forced).select(session, "text")
+    health = transcribed.groupBy(session).agg(F.max(F.col(error).isNotNull()).alias("bad"))
+    return health.join(joined, session, "left").select(session, F.coalesce("text", F.lit("")).alias("text"), (~F.col("bad")).alias("healthy"))

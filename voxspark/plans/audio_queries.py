@@ -125,6 +125,29 @@ def c09_vad_merge(spark, sf_dir):
     return a.vad_merge(_raw(spark, sf_dir), clips)
 
 
+#: Raw segments of clips of 1,000,000 samples at 16 kHz, and what they become: near ones merge (gaps under 12,160), short ones go (up to
+#: 3,040), all are padded by 480, long ones are split at 879,040, and the clip's end counts as a segment.
+_VAD_CASES = (
+    (((10000, 50000), (60000, 90000)), ((9520, 90480),)),
+    (((10000, 50000), (62160, 90000)), ((9520, 50480), (61680, 90480))),
+    (((10000, 13040), (40000, 43041)), ((39520, 43521),)),
+    (((0, 900000),), ((0, 879520), (878560, 900480))),
+    (((0, 870000), (875000, 900000)), ((0, 870480), (874520, 900480))),
+    (((300, 4000), (990000, 995000)), ((0, 4480), (989520, 1000000))),
+    (((100, 2000), (14159, 20000), (32159, 33000)), ((0, 33480),)),
+)
+
+
+@query(f"""WITH c AS (SELECT * FROM (VALUES {', '.join(f"({k}, {a}, {b})" for k, (_, out) in enumerate(_VAD_CASES) for a, b in out)}) v(k, a, b))
+SELECT o_orderkey AS clip_id, a::BIGINT AS start_sample, b::BIGINT AS end_sample, (b - a) / 16.0::DOUBLE AS duration_ms FROM orders JOIN c ON k = o_orderkey % {len(_VAD_CASES)}""")
+def c09_known_vad_merge(spark, sf_dir):
+    k = F.col("o_orderkey")
+    cases = F.array(*(F.array(*(F.struct(F.lit(x).alias("start_sample"), F.lit(y).alias("end_sample")) for x, y in raw)) for raw, _ in _VAD_CASES))
+    clips = table(spark, sf_dir, "orders").select(k.alias("clip_id"), F.lit(1_000_000).alias("n_samples"))
+    raw = clips.select("clip_id", F.explode(F.get(cases, (F.col("clip_id") % len(_VAD_CASES)).cast("int"))).alias("s")).select("clip_id", "s.*")
+    return a.vad_merge(raw, clips)
+
+
 @query(_VAD + "SELECT u AS clip_id, coalesce(start_sample, 0) AS start_sample, coalesce(end_sample, 9999) AS end_sample FROM (SELECT DISTINCT user_id AS u FROM events UNION ALL SELECT DISTINCT -1 - user_id FROM events) LEFT JOIN r ON clip_id = u")
 def c10_no_speech_fallback(spark, sf_dir):
     clips = table(spark, sf_dir, "events").select(F.col("user_id").alias("clip_id"), F.lit(9999).cast("long").alias("n_samples")).distinct()
@@ -206,3 +229,21 @@ def i01_transcribe_segments(spark, sf_dir):
 
     c = _clips(spark, sf_dir).withColumn("samples", F.when(F.col("clip_id") % 5 == 0, F.array().cast("array<float>")).otherwise(F.col("samples")))
     return a.transcribe_segments(c, fn).select("clip_id", "text", "error")
+
+
+@query("""WITH s AS (SELECT vec_id // 7 AS session_id, count(*) AS n, count(*) FILTER (vec_id % 11 = 0) AS bad FROM embeddings GROUP BY 1)
+SELECT session_id, CASE WHEN bad = 0 THEN array_to_string(list_transform(range(n), lambda x: 'part of 64 samples.'), ' ') WHEN session_id % 2 = 0 THEN 'batch ' || session_id ELSE 'other ' || session_id END AS text, CASE WHEN bad = 0 THEN 'stream' WHEN session_id % 2 = 0 THEN 'primary' ELSE 'secondary' END AS engine FROM s""")
+def i01_failed_segments(spark, sf_dir):
+    """Sessions of seven clips: where one fails, the session goes to the other engines' texts."""
+    from ..operators import segments as seg
+
+    def fn(x):
+        if not len(x):
+            raise ValueError("no samples")
+        return f"part of {len(x)} samples."
+
+    clips = _clips(spark, sf_dir).select(F.floor(F.col("clip_id") / 7).alias("session_id"), F.col("clip_id").alias("seg_idx"), F.lit(True).alias("forced_split"), F.when(F.col("clip_id") % 11 == 0, F.array().cast("array<float>")).otherwise(F.col("samples")).alias("samples"))
+    streamed = a.streamed_texts(a.transcribe_segments(clips, fn))
+    sessions = clips.select("session_id").distinct()
+    batch = lambda name, said: sessions.select("session_id", F.when(said, F.concat(F.lit(name), "session_id")).otherwise("").alias("text"))
+    return seg.engine_fallback(sessions, streamed, batch("batch ", F.col("session_id") % 2 == 0), batch("other ", F.lit(True)))

@@ -12,7 +12,7 @@ from .decode_queries import _E
 from .decode_queries import events as diag_events
 from .registry import query
 from .segment_queries import _SEAM_SQL, _turns, known_segments
-from .text_queries import _docs, table
+from .text_queries import SPOKEN_ORDERS_SQL, _docs, spoken_orders, table
 
 
 def _stream(spark, df, name):
@@ -170,6 +170,18 @@ def g05_confirm_timeouts(spark, sf_dir):
     return st.confirm_timeouts(e, 3600).join(e.select("run_id", "ts", "event_id"), ["run_id", "ts"]).select("run_id", "event_id", "outcome")
 
 
+@query(f"WITH n AS (SELECT *, lead(ts) OVER w AS nt, lead(stage) OVER w AS ns FROM {_P} WINDOW w AS (PARTITION BY run_id ORDER BY ts)), o AS (SELECT run_id, event_id, CASE WHEN nt IS NULL OR epoch_ms(nt) - epoch_ms(ts) > 3600000 THEN 'cancelled' WHEN ns = 'confirm' THEN 'declined' END AS outcome FROM n WHERE stage = 'confirm') SELECT * FROM o WHERE outcome IS NOT NULL")
+def g05_stream_confirm_timeouts(spark, sf_dir):
+    """The proposals that are not answered, by a stream in four micro-batches with event-time timers."""
+    i = F.col("event_id")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.when(i % 3 == 0, "confirm").otherwise("done").alias("stage"))
+    last = e.agg((F.max("ts") + F.expr("interval 2 days")).alias("ts")).select(F.lit(-1).cast("long").alias("run_id"), F.lit(-1).cast("long").alias("event_id"), "ts", F.lit("done").alias("stage"), F.lit(3).alias("step"))
+    s = _fed(spark, _by_time(e, 4).unionByName(last), "proposals", 4).withWatermark("ts", "10 seconds")
+    out = files.work_path(spark, "proposals-out")
+    st.run_once(st.stream_confirm_timeouts(s, 3600), out)
+    return spark.read.parquet(out).select("run_id", "event_id", "outcome")
+
+
 _V = "(SELECT user_id AS session_id, ts, event_id, CASE event_id % 3 WHEN 0 THEN 'start' WHEN 1 THEN 'result' ELSE 'partial' END AS type FROM events)"
 
 
@@ -251,6 +263,15 @@ def g10_stream_postprocess(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+@query(SPOKEN_ORDERS_SQL)
+def g10_known_postprocess(spark, sf_dir):
+    """Known spoken sentences as a stream in three micro-batches."""
+    t = spoken_orders(spark, sf_dir).withColumn("step", (F.col("o_orderkey") % 3).cast("int"))
+    out = files.work_path(spark, "postprocessed-orders")
+    st.run_once(st.stream_postprocess(_fed(spark, t, "spoken-orders", 3), spoken=True), out)
+    return spark.read.parquet(out)
+
+
 @query()
 def g10_batch_postprocess(spark, sf_dir):
     return postprocess(_docs(spark, sf_dir).select("doc_id", "text"))
@@ -297,6 +318,16 @@ def h01_history_json(spark, sf_dir):
     return files.read_history(spark, path, multi_line=False).select("id", "user_id", "audio_ms", F.unix_seconds("ts").alias("at"))
 
 
+@query("SELECT event_id::VARCHAR AS id, user_id::VARCHAR AS user_id, event_id % 7 AS audio_ms, event_id AS at FROM events")
+def h01_history_arrays(spark, sf_dir):
+    """Files of one JSON array each, over many lines, as the app writes them."""
+    path, i = files.work_path(spark, "history-arrays"), F.col("event_id")
+    entry = F.struct(i.cast("string").alias("id"), F.col("user_id").cast("string").alias("user_id"), (i * 1000).alias("timestamp"), (i % 7).alias("audioMs"))
+    a = table(spark, sf_dir, "events").groupBy("user_id").agg(F.replace(F.to_json(F.collect_list(entry)), F.lit("},{"), F.lit("},\n  {")).alias("value"))
+    a.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return files.read_history(spark, path).select("id", "user_id", "audio_ms", F.unix_seconds("ts").alias("at"))
+
+
 @query("SELECT DISTINCT p_brand AS id, 2::INTEGER AS n_patterns, 2::INTEGER AS n_steps FROM part")
 def h02_recipe_pack(spark, sf_dir):
     from .command_queries import recipes
@@ -306,6 +337,17 @@ def h02_recipe_pack(spark, sf_dir):
     return files.read_recipes(spark, path, multi_line=False).select("id", F.size("patterns").alias("n_patterns"), F.size("steps").alias("n_steps"))
 
 
+@query("SELECT DISTINCT p_brand AS id, 2::INTEGER AS n_patterns, 2::INTEGER AS n_steps FROM part")
+def h02_recipe_arrays(spark, sf_dir):
+    from .command_queries import recipes
+
+    path = files.work_path(spark, "recipe-arrays")
+    r = recipes(spark, sf_dir)
+    packs = r.groupBy(F.substring("id", -1, 1).alias("pack")).agg(F.replace(F.to_json(F.collect_list(F.struct(*r.columns))), F.lit(",{"), F.lit(",\n{")).alias("value"))
+    packs.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return files.read_recipes(spark, path).select("id", F.size("patterns").alias("n_patterns"), F.size("steps").alias("n_steps"))
+
+
 @query("SELECT DISTINCT p_brand AS brand, replace(p_brand, '#', '-') AS said, 'room 23' AS room, 42::BIGINT AS number FROM part")
 def i02_register_sql(spark, sf_dir):
     """The helpers by name, in SQL."""

@@ -41,19 +41,24 @@ def e02_tokenize_terms(spark, sf_dir):
 _TERMS = "(SELECT DISTINCT CASE WHEN p_partkey % 11 = 0 THEN lower(p_name) || ' ž' WHEN p_partkey % 13 = 0 THEN '' ELSE lower(p_name) END AS term FROM part)"
 
 
-@query(f"""WITH RECURSIVE p AS MATERIALIZED (SELECT * FROM {_PIECES}), t AS MATERIALIZED (SELECT term, unnest(list_filter(string_split(term, ' '), lambda w: w <> '')) AS w, unnest(range(len(list_filter(string_split(term, ' '), lambda w: w <> '')))) AS i FROM {_TERMS}),
+def _odd_terms(spark, sf_dir):
+    k, name = F.col("p_partkey"), F.lower("p_name")
+    return table(spark, sf_dir, "part").select(F.when(k % 11 == 0, F.concat(name, F.lit(" ž"))).when(k % 13 == 0, "").otherwise(name).alias("term")).distinct()
+
+
+_IDS_SQL = f"""WITH RECURSIVE p AS MATERIALIZED (SELECT * FROM {_PIECES}), t AS MATERIALIZED (SELECT term, unnest(list_filter(string_split(term, ' '), lambda w: w <> '')) AS w, unnest(range(len(list_filter(string_split(term, ' '), lambda w: w <> '')))) AS i FROM {_TERMS}),
 d AS (SELECT DISTINCT '▁' || w AS w FROM t),
 m AS MATERIALIZED (SELECT d.w, k, max(length(p.piece)) AS n FROM d, unnest(range(1, length(d.w) + 1)) x(k), p WHERE starts_with(d.w[k:], p.piece) GROUP BY d.w, k),
 r AS (SELECT w, 1::BIGINT AS pl, []::INTEGER[] AS ids FROM d UNION ALL SELECT r.w, r.pl + m.n, list_append(r.ids, p.id) FROM r JOIN m ON m.w = r.w AND m.k = r.pl JOIN p ON p.piece = r.w[r.pl:r.pl + m.n - 1]),
-e AS (SELECT w, ids FROM r WHERE pl > length(w))
-SELECT z.term, CASE WHEN n = count(e.ids) AND n > 0 THEN array_to_string(list_transform(flatten(list(e.ids ORDER BY i)), lambda x: x::VARCHAR), ' ') END AS ids
-FROM (SELECT term, len(list_filter(string_split(term, ' '), lambda w: w <> '')) AS n FROM {_TERMS}) z LEFT JOIN t ON t.term = z.term LEFT JOIN e ON e.w = '▁' || t.w GROUP BY z.term, n""")
+e AS (SELECT w, ids FROM r WHERE pl > length(w)),
+i AS (SELECT z.term, CASE WHEN n = count(e.ids) AND n > 0 THEN flatten(list(e.ids ORDER BY i)) END AS ids
+FROM (SELECT term, len(list_filter(string_split(term, ' '), lambda w: w <> '')) AS n FROM {_TERMS}) z LEFT JOIN t ON t.term = z.term LEFT JOIN e ON e.w = '▁' || t.w GROUP BY z.term, n)"""
+
+
+@query(_IDS_SQL + " SELECT term, array_to_string(list_transform(ids, lambda x: x::VARCHAR), ' ') AS ids FROM i")
 def e02_term_ids(spark, sf_dir):
     """The ids themselves; some terms have a character without a piece, or no word."""
-    k = F.col("p_partkey")
-    name = F.lower("p_name")
-    terms = table(spark, sf_dir, "part").select(F.when(k % 11 == 0, F.concat(name, F.lit(" ž"))).when(k % 13 == 0, "").otherwise(name).alias("term")).distinct()
-    return v.tokenize_terms(terms, pieces(spark, sf_dir)).select("term", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+    return v.tokenize_terms(_odd_terms(spark, sf_dir), pieces(spark, sf_dir)).select("term", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
 @query(f"WITH p AS (SELECT * FROM {_PIECES}) SELECT a.id, a.piece, count(*) AS n FROM p a JOIN p b ON starts_with(b.piece, a.piece) GROUP BY ALL")
@@ -67,6 +72,14 @@ def e04_bias_terms(spark, sf_dir):
     return v.bias_terms(terms, pieces(spark, sf_dir)).select("term", "accepted", "rejected", F.size("sequences").alias("n"))
 
 
+@query(_IDS_SQL + """, b AS (SELECT a.id, count(*) AS n FROM p a JOIN p b ON starts_with(b.piece, a.piece) GROUP BY a.id), j AS (SELECT i.term, i.ids, b.n FROM i LEFT JOIN b ON b.id = i.ids[1] WHERE i.term <> '')
+SELECT term, coalesce(n <= 4, false) AS accepted, coalesce(n > 4, false) AS rejected, CASE WHEN n <= 4 THEN array_to_string(list_transform(ids, lambda x: x::VARCHAR), ' ') ELSE '' END AS ids FROM j""")
+def e04_known_bias_terms(spark, sf_dir):
+    """Terms whose first piece starts at most four pieces, with their ids; capitals have no piece here."""
+    t = v.bias_terms(_odd_terms(spark, sf_dir), pieces(spark, sf_dir), most=4)
+    return t.select("term", "accepted", "rejected", F.array_join(F.flatten("sequences").cast("array<string>"), " ").alias("ids"))
+
+
 def _sequences(spark, sf_dir):
     k = F.col("p_partkey")
     return table(spark, sf_dir, "part").select(F.array(k % 5, k % 7, k % 11).cast("array<int>").alias("ids"))

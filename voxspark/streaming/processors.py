@@ -202,3 +202,53 @@ class PartialProcessor(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+PROPOSAL = "run_id long, event_id long, proposed_ms long, outcome string"
+
+
+class ProposalProcessor(StatefulProcessor):
+    """One run's stages to proposals that time out or that a newer one replaces; state: the proposal that waits."""
+
+    def __init__(self, seconds: int) -> None:
+        self.wait = seconds * 1000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "event_id long, at long")
+
+    def _clear(self, at: int) -> None:
+        self.handle.deleteTimer(at + self.wait)
+        self.held.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self.held.get() if self.held.exists() else None
+        out = []
+        for r in sorted((r for pdf in rows for r in pdf.itertuples()), key=lambda r: (r.ts, r.event_id)):
+            at = r.ts.value // 1_000_000
+            if held is not None:
+                if at - held[1] > self.wait:
+                    out.append((key[0], *held, "cancelled"))
+                elif r.stage == "confirm":
+                    out.append((key[0], *held, "declined"))
+                self._clear(held[1])
+            held = (int(r.event_id), at) if r.stage == "confirm" else None
+        if held is not None:
+            self.held.update(held)
+            self.handle.registerTimer(held[1] + self.wait)
+        yield self._rows(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self.held.get() if self.held.exists() else None
+        out = []
+        if held is not None and held[1] + self.wait == expiredTimerInfo.getExpiryTimeInMs():
+            out.append((key[0], *held, "cancelled"))
+            self.held.clear()
+        yield self._rows(out)
+
+    @staticmethod
+    def _rows(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["run_id", "event_id", "proposed_ms", "outcome"]).astype({c: "int64" for c in ("run_id", "event_id", "proposed_ms")})
+
+    def close(self) -> None:
+        pass

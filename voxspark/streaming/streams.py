@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.decode import latency_sketch, sketch_percentile
-from .processors import PARTIAL, SEGMENT, PartialProcessor, SegmentProcessor
+from .processors import PARTIAL, PROPOSAL, SEGMENT, PartialProcessor, ProposalProcessor, SegmentProcessor
 
 PREVIEW_MS = 1200
 
@@ -48,30 +46,8 @@ def partial_texts(partials: DataFrame) -> DataFrame:
 
 
 def stream_confirm_timeouts(events: DataFrame, seconds: int = 15) -> DataFrame:
-    """Stream of (run_id, ts, stage) with a watermark on ts: unanswered proposals, and those a newer one replaced."""
-
-    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get[0] if state.exists else None
-        out = []
-        if state.hasTimedOut:
-            out.append((key[0], held, "cancelled"))
-            held = None
-        for r in sorted((r for pdf in pdfs for r in pdf.itertuples()), key=lambda r: r.ts):
-            at = int(r.ts.timestamp() * 1000)
-            if held is not None and at - held > seconds * 1000:
-                out.append((key[0], held, "cancelled"))
-            elif held is not None and r.stage == "confirm":
-                out.append((key[0], held, "declined"))
-            held = at if r.stage == "confirm" else None
-        if held is None:
-            state.remove()
-        else:
-            state.update((held,))
-            state.setTimeoutTimestamp(max(held + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=["run_id", "proposed_ms", "outcome"])
-
-    return events.groupBy("run_id").applyInPandasWithState(run, "run_id long, proposed_ms long, outcome string", "held long", "append", GroupStateTimeout.EventTimeTimeout)
+    """Stream of (run_id, event_id, ts, stage) with a watermark on ts: unanswered proposals, and those a newer one replaced."""
+    return events.groupBy("run_id").transformWithStateInPandas(ProposalProcessor(seconds), PROPOSAL, "append", "eventTime")
 
 
 def confirm_timeouts(events: DataFrame, seconds: int = 15) -> DataFrame:
