@@ -90,3 +90,25 @@ TABLE_CASES = [
 @pytest.mark.parametrize(("html", "text"), TABLE_CASES)
 def test_table_text_outside_of_cells_is_kept(html, text):
     assert html_text.render_text(html) == text
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    for html in ("<a " * 350_000, "<a<a" * 250_000, "<b>" * 200_000, "<a \"" * 250_000 + ">", "<a '\"" * 200_000 + "'>", "</p>" * 200_000, "<div>" * 100_000 + "</div>" * 50_000, "<p><table><td>" + "<b>" * 100_000 + "</p>" * 100_000, "<!" * 500_000, "<!--" * 250_000, "<li>" * 100_000, "<table><tr><td>" * 40_000):
+        began = time.perf_counter()
+        html_text.render_text(html)
+        assert time.perf_counter() - began < 15, html[:8]
+    assert html_text.render_text("a <b 'c") == "a <b 'c" and html_text.render_text("a <b 'x>y'>c") == "a c"
+
+
+def test_hidden_at_any_depth():
+    for depth in (1, 150, 199, 200, 250, 3000):
+        html = "<div>" * depth + "<p style='display:none'>no<b>no</b></p>yes<ul><li hidden>no<li>one<li>two</ul>" + "</div>" * depth + "end"
+        words = html_text.render_text(html).replace("- ", "").split()
+        assert words == ["yes", "one", "two", "end"], (depth, words)
+
+
+def test_visibility_is_inherited_and_can_be_turned_back():
+    assert html_text.render_text("<div style='visibility:hidden'>a<b style='visibility:visible'>b<i>c</i></b>d</div>e") == "bc\ne"
+    assert html_text.render_text("<p style='visibility: collapse'>a</p>b") == "b"

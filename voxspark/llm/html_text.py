@@ -8,13 +8,15 @@ preformatted text keeps its white space.  What a table holds outside of its cell
 before it.
 
 Defined results: null or empty html gives an empty text; unclosed, misplaced or unknown
-tags never fail; elements nested deeper than `MAX_DEPTH` count as children of the one
-at that depth; extra columns are passed on by extract_text.
+tags never fail; what elements nested deeper than `MAX_DEPTH` hold counts as that of the one
+at that depth, but what they hide stays hidden; extra columns are passed on by extract_text.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -25,9 +27,12 @@ from pyspark.sql import functions as F
 from .arrow import steps
 
 MAX_DEPTH = 200
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_NAME = re.compile(r"</?[a-zA-Z]")
+_NAME_END = re.compile(r"[\s/>]")
+_SPECIAL = re.compile(r"[>\"']")
 _STYLE = re.compile(r"""\bstyle\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_HIDING = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(\w+)", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|\baria-hidden\s*=\s*["']?true""", re.I)
 _START = re.compile(r"""\bstart\s*=\s*["']?(-?\d+)""", re.I)
 _QUOTED = re.compile(r"""=\s*("[^"]*"|'[^']*')""")
@@ -49,10 +54,14 @@ _PARAGRAPH_ENDS = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "visible")
 
-    def __init__(self, tag: str, attrs: str = ""):
+    def __init__(self, tag: str, attrs: str = "", visible: bool = True):
         self.tag, self.attrs, self.children = tag, attrs, []
+        #: What the visibility property says of its own texts; elements inside may differ.
+        self.visible = visible
+        if attrs and (style := _STYLE.search(attrs)) and (v := _VISIBILITY.search(style[1])):
+            self.visible = v[1].lower() not in ("hidden", "collapse") if v[1].lower() != "inherit" else visible
 
     def shown(self) -> bool:
         if self.tag in INVISIBLE:
@@ -63,68 +72,168 @@ class Node:
         return not (style and _HIDING.search(style[1])) and not _HIDDEN.search(_QUOTED.sub(lambda m: m[0] if "true" in m[1].lower() else "=", self.attrs))
 
 
+class _Tags:
+    """Tags of a page in order, in linear time whatever it holds.
+
+    A tag goes up to the first > that isn't quoted; where there is none, its < is text.  What is
+    found out on the way (the next mark from a place on, where a tag that gets to a quote ends) is kept,
+    so that no part of the page is searched again for each < before it.
+    """
+
+    def __init__(self, html: str) -> None:
+        self.html = html
+        self.next: dict[re.Pattern, tuple[int, int]] = {}  # from, place: the first match from there on
+        self.ends: dict[int, int] = {}  # end of a tag that reaches this quote, or -1
+        self.last = {c: html.rfind(c) for c in "\"'>"}
+
+    def _find(self, pattern: re.Pattern, at: int) -> int:
+        """The first match from `at` on, or -1; asked for places from left to right."""
+        a, b = self.next.get(pattern, (1, 0))
+        if not a <= at <= b:
+            m = pattern.search(self.html, at)
+            b = m.start() if m else len(self.html)
+            self.next[pattern] = (at, b)
+        return b if b < len(self.html) else -1
+
+    def end(self, at: int) -> int:
+        """The place of the > of a tag whose attributes start at `at`, or -1."""
+        passed, out = [], -1
+        while at <= self.last[">"]:
+            k = self._find(_SPECIAL, at) if at >= self.next.get(_SPECIAL, (0, 0))[0] else self._search(at)
+            if k < 0 or self.html[k] == ">":
+                out = k
+                break
+            if k in self.ends:
+                out = self.ends[k]
+                break
+            passed.append(k)
+            if k >= self.last[self.html[k]]:
+                break
+            at = self.html.find(self.html[k], k + 1) + 1
+        self.ends.update(dict.fromkeys(passed, out))
+        return out
+
+    def _search(self, at: int) -> int:
+        m = _SPECIAL.search(self.html, at)
+        return m.start() if m else -1
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(start, end, name, closing, attributes); comments and declarations have no name."""
+        html, at = self.html, 0
+        while (start := html.find("<", at)) >= 0:
+            at = start + 1
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                at = end + 3 if end >= 0 else len(html)
+                yield start, at, "", False, ""
+            elif html.startswith(("<!", "<?"), start):
+                if start < self.last[">"]:
+                    at = html.find(">", start) + 1
+                    yield start, at, "", False, ""
+            elif start < self.last[">"] and _NAME.match(html, start):
+                closing = html[start + 1] == "/"
+                name_end = self._find(_NAME_END, start + 1 + closing)
+                end = name_end if name_end < 0 or html[name_end] == ">" else self.end(name_end)
+                if end >= 0:
+                    at = end + 1
+                    told = yield start, at, html[start + 1 + closing:name_end].lower(), closing, html[name_end:end]
+                    at = at if told is None else told
+
+
+class _Open:
+    """The elements that are open, with the places of each kind, so that looking for one takes no walk."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes, self.places = [root], defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.places[node.tag].append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, at: int) -> None:
+        """Close all from a place on."""
+        deep = len(self.nodes) > MAX_DEPTH and any(n.tag in BLOCK for n in self.nodes[max(at, MAX_DEPTH):])
+        for node in self.nodes[at:]:
+            self.places[node.tag].pop()
+        del self.nodes[at:]
+        if deep and len(self.nodes) >= MAX_DEPTH:
+            self.nodes[-1].children.append(Node("br"))
+
+    def last(self, tags) -> int:
+        """The place of the innermost of these, 0 for none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def outermost(self, tags, behind: int) -> int:
+        return min((p[k] for t in tags if (p := self.places.get(t)) and (k := bisect_right(p, behind)) < len(p)), default=0)
+
+
+_CELLS = ("table", "td", "th")
+_WITHIN_CELL = ("p", "div", "li", "span", "b", "i")
+
+
 def parse(html: str) -> Node:
+    """The tree of a page.
+
+    Elements beyond MAX_DEPTH are open like others, but what they hold goes to the one at that
+    depth; that of hidden ones goes nowhere, and blocks begin a new line there.
+    """
     root = Node("#root")
-    stack, at = [root], 0
-
-    def close(tags: set[str], fence: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                # of nested ones, the outermost inside of the fence
-                while i > 1 and any(stack[j].tag in tags for j in range(i - 1, 0, -1) if not any(stack[m].tag in fence for m in range(j, i))):
-                    i -= 1
-                    while stack[i].tag not in tags:
-                        i -= 1
-                del stack[i:]
-                return
-            if stack[i].tag in fence:
-                return
+    stack, at = _Open(root), 0
+
+    def close(tags, fence) -> None:
+        """The outermost of these inside of the fence."""
+        if (last := stack.last(tags)) and last > (edge := stack.last(fence)):
+            stack.cut(stack.outermost(tags, edge))
 
     def push(tag: str, attrs: str) -> None:
-        node = Node(tag, attrs)
-        stack[-1].children.append(node)
+        top = stack.nodes[-1]
+        node = Node(tag, attrs, top.visible)
+        if len(stack.nodes) < MAX_DEPTH or tag in VOID:
+            top.children.append(node)
+        elif node.shown():
+            if tag in BLOCK:
+                top.children.append(Node("br"))
+            node.children = top.children
         if tag not in VOID:
-            if len(stack) < MAX_DEPTH:
-                stack.append(node)
-
-    while True:
-        m = _TOKEN.search(html, at)
-        text = html[at:m.start()] if m else html[at:]
-        if text:
-            stack[-1].children.append(unescape(text) if "&" in text else text)
-        if not m:
-            return root
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag, attrs = m[2].lower(), m[3]
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("table", "td", "th") and tag in ("p", "div", "li", "span", "b", "i"):
-                    break  # doesn't reach out of its cell
+            stack.push(node)
+
+    def text(part: str) -> None:
+        if part and stack.nodes[-1].visible:
+            stack.nodes[-1].children.append(unescape(part) if "&" in part else part)
+
+    tags = iter(_Tags(html))
+    found = next(tags, None)
+    while found:
+        start, end, tag, closing, attrs = found
+        text(html[at:start])
+        at, told = end, None
+        if closing:
+            i = stack.places[tag][-1] if stack.places.get(tag) else 0
+            if i and not (tag in _WITHIN_CELL and stack.last(_CELLS) > i):  # doesn't reach out of its cell
+                stack.cut(i)
+            elif not i and tag in ("p", "br") and not (tag == "p" and stack.last(_CELLS)):
+                stack.nodes[-1].children.append(Node(tag))
+        elif tag:
+            if tag in CLOSES:
+                close(*CLOSES[tag])
+            if tag in _PARAGRAPH_ENDS:
+                close(("p",), ("td", "th", "table", "li", "button", "body"))
+            if stack.nodes[-1].tag == "colgroup" and tag not in ("col", "template"):
+                stack.cut(len(stack.nodes) - 1)
+            if tag in ("td", "th") and stack.nodes[-1].tag in ("table", "tbody", "thead", "tfoot"):
+                push("tr", "")
+            if tag in RAW:
+                over = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+                stack.nodes[-1].children.append(Node(tag, attrs))
+                at = told = over.end() if over else len(html)
             else:
-                if tag == "p":
-                    stack[-1].children.append(Node("p"))
-                elif tag == "br":
-                    stack[-1].children.append(Node("br"))
-            continue
-        if tag in CLOSES:
-            close(*CLOSES[tag])
-        if tag in _PARAGRAPH_ENDS:
-            close({"p"}, {"td", "th", "table", "li", "button", "body"})
-        if stack[-1].tag == "colgroup" and tag not in ("col", "template"):
-            stack.pop()
-        if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-            push("tr", "")
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-            stack[-1].children.append(Node(tag, attrs))
-            at = end.end() if end else len(html)
-            continue
-        push(tag, attrs)
+                push(tag, attrs)
+        try:
+            found = tags.send(told)
+        except StopIteration:
+            found = None
+    text(html[at:])
+    return root
 
 
 class _Page:
