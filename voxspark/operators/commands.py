@@ -119,8 +119,8 @@ def assess_command(tool: Column, args: Column) -> Column:
     return F.when(tool == "computer_task", assess_goal(F.coalesce(args["goal"], F.lit("")))).when(tool == "open_target", risk_of_opening(F.coalesce(args["target"], F.lit("")))).when(tool.isin("play_media", "search_web", "read_history", "type_text", "none"), safe).otherwise(bad)
 
 
-#: Patterns such as {what}, which fit any text.
-MAX_OPEN_PATTERNS = 1000
+#: Patterns without a word of their own, such as {what}, that are asked of a text at a time.
+OPEN_BLOCK = 200
 
 
 def _tidy(c: Column) -> Column:
@@ -130,28 +130,25 @@ def _tidy(c: Column) -> Column:
 def match_recipes(utterances: DataFrame, recipes: DataFrame, key: str = "utterance_id", text: str = "text") -> DataFrame:
     """key, recipe_id, slots (map): the matching pattern with the most literal characters, else the first.
 
-    A pattern that starts with a word meets texts with that first word only, and one that
-    starts with a slot those that hold its longest word (equi-joins); a pattern without a
-    word of its own, of which MAX_OPEN_PATTERNS are allowed, is asked of all texts.
+    A pattern meets the texts that hold the one of its words which the fewest texts hold (an
+    equi-join); patterns without a word of their own are asked of all texts, those alike once.
     """
     p = recipes.where("not coalesce(stats.quarantined, false)").select(F.col("id").alias("recipe_id"), F.col("slots").alias("wanted"), F.monotonically_increasing_id().alias("r"), F.posexplode("patterns").alias("p", "pattern"))
     quoted = F.concat(F.lit(r"\Q"), F.regexp_replace(F.regexp_replace(F.trim("pattern"), r"\{(\w+)\}", r"\\E(.+?)\\Q"), r"\s+", r"\\E\\s+\\Q"), F.lit(r"\E"))
-    p = p.select("*", F.concat(F.lit("(?i)^"), quoted, F.lit("$")).alias("rx"), F.regexp_extract_all("pattern", F.lit(r"\{(\w+)\}"), 1).alias("names"), F.length(F.regexp_replace("pattern", r"\{\w+\}", "")).alias("literal"),
-                 F.lower(F.regexp_extract(F.trim("pattern"), r"^([^\s{]+)(?:\s|$)", 1)).alias("first"))
-    u = utterances.select(key, _tidy(F.col(text)).alias("t")).withColumn("first", F.lower(F.substring_index("t", " ", 1)))
-    known = u.join(p.where("first <> ''"), "first").drop("first")
-    own = F.filter(F.split(F.lower(F.trim("pattern")), r"\s+"), lambda w: ~w.contains("{") & ~w.contains("}"))
-    longest = F.array_max(F.transform(own, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    loose = p.where("first = ''").drop("first").withColumn("word", longest)
+    own = F.filter(F.split(F.lower(F.trim("pattern")), r"\s+"), lambda w: ~w.contains("{") & ~w.contains("}") & (w != ""))
+    p = p.select("*", F.concat(F.lit("(?i)^"), quoted, F.lit("$")).alias("rx"), F.regexp_extract_all("pattern", F.lit(r"\{(\w+)\}"), 1).alias("names"), F.length(F.regexp_replace("pattern", r"\{\w+\}", "")).alias("literal"), F.array_distinct(own).alias("own"))
+    u = utterances.select(key, _tidy(F.col(text)).alias("t"))
     words = u.select(key, "t", F.explode(F.array_distinct(F.split(F.lower("t"), " "))).alias("word"))
-    every = known.unionByName(words.join(loose.where("word is not null"), "word").drop("word"))
-    wide = loose.where("word is null").drop("word").limit(MAX_OPEN_PATTERNS + 1)
+    held = p.select("recipe_id", "p", F.explode("own").alias("word")).join(words.groupBy("word").agg(F.count("*").alias("df")), "word", "left")
+    rare = held.groupBy("recipe_id", "p").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("k")).select("recipe_id", "p", F.col("k.word").alias("word"))
+    every = words.join(p.join(rare, ["recipe_id", "p"]), "word").select(key, "t", *p.columns)
+    alike = F.min(F.struct((-F.col("literal")).alias("l"), *(c for c in p.columns if c not in ("rx", "wanted")))).alias("b")
+    wide = p.where(F.size("own") == 0).groupBy("rx", "wanted").agg(alike).select(*(F.col(c) if c in ("rx", "wanted") else F.col(f"b.{c}") for c in p.columns))
     n_wide = wide.count()
-    if n_wide > MAX_OPEN_PATTERNS:
-        raise ValueError(f"over {MAX_OPEN_PATTERNS} patterns without a word of their own")
     if n_wide:
-        lists = wide.agg(F.collect_list(F.struct(*wide.columns)).alias("all"))
-        every = every.unionByName(u.drop("first").join(F.broadcast(lists)).select(key, "t", F.explode("all").alias("x")).select(key, "t", "x.*"))
+        block = F.pmod(F.xxhash64("rx"), F.lit(-(-n_wide // OPEN_BLOCK)))
+        lists = wide.groupBy(block.alias("block")).agg(F.collect_list(F.struct(*p.columns)).alias("all"))
+        every = every.unionByName(u.crossJoin(lists).select(key, "t", F.explode(F.filter("all", lambda x: F.rlike(F.col("t"), x["rx"]))).alias("x")).select(key, "t", "x.*"))
     hit = every.where(F.expr("t rlike rx"))
     # captured values: each group in turn
     values = F.transform(F.sequence(F.lit(1), F.greatest(F.size("names"), F.lit(1))), lambda i: _tidy(F.when(i <= F.size("names"), F.call_function("regexp_extract", F.col("t"), F.col("rx"), i)).otherwise("")))
@@ -177,7 +174,8 @@ def check_literal(c: Column) -> Column:
     for rx, what in reversed(PERSONAL):
         reason = F.when(v.rlike(rx), f"contains {what}").otherwise(reason)
     reason = F.when(v == "", None).otherwise(reason)
-    return F.struct(reason.isNull().alias("ok"), reason.alias("reason"))
+    # by way of an array, so that the patterns are asked once
+    return F.get(F.transform(F.array(reason), lambda r: F.struct(r.isNull().alias("ok"), r.alias("reason"))), F.lit(0))
 
 
 def recipe_literals(recipes: DataFrame) -> DataFrame:

@@ -108,6 +108,21 @@ def f08_match_recipes(spark, sf_dir):
     return m.select("p_partkey", "recipe_id", F.element_at(F.col("slots"), F.lit("what")).alias("what"), F.element_at(F.col("slots"), F.lit("place")).alias("place"))
 
 
+@query(f"SELECT k AS p_partkey, CASE k % 3 WHEN 0 THEN 'open-2' WHEN 1 THEN b ELSE 'wide-1' END AS recipe_id, CASE k % 3 WHEN 2 THEN 'X' || split_part(n, ' ', 1) ELSE n END AS what FROM {_U}")
+def f08_open_recipes(spark, sf_dir):
+    """Fifteen hundred patterns without a word of their own beside those with words; a pattern's rarest word leads to it."""
+    p = table(spark, sf_dir, "part")
+    k = _k() % 3
+    said = F.when(k == 0, F.concat(F.lit("please open "), "p_name", F.lit(" now"))).when(k == 1, F.concat(F.lit("please open "), "p_name", F.lit(" in "), F.lower("p_brand"))).otherwise(F.concat(F.lit("X"), "p_name", F.lit(" tail.")))
+    one = lambda i, pattern: F.struct(i.alias("id"), F.array(pattern).alias("patterns"), F.array(F.lit("what")).alias("slots"), F.struct(F.lit(False).alias("quarantined")).alias("stats"))
+    own = p.select("p_brand").distinct().select(one(F.col("p_brand"), F.concat(F.lit("please open {what} in "), F.lower("p_brand"))).alias("r")).select("r.*")
+    open_ = spark.range(3).select(one(F.concat(F.lit("open-"), "id"), F.when(F.col("id") == 2, "please open {what} now").when(F.col("id") == 1, "{what}now").otherwise("{what}")).alias("r")).select("r.*")
+    # glued to a slot there is no word, so all of these are asked of every text; those of one shape once
+    wide = spark.range(1500).select(one(F.concat(F.lit("wide-"), "id"), F.when(F.col("id") == 1499, "{what}.").when(F.col("id") % 2 == 0, F.concat(F.lit("q"), "id", F.lit("{what}"))).otherwise("{what} {else}")).alias("r")).select("r.*")
+    m = c.match_recipes(p.select("p_partkey", said.alias("text")), own.unionByName(open_).unionByName(wide), key="p_partkey")
+    return m.select("p_partkey", "recipe_id", F.element_at(F.col("slots"), F.lit("what")).alias("what"))
+
+
 @query("SELECT p_partkey, 'say ' || p_name || ' to ' || p_brand || '  end' AS text FROM part")
 def f09_interpolate(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", c.interpolate(F.lit("say {{a}} to {{b}} {{nobody}} end"), F.create_map(F.lit("a"), F.col("p_name"), F.lit("b"), F.col("p_brand"))).alias("text"))
@@ -120,12 +135,13 @@ def f10_resolve_recipe_set(spark, sf_dir):
     return c.resolve_recipe_set(p.select("id", F.lit("builtin").alias("source")), p.select(own.alias("id"), F.lit("learned").alias("source")))
 
 
-@query(r"""SELECT doc_id, r IS NULL AS ok, r AS reason FROM (SELECT doc_id, CASE WHEN v = '' THEN NULL WHEN regexp_matches(v, '(?i)[A-Za-z]:\\Users\\[^\\/*?"<>|]+') OR regexp_matches(v, '/(?:home|Users)/[^/\s]+') THEN 'contains a user profile path' WHEN regexp_matches(v, '[\w.+-]+@[\w-]+\.[\w.]+') THEN 'contains an email address'
+@query(r"""SELECT doc_id, line, r IS NULL AS ok, r AS reason FROM (SELECT doc_id, line, CASE WHEN v = '' THEN NULL WHEN regexp_matches(v, '(?i)[A-Za-z]:\\Users\\[^\\/*?"<>|]+') OR regexp_matches(v, '/(?:home|Users)/[^/\s]+') THEN 'contains a user profile path' WHEN regexp_matches(v, '[\w.+-]+@[\w-]+\.[\w.]+') THEN 'contains an email address'
 WHEN regexp_matches(v, '\+?\d[\d\s().-]{7,}\d') THEN 'contains a phone number' WHEN regexp_matches(v, '\b(?:\d[ -]*){13,16}\b') THEN 'contains a card-like number' WHEN regexp_matches(v, '(?i)\b(?:password|passcode|api[_\s-]?key|secret|token)\b') THEN 'contains a credential' WHEN length(v) > 60 THEN 'is long free text (looks like user content, not a UI label)' END AS r
-FROM (SELECT doc_id, trim(CASE WHEN doc_id % 2 = 0 THEN text ELSE text[:50] END, ' ') AS v FROM documents))""")
+FROM (SELECT doc_id, unnest(range(len(l)))::INTEGER AS line, trim(unnest(l), ' ') AS v FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))""")
 def f11_check_literal(spark, sf_dir):
-    t = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.substring("text", 1, 50))
-    return table(spark, sf_dir, "documents").select("doc_id", c.check_literal(t).alias("v")).select("doc_id", "v.*")
+    """Every line of every text."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    return lines.select("doc_id", "line", c.check_literal(F.col("t")).alias("v")).select("doc_id", "line", "v.*")
 
 
 @query("SELECT DISTINCT p_brand AS id FROM part WHERE regexp_extract(p_brand, '(\\d+)', 1)::BIGINT % 2 = 1")
@@ -143,9 +159,9 @@ def f13_typed_text_ok(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", c.typed_text_ok(F.when(_k() % 3 == 0, "{{a}} {{b}}").when(_k() % 3 == 1, "my password").otherwise("hello")).alias("ok"))
 
 
-@query("""SELECT p_partkey AS run_id, p_partkey % 4 < 2 AS ok, CASE p_partkey % 4 WHEN 2 THEN 'a click had no label to match on later' WHEN 3 THEN 'typed text contains a credential' END AS reason, CASE p_partkey % 4 WHEN 0 THEN 'message {text}' WHEN 1 THEN 'press {target} now' END AS pattern FROM part WHERE contains(p_name, ' ')""")
+@query("""SELECT p_partkey AS run_id, p_partkey % 4 < 2 AS ok, CASE p_partkey % 4 WHEN 2 THEN 'a click had no label to match on later' WHEN 3 THEN 'typed text contains a credential' END AS reason, CASE p_partkey % 4 WHEN 0 THEN 'message {text}' WHEN 1 THEN 'press {target} now' END AS pattern FROM part""")
 def f14_record_recipes(spark, sf_dir):
-    p, k = table(spark, sf_dir, "part").where(F.col("p_name").contains(" ")), _k() % 4
+    p, k = table(spark, sf_dir, "part"), _k() % 4
     runs = p.select(_k().alias("run_id"), F.when(k == 0, F.concat(F.lit("message "), "p_name")).when(k == 1, F.concat(F.lit("press "), "p_name", F.lit(" now."))).otherwise("go on").alias("utterance"))
     a = p.select(_k().alias("run_id"), F.lit(1).alias("pos"), F.when(k == 0, "type").when(k < 3, "click").otherwise("type").alias("kind"), F.lit(None).cast("string").alias("app"), F.when(k == 1, F.upper("p_name")).when(k == 0, "Message box").alias("label"), F.when(k == 0, F.col("p_name")).when(k == 3, "my secret").alias("text"), F.lit(None).cast("array<string>").alias("keys"))
     launch = p.select(_k().alias("run_id"), F.lit(0).alias("pos"), F.lit("launch").alias("kind"), F.lit("mail").alias("app"), *(F.lit(None).cast(t).alias(x) for x, t in (("label", "string"), ("text", "string"), ("keys", "array<string>"))))
@@ -182,11 +198,11 @@ def f17_resolve_selectors(spark, sf_dir):
     return c.resolve_selectors(s, e)
 
 
-@query("SELECT p_partkey, p_partkey % 3 <> 2 AS ok FROM part WHERE contains(p_name, ' ')")
+@query("SELECT p_partkey, p_partkey % 3 <> 2 AS ok FROM part")
 def f18_title_matches(spark, sf_dir):
     w = F.split("p_name", " ")
     q = F.when(_k() % 3 == 0, F.upper("p_name")).when(_k() % 3 == 1, F.concat_ws(" ", F.get(w, F.lit(0)), F.element_at(w, -1))).otherwise(F.concat("p_name", F.lit(" zz")))
-    return table(spark, sf_dir, "part").where(F.col("p_name").contains(" ")).select("p_partkey", c.title_matches(F.concat(F.lit("My "), "p_name", F.lit(" (live)")), q).alias("ok"))
+    return table(spark, sf_dir, "part").select("p_partkey", c.title_matches(F.concat(F.lit("My "), "p_name", F.lit(" (live)")), q).alias("ok"))
 
 
 @query(f"WITH e AS (SELECT * FROM {_EL}), m AS (SELECT s, min(n) FILTER (name = 'Song 1') AS m FROM e GROUP BY s) SELECT m.s AS snapshot_id, min(id) AS element_id FROM m LEFT JOIN e ON e.s = m.s AND name = 'Play' AND n > m AND n <= m + 12 GROUP BY m.s")
