@@ -1,5 +1,8 @@
 """The helpers under SQL names."""
 
+import functools
+import re
+
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -8,7 +11,11 @@ from . import spoken
 
 
 def register_sql(spark: SparkSession) -> None:
-    """spoken_punctuation, apply_itn and number_words_to_int for SQL."""
+    """spoken_punctuation, apply_itn, number_words_to_int, pattern_slots and fill_slots for SQL.
+
+    pattern_slots(text, pattern): the values of the {slots} of a recipe's pattern in a text, or null where
+    it doesn't fit; fill_slots(template, slots): {{slot}} replaced by values.
+    """
     def text(f):
         @F.pandas_udf("string")
         def run(s: pd.Series) -> pd.Series:
@@ -23,3 +30,24 @@ def register_sql(spark: SparkSession) -> None:
     spark.udf.register("spoken_punctuation", text(spoken.punctuation))
     spark.udf.register("apply_itn", text(spoken.itn))
     spark.udf.register("number_words_to_int", number)
+    spark.udf.register("pattern_slots", _slots)
+    # in SQL itself, so that it stays in the JVM
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION fill_slots(template STRING, slots MAP<STRING, STRING>) RETURNS STRING
+        RETURN regexp_replace(aggregate(map_entries(slots), template, (t, e) -> replace(t, concat('{{', e.key, '}}'), e.value)), '\\\\{\\\\{\\\\w+\\\\}\\\\}', '')""")
+
+
+@F.pandas_udf("map<string,string>")
+def _slots(texts: pd.Series, patterns: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None or p is None else slots_of(t, p) for t, p in zip(texts, patterns, strict=True)])
+
+
+def slots_of(text: str, pattern: str) -> dict[str, str] | None:
+    m = _compiled(pattern).fullmatch(" ".join(text.split()).rstrip(".!?,").strip())
+    return None if m is None else {k: v.strip().rstrip(".!?,") for k, v in m.groupdict().items()}
+
+
+@functools.lru_cache(10_000)
+def _compiled(pattern: str) -> re.Pattern:
+    parts = re.split(r"\{(\w+)\}", pattern.strip(), flags=re.A)
+    words = [r"\s+".join(re.escape(w) for w in re.split(r"\s+", x)) if k % 2 == 0 else f"(?P<{x}>.+?)" for k, x in enumerate(parts)]
+    return re.compile("".join(words), re.I | re.A)

@@ -356,3 +356,16 @@ def i02_register_sql(spark, sf_dir):
     register_sql(spark)
     table(spark, sf_dir, "part").select("p_brand").distinct().createOrReplaceTempView("vox_brands")
     return spark.sql("SELECT p_brand AS brand, spoken_punctuation(replace(p_brand, '#', ' hyphen ')) AS said, apply_itn(concat('room', ' twenty three')) AS room, number_words_to_int('forty two') AS number FROM vox_brands")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'Play ' || p_name || ' on ' || p_brand || '!' END AS filled, (p_partkey % 90 + 10)::BIGINT AS number, 'room ' || (p_partkey % 90 + 10) AS room FROM part""")
+def i02_sql_on_columns(spark, sf_dir):
+    """The helpers in SQL over columns of a table."""
+    from ..functions.sql import register_sql
+    from . import spoken_forms
+
+    register_sql(spark)
+    k = F.col("p_partkey")
+    said = F.concat(F.when(k % 2 == 0, "play ").otherwise("stop "), "p_name", F.lit("  on "), "p_brand", F.lit("."))
+    table(spark, sf_dir, "part").select("p_partkey", said.alias("said"), spoken_forms.words(k % 90 + 10).alias("n")).createOrReplaceTempView("vox_said")
+    return spark.sql("SELECT p_partkey, fill_slots('Play {{what}} on {{place}}{{nobody}}!', pattern_slots(said, 'Play {what} on {place}')) AS filled, number_words_to_int(n) AS number, apply_itn(concat('room ', n)) AS room FROM vox_said")
