@@ -30,17 +30,16 @@ def register_sql(spark: SparkSession) -> None:
     spark.udf.register("spoken_punctuation", text(spoken.punctuation))
     spark.udf.register("apply_itn", text(spoken.itn))
     spark.udf.register("number_words_to_int", number)
-    spark.udf.register("pattern_slots", _slots)
+    @F.pandas_udf("map<string,string>")
+    def slots(texts: pd.Series, patterns: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None or p is None else slots_of(t, p) for t, p in zip(texts, patterns, strict=True)], dtype=object)
+
+    spark.udf.register("pattern_slots", slots)
     # in SQL itself, so that it stays in the JVM
     spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION fill_slots(template STRING, slots MAP<STRING, STRING>) RETURNS STRING
         RETURN regexp_replace(aggregate(map_entries(slots), template, (t, e) -> replace(t, concat('{{', e.key, '}}'), e.value)), '\\\\{\\\\{\\\\w+\\\\}\\\\}', '')""")
 
 
-@F.pandas_udf("map<string,string>")
-def _slots(texts: pd.Series, patterns: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None or p is None else slots_of(t, p) for t, p in zip(texts, patterns, strict=True)])
-
-
 def slots_of(text: str, pattern: str) -> dict[str, str] | None:
     m = _compiled(pattern).fullmatch(" ".join(text.split()).rstrip(".!?,").strip())
     return None if m is None else {k: v.strip().rstrip(".!?,") for k, v in m.groupdict().items()}

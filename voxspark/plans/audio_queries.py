@@ -179,6 +179,27 @@ def c14_log_mel(spark, sf_dir):
     return c.select("clip_id", a.log_mel(F.col("samples")).alias("m")).select("clip_id", "m.n_frames", "m.valid_frames", F.size("m.mel").alias("n_values"))
 
 
+#: Slaney's mel scale and the filters on 257 bins; an impulse of size a at sample 400 is, with pre-emphasis, a and -0.97 a: in frame f it stands
+#: at places 656 - 160 f of the 512, under a Hann window of 400 from place 56.
+_MEL_SQL = """WITH m AS (SELECT i, CASE WHEN x < 15 THEN x * 200 / 3 ELSE 1000 * exp(ln(6.4) / 27 * (x - 15)) END AS hz FROM (SELECT i, i * (15 + ln(8) * 27 / ln(6.4)) / 129 AS x FROM (SELECT unnest(range(130)) AS i))),
+b AS (SELECT unnest(range(257)) AS k), w AS (SELECT lo.i AS band, k, greatest(0, least((k * 31.25 - lo.hz) / (mid.hz - lo.hz), (hi.hz - k * 31.25) / (hi.hz - mid.hz))) * 2 / (hi.hz - lo.hz) AS w FROM m lo JOIN m mid ON mid.i = lo.i + 1 JOIN m hi ON hi.i = lo.i + 2, b),
+f AS (SELECT f, CASE WHEN p BETWEEN 56 AND 455 THEN 0.5 - 0.5 * cos(2 * pi() * (p - 56) / 399) ELSE 0 END AS h0, CASE WHEN p + 1 BETWEEN 56 AND 455 THEN 0.5 - 0.5 * cos(2 * pi() * (p - 55) / 399) ELSE 0 END AS h1 FROM (SELECT f, 656 - 160 * f AS p FROM (SELECT unnest(range(6)) AS f))),
+a AS (SELECT DISTINCT p_size AS a FROM part),
+e AS (SELECT a, f, band, ln(sum(w * a * a * (h0 * h0 + 0.97 * 0.97 * h1 * h1 - 2 * 0.97 * h0 * h1 * cos(2 * pi() * k / 512))) + power(2, -24)) AS v FROM a, f, w GROUP BY a, f, band)
+SELECT a AS clip_id, f AS frame, round(avg(v), 2) AS mean, round(max(v), 2) AS top FROM e GROUP BY a, f"""
+
+
+@query(_MEL_SQL)
+def c14_known_impulses(spark, sf_dir):
+    """Mel energies of single impulses, whose spectrum is known."""
+    clips = table(spark, sf_dir, "part").select(F.col("p_size").alias("clip_id")).distinct()
+    clips = clips.withColumn("samples", F.transform(F.sequence(F.lit(0), F.lit(959)), lambda i: F.when(i == 400, F.col("clip_id")).otherwise(0).cast("float")))
+    m = clips.select("clip_id", a.log_mel(F.col("samples")).alias("m"))
+    v = m.select("clip_id", F.posexplode("m.mel").alias("i", "v"))
+    frame = F.floor(F.col("i") / 128)
+    return v.where(frame < 6).groupBy("clip_id", frame.alias("frame")).agg(F.round(F.avg(F.col("v").cast("double")), 2).alias("mean"), F.round(F.max(F.col("v").cast("double")), 2).alias("top"))
+
+
 _FEAT = "(SELECT vec_id // 50 AS c, vec_id % 50 AS frame, i - 1 AS band, embedding[i]::FLOAT::DOUBLE AS x, vec_id % 50 < 40 AS valid FROM embeddings, (SELECT unnest(range(1, 65)) AS i))"
 
 

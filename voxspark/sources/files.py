@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,11 +20,16 @@ EVENT = "type string, text string, state string, session_id string, ts long"
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder of the session (spark.checkpoint.dir)."""
+    """A fresh path in the shared folder of the session (spark.checkpoint.dir).
+
+    Where it is unset, in local mode only, a folder of this machine is made for it.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
         if root is None:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
             root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
