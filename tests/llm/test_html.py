@@ -112,3 +112,8 @@ def test_hidden_at_any_depth():
 def test_visibility_is_inherited_and_can_be_turned_back():
     assert html_text.render_text("<div style='visibility:hidden'>a<b style='visibility:visible'>b<i>c</i></b>d</div>e") == "bc\ne"
     assert html_text.render_text("<p style='visibility: collapse'>a</p>b") == "b"
+
+
+def test_op5_of_no_pages(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/pages.parquet").where("false").write.parquet(f"{tmp_path}/pages.parquet")
+    assert queries.op5_html_text(spark, str(tmp_path)).count() == 0

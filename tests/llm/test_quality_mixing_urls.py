@@ -130,3 +130,26 @@ def test_suffix_statistics_count_all_labelled_rows(spark):
     assert got == {k: (pytest.approx((sum(v) + 1) / (len(v) + 2)), pytest.approx(math.log(1 + len(v)))) for k, v in expected.items()}
     scored = model.predict(spark.createDataFrame([(r[0],) for r in rows], "url string"))
     assert scored.count() == len(rows)
+
+
+def test_mixing_null_ids_and_sources(spark):
+    rows = [(None, "a", None), *[(i, f"t{i}", None) for i in range(40)], *[(100 + i, "b", "x") for i in range(10)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(docs, targets={None: 1.0, "x": 1.0}).collect()
+    assert {r.source for r in got} == {None, "x"}
+    copies = [r for r in got if r.doc_id is None]
+    assert len({r.copy_no for r in copies}) == len(copies)
+
+
+def test_op8_query_of_no_pages_and_null_urls(spark, tmp_path):
+    def judged(rows, name):
+        spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/{name}/pages.parquet")
+        return {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in queries.op8_url_filter(spark, f"{tmp_path}/{name}").collect()}
+
+    assert judged([], "none") == {}
+    seeds = [(i, f"http://{'casino' if i % 2 else 'shop'}{i}.com/p/{i}", "") for i in range(60)]
+    odd = [(100, None, ""), (101, "no scheme", ""), (102, "HTTP://A.Example.NET/en/x?y", ""), (103, "http://b.example.net/fr/", ""), (104, "ftp://x.org/fr/a#b", ""), (105, "http://example.com/de/", "")]
+    got = judged([*seeds, *odd], "some")
+    assert got[100][:3] == got[101][:3] == ("", "", None) and got[100][3] in ("allow", "block")
+    assert got[102] == ("a.example.net", "/en/x", "example.net/en/", "allow") and got[103][2:] == ("net/", "block")
+    assert got[104][2:] == ("org/fr/", "allow") and got[105][2:] == ("example.com/de/", "block")

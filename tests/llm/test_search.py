@@ -47,3 +47,12 @@ def test_edges(spark):
     q = docs.select(F.col("doc_id").alias("query_id"), "text")
     _same({(r.query_id, r["rank"]): (r.doc_id, r.score) for r in search.search(q, docs, k=3).collect()}, brute(rows, rows, k=3))
     assert search.search(q, docs.limit(0)).count() == 0 and search.search(q.limit(0), docs).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(None, "alpha beta"), (1, "alpha beta gamma"), (1, "gamma"), (2, "beta"), (3, None)], "doc_id long, text string")
+    q = spark.createDataFrame([(None, "alpha"), (7, "alpha"), (7, "beta"), (8, None)], "query_id long, text string")
+    got = [(r.query_id, r["rank"], r.doc_id, r.score) for r in search.search(q, docs).orderBy("query_id", "rank").collect()]
+    assert {x[0] for x in got} == {7} and {x[2] for x in got} == {1, 2}
+    one = spark.createDataFrame([(7, "alpha beta")], "query_id long, text string")
+    assert got == [(r.query_id, r["rank"], r.doc_id, r.score) for r in search.search(one, docs).orderBy("rank").collect()]

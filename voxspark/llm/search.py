@@ -21,7 +21,7 @@ doc_id.  Words are runs of other than space and \\t..\\r, A-Z lower-cased.
 
 Defined results: null text counts as empty; a query without words, or whose words are
 in no document, has no rows; rows with a null id are neither found nor asked; rows that
-repeat an id are found each; an empty table gives no rows; extra columns are not read.
+repeat an id are found each; queries that share a query_id are asked together, as one text; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
