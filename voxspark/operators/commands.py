@@ -121,6 +121,8 @@ def assess_command(tool: Column, args: Column) -> Column:
 
 #: Patterns without a word of their own, such as {what}, that are asked of a text at a time.
 OPEN_BLOCK = 200
+#: A limit of such patterns that an owner of recipes may set; none by default.
+MAX_OPEN_PATTERNS: int | None = None
 
 
 def _tidy(c: Column) -> Column:
@@ -145,6 +147,8 @@ def match_recipes(utterances: DataFrame, recipes: DataFrame, key: str = "utteran
     alike = F.min(F.struct((-F.col("literal")).alias("l"), *(c for c in p.columns if c not in ("rx", "wanted")))).alias("b")
     wide = p.where(F.size("own") == 0).groupBy("rx", "wanted").agg(alike).select(*(F.col(c) if c in ("rx", "wanted") else F.col(f"b.{c}") for c in p.columns))
     n_wide = wide.count()
+    if MAX_OPEN_PATTERNS is not None and n_wide > MAX_OPEN_PATTERNS:
+        raise ValueError(f"over {MAX_OPEN_PATTERNS} patterns without a word of their own")
     if n_wide:
         block = F.pmod(F.xxhash64("rx"), F.lit(-(-n_wide // OPEN_BLOCK)))
         lists = wide.groupBy(block.alias("block")).agg(F.collect_list(F.struct(*p.columns)).alias("all"))
