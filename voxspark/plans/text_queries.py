@@ -168,7 +168,7 @@ SPOKEN_ORDERS_SQL = "SELECT o_orderkey, 'Pay $' || (o_orderkey % 900 + 100) || '
 def spoken_orders(spark, sf_dir):
     """o_orderkey, text: with fillers, a restart, spoken marks and numbers; every fourth text holds no word."""
     said = F.concat(F.lit("um, pay "), sf_.words(_k() % 900 + 100), F.lit(" dollars comma and then uh and then ship "), sf_.words(_k() % 90 + 10), F.lit(" boxes period done"))
-    return _orders(spark, sf_dir).select("o_orderkey", F.when(_k() % 4 == 3, " ... ").otherwise(said).alias("text"))
+    return spread(_orders(spark, sf_dir).select("o_orderkey", F.when(_k() % 4 == 3, " ... ").otherwise(said).alias("text")))
 
 
 @query(SPOKEN_ORDERS_SQL)
