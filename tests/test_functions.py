@@ -123,3 +123,9 @@ def test_recipes_that_start_with_a_slot(spark, monkeypatch):
     monkeypatch.setattr(commands, "MAX_OPEN_PATTERNS", 0)
     with pytest.raises(ValueError, match="without a word"):
         commands.match_recipes(said, recipes)
+
+
+def test_a_first_letter_stays_one_letter(spark):
+    said = ["ßheit am ", " ﬁn", "ŉ a", "ᾳ", "ᾼ", "ēs", "", " ", None, "1 ß"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").select("i", text.finalize_text(F.col("t")).alias("x")).collect()
+    assert [r.x for r in sorted(rows)] == ["ẞheit am", "ﬁn", "ŉ a", "ᾼ", "ᾼ", "Ēs", "", "", None, "1 ß"]
