@@ -57,6 +57,15 @@ def test_token_fold_equals_the_whole_session():
         assert np.array_equal(got, segments._by_time(merged)) and len(fold.held) <= 80
 
 
+def test_a_last_window_of_one_token_loses_none():
+    """It begins a frame before the end of the one before it: the middle of the two is a token's own time."""
+    for k in range(2, 400):
+        at = np.arange(20 * (k - 1), 20 * k + 1)
+        left = np.stack((at, at * 5 + 1, np.ones_like(at)), axis=1)
+        merged = segments._merge_pair(left, np.array([[20 * k, 100 * k, 1]]), 2.0)
+        assert merged[:, 0].tolist() == at.tolist(), k
+
+
 class State:
     """A value, list or map in memory; sizes are what the store would hold."""
 
