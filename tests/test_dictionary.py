@@ -71,3 +71,27 @@ def test_a_row_meets_few_entries():
     corrections = d.Corrections([(f"X-{k}", [n, n.upper(), n.replace(" ", "-")]) for k, n in enumerate(names)])
     assert corrections.due("ship part 7 today", -1) == [7] and corrections.due("ship part 700 today", -1) == []
     assert corrections.apply("ship part 7 today") == "ship X-7 today"
+
+
+def test_many_entries_of_one_pattern(spark):
+    """Without ids and times entries keep the order of their rows; a replacement that opens the way leads to the next of them."""
+    chain = [(None, "a", "b", ["A-1"]), (None, "b", "c d", []), (None, "c", "a", []), (None, "a", "e", ["a"]), (None, "a", "f", [])]
+    same = [(None, "long term", f"T{i}", ["LONG-TERM", "longterm"]) for i in range(300)]
+    entries = spark.createDataFrame([(*x, None) for x in chain + same], "id string, original string, replacement string, variants array<string>, created_at timestamp").coalesce(1)
+    said = ["a", "a-1 long term", "b", "c", "Long-Term and longterm", "term long", None, "a", "", "xa b"]
+    texts = spark.createDataFrame(list(enumerate(said)), "i int, text string")
+    want = [None if t is None else plain(t, [(r, [o, *v]) for _, o, r, v in chain + same]) for t in said]
+    for chars in (10**9, 0):
+        got = d.apply_dictionary(texts, entries, automaton_chars=chars).collect()
+        assert [r.text for r in sorted(got)] == want, chars
+
+
+def test_a_pattern_of_many_entries_is_joined_once(spark, monkeypatch):
+    """Rows that the joins give do not grow with the number of a pattern's entries."""
+    plans = []
+    written = d._written
+    monkeypatch.setattr(d, "_written", lambda df, name: plans.append((name, df.count())) or written(df, name))
+    entries = spark.range(400).selectExpr("cast(id as string) id", "'the term' original", "concat('T', id) replacement", "array('term x') variants", "cast(null as timestamp) created_at")
+    out = d.apply_dictionary(spark.range(50).selectExpr("'say the term' text"), entries, automaton_chars=0)
+    assert {r.text for r in out.collect()} == {"say T0"} and out.count() == 50
+    assert dict(plans)["dictionary-patterns"] == 2 and dict(plans)["dictionary-texts"] == 1

@@ -11,7 +11,7 @@ from datetime import datetime
 from string import ascii_lowercase, ascii_uppercase
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.automaton import WordAutomaton
@@ -117,7 +117,7 @@ def apply_dictionary(df: DataFrame, dictionary: DataFrame, text: str = "text", a
     """Corrections from a dictionary of any size (id, original, replacement, variants, created_at), by creation, then id.
 
     Up to automaton_chars of patterns, the entries go to the workers as an automaton, and no
-    row moves.  Beyond that, texts and patterns meet in an equi-join on all words of the pattern in a row.  Either way a
+    row moves.  Beyond that, distinct texts and patterns meet in an equi-join on all words of the pattern in a row.  Either way a
     row gets those entries only whose whole pattern can stand in it, and both give the same texts.
     """
     terms = dictionary.where(F.trim("replacement") != "").select("created_at", "id", "replacement", F.filter(F.concat(F.array("original"), F.coalesce("variants", F.array().cast("array<string>"))), lambda p: F.trim(p) != "").alias("patterns"))
@@ -146,53 +146,88 @@ def _gaps(c: str) -> Column:
 
 
 def _gram(n: int):
-    return lambda i: F.array_join(F.slice("w", i, F.lit(n)), " ")
+    return lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(n)), " "))
+
+
+#: Changed texts up to so many are broadcast to their rows.
+_FEW_TEXTS = 100_000
 
 
 def _apply_joined(df: DataFrame, terms: DataFrame, text: str) -> DataFrame:
-    """Rounds of joins: each applies what a text meets up to the first entry that may open the way for a later one."""
-    order = F.struct(F.col("created_at").isNotNull().alias("dated"), "created_at", "id")
-    long = terms.select(order.alias("order"), "replacement", "patterns", F.explode(F.array_distinct(F.transform("patterns", lambda p: F.translate(p, ascii_uppercase, ascii_lowercase)))).alias("pattern"))
-    long = long.withColumn("words", _pieces("pattern"))
-    long = _written(long.withColumn("key", F.when(F.size("words") > 0, F.array_join("words", " ")).otherwise(F.concat(F.lit("\n"), "pattern"))), "dictionary-patterns")
-    known = long.select(F.explode(F.when(F.size("words") > 0, F.col("words")).otherwise(F.array("key"))).alias("w")).distinct()
-    put_in = terms.select(order.alias("order"), F.explode(F.concat(_pieces("replacement"), _gaps("replacement"))).alias("w")).join(known, "w").select("order").distinct().withColumn("again", F.lit(True))
+    """Rounds of joins over distinct texts: each applies what a text meets up to the first entry that may open the way for a later one.
+
+    A pattern of many entries stands in the join once, with the first of them, and in later rounds with the next one
+    behind the entry that was applied last.  Keys are hashes: a wrong one leads to a pattern that isn't found.
+    """
+    # entries alike in time and id keep the order of their rows, as in the automaton
+    order = F.struct(F.col("created_at").isNotNull().alias("dated"), "created_at", "id", F.monotonically_increasing_id().alias("n"))
+    terms = _written(terms.select(order.alias("order"), "replacement", "patterns"), "dictionary-terms")
+    lower = F.array_distinct(F.transform("patterns", lambda p: F.translate(p, ascii_uppercase, ascii_lowercase)))
+    long = terms.select("order", F.posexplode(lower).alias("pos", "pattern"))
+    first = long.groupBy("pattern").agg(F.min(F.struct("order", "pos")).alias("o")).select("pattern", "o.order", "o.pos", _pieces("pattern").alias("words"))
+    first = _written(first.withColumn("word_key", F.when(F.size("words") > 0, F.array_join("words", " ")).otherwise(F.concat(F.lit("\n"), "pattern"))), "dictionary-patterns")
+    known = first.select(F.explode(F.when(F.size("words") > 0, F.col("words")).otherwise(F.array("word_key"))).alias("w")).distinct()
+    put_in = terms.select("order", F.explode(F.concat(_pieces("replacement"), _gaps("replacement"))).alias("w")).join(known, "w").select("order").distinct().withColumn("again", F.lit(True))
     whole = rf"\A{_WHOLE}\z"
-    edges = ~F.col("replacement").rlike(whole) | F.exists("patterns", lambda p: ~p.rlike(whole))
-    entries = terms.select(order.alias("order"), "replacement", "patterns", edges.alias("edges")).join(put_in, "order", "left")
-    entries = _written(entries.select("order", "replacement", "patterns", (F.col("edges") | F.coalesce("again", F.lit(False))).alias("opens")), "dictionary-entries")
-    lengths = [r[0] for r in long.select(F.size("words")).distinct().collect() if r[0] > 0]  # of patterns, in words: a few numbers
+    opens = ~F.col("replacement").rlike(whole) | F.exists("patterns", lambda p: ~p.rlike(whole)) | F.coalesce("again", F.lit(False))
+    entries = terms.join(put_in, "order", "left").select("order", "replacement", opens.alias("opens"), "patterns")
+    # where no pattern can come about, those that stand in the text are enough
+    entries = _written(entries.withColumn("patterns", F.when(F.col("opens"), F.col("patterns"))), "dictionary-entries")
+    lengths = [r[0] for r in first.select(F.size("words")).distinct().collect() if r[0] > 0]  # of patterns, in words: a few numbers
     kind = entries.schema["order"].dataType.simpleString()
+    first = first.select(F.xxhash64("word_key").alias("key"), "pattern", "order", "pos")
 
     @F.pandas_udf(f"text string, done {kind}")
     def run(t: pd.Series, found: pd.Series) -> pd.DataFrame:
         out = []
         for x, es in zip(t, found, strict=True):
-            done = None
+            done = last = None
             for e in () if es is None else es:
-                x, hits = replaced(x, e["replacement"], e["patterns"])
+                if e["opens"] and e["order"] == last:  # by another of its patterns
+                    continue
+                last = e["order"]
+                x, hits = replaced(x, e["replacement"], e["patterns"] if e["opens"] else [e["pattern"]])
                 if hits and e["opens"]:
                     done = e["order"]
                     break
             out.append((x, done))
         return pd.DataFrame(out, columns=["text", "done"])
 
-    named = _written(df.withColumn("_row", F.expr("uuid()")), "dictionary-texts")
-    todo, final, how = named.select("_row", F.col(text).alias("t"), F.lit(None).cast(kind).alias("done")).where("t is not null"), None, "inner"
+    rows = _written(df, "dictionary-rows")
+    texts = rows.where(F.col(text).isNotNull()).select(F.col(text).alias("said")).distinct()
+    texts = _written(texts.select("said", F.monotonically_increasing_id().alias("_row")), "dictionary-texts")
+    todo, final = texts.select("_row", F.col("said").alias("t"), F.lit(None).cast(kind).alias("done")), None
     while True:
         words = todo.select("_row", "done", _pieces("t").alias("w"), _gaps("t").alias("g"))
         grams = [F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), _gram(n))) for n in lengths]
-        keys = F.array_distinct(F.concat("g", *[F.coalesce(g, F.array().cast("array<string>")) for g in grams]))
-        met = words.select("_row", "done", F.explode(keys).alias("key")).join(long.select("key", "order", "pattern"), "key").where("done is null or order > done")
-        first = met.groupBy("_row", "pattern").agg(F.min("order").alias("order")).select("_row", "order").distinct()
-        lists = first.join(entries, "order").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("order", "replacement", "patterns", "opens"))).alias("found"))
-        step = _written(todo.join(lists, "_row", how).select("_row", run("t", "found").alias("r")).select("_row", F.col("r.text").alias("t"), "r.done"), "dictionary-round")
+        none = F.array().cast("array<bigint>")
+        keys = F.array_distinct(F.concat(F.transform("g", lambda g: F.xxhash64(g)), *[F.coalesce(g, none) for g in grams]))
+        met = words.select("_row", "done", F.explode(keys).alias("key")).join(first, "key").select("_row", "done", "pattern", "order", "pos")
+        if final is not None:
+            met = met.drop("order", "pos").join(_next_owners(met, long), ["pattern", "done"])
+        each = met.select("_row", "pattern", "order", "pos").join(entries, "order")
+        lists = each.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("order", "pos", "pattern", "replacement", "opens", "patterns"))).alias("found"))
+        step = _written(todo.join(lists, "_row", "inner" if final is None else "left").select("_row", run("t", "found").alias("r")).select("_row", F.col("r.text").alias("t"), "r.done"), "dictionary-round")
         over = step.where("done is null").select("_row", "t")
         final = over if final is None else final.unionAll(over)
-        todo, how = step.where("done is not null"), "left"
+        todo = step.where("done is not null")
         if todo.isEmpty():
             break
-    return named.join(final.select("_row", F.col("t").alias("_fixed")), "_row", "left").withColumn(text, F.coalesce("_fixed", text)).select(*df.columns)
+    changed = texts.join(final, "_row").where("said <> t").select(F.col("said").alias("_said"), F.col("t").alias("_fixed"))
+    changed = _written(changed, "dictionary-changes")
+    changed = F.broadcast(changed) if changed.limit(_FEW_TEXTS + 1).count() <= _FEW_TEXTS else changed
+    return rows.join(changed, F.col(text) == F.col("_said"), "left").withColumn(text, F.coalesce("_fixed", text)).select(*df.columns)
+
+
+def _next_owners(met: DataFrame, long: DataFrame) -> DataFrame:
+    """pattern, done, order, pos: of a pattern's entries the first behind done, by one pass over them in order."""
+    asked = met.select("pattern", "done").distinct()
+    own = long.join(asked.select("pattern").distinct(), "pattern", "left_semi")
+    own = own.select("pattern", F.col("order").alias("at"), F.lit(0).alias("asks"), F.struct("order", "pos").alias("owner"))
+    both = own.unionByName(asked.select("pattern", F.col("done").alias("at"), F.lit(1).alias("asks")), allowMissingColumns=True)
+    w = Window.partitionBy("pattern").orderBy(F.col("at").desc(), F.col("asks").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("owner", F.last("owner", ignorenulls=True).over(w)).where("asks = 1 and owner is not null")
+    return found.select("pattern", F.col("at").alias("done"), "owner.order", "owner.pos")
 
 
 def _low(c: str) -> Column:
