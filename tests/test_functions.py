@@ -125,6 +125,37 @@ def test_recipes_that_start_with_a_slot(spark, monkeypatch):
         commands.match_recipes(said, recipes)
 
 
+def test_open_recipe_patterns_against_plain_search(spark):
+    """Patterns glued to slots, in any case and with odd marks; they are not held in arrays beside each text."""
+    import re
+
+    patterns = ["q1{a}", "Q12{a}", "{a}now", "{a}NOW now{b}", "x{a}-y{b}z", "{a}{b}", "{a} {b}", "{a}-{b}", "{a}+ {b}.c", "{x y}{a}", "{a}é", "É{a}", "q1 {a}x{b}", "{a}}", "{a}.*{b}", "(x{a}"]
+    texts = ["q12 go", "Q1x", "right now", "NOW", "x1-Y2Z", "a-b", "one", "a+  b.c", "{x y}t", "né", "nÉ", "ét", "Ét", "q1  yxz", "a}", "a.*b", "(Xa", "now\u0085", "right now\u0085", "", None, "a b c"]
+    kinds = "id string, patterns array<string>, slots array<string>, stats struct<quarantined:boolean>"
+    recipes = spark.createDataFrame([(p, [p], [], None) for p in patterns], kinds).coalesce(1)
+    said = spark.createDataFrame(list(enumerate(texts)), "utterance_id int, text string")
+
+    def best(t):
+        if t is None:
+            return None
+        t = re.sub(r"[.!?,]+$", "", re.sub(r"\s+", " ", t.replace("\u0085", "\x00"))).strip().replace("\x00", "\u0085")
+        fits = []
+        for k, p in enumerate(patterns):
+            parts = [r"\s+".join(re.escape(w) for w in re.split(r"\s+", x)) for x in re.split(r"\{\w+\}", p, flags=re.A)]
+            if re.search("^" + "([^\u0085\n]+?)".join(parts) + "\u0085?$", t, re.I | re.A):
+                fits.append((-len(re.sub(r"\{\w+\}", "", p, flags=re.A)), k))
+        return patterns[min(fits)[1]] if fits else None
+
+    for few in (commands.OPEN_BROADCAST, 0):
+        m = pytest.MonkeyPatch()
+        m.setattr(commands, "OPEN_BROADCAST", few)
+        matched = commands.match_recipes(said, recipes)
+        got = {r.utterance_id: r.recipe_id for r in matched.collect()}
+        m.undo()
+        assert got == {i: best(t) for i, t in enumerate(texts) if best(t)}
+    assert "collect_list" not in matched._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_first_letter_stays_one_letter(spark):
     said = ["ßheit am ", " ﬁn", "ŉ a", "ᾳ", "ᾼ", "ēs", "", " ", None, "1 ß"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").select("i", text.finalize_text(F.col("t")).alias("x")).collect()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from string import ascii_lowercase, ascii_uppercase
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -119,8 +120,8 @@ def assess_command(tool: Column, args: Column) -> Column:
     return F.when(tool == "computer_task", assess_goal(F.coalesce(args["goal"], F.lit("")))).when(tool == "open_target", risk_of_opening(F.coalesce(args["target"], F.lit("")))).when(tool.isin("play_media", "search_web", "read_history", "type_text", "none"), safe).otherwise(bad)
 
 
-#: Patterns without a word of their own, such as {what}, that are asked of a text at a time.
-OPEN_BLOCK = 200
+#: Patterns without a word of their own, such as {what}, that are broadcast to the texts.
+OPEN_BROADCAST = 20_000
 #: A limit of such patterns that an owner of recipes may set; none by default.
 MAX_OPEN_PATTERNS: int | None = None
 
@@ -129,11 +130,37 @@ def _tidy(c: Column) -> Column:
     return F.trim(_each(c, (f"{S}+", " "), (r"[.!?,]+$", "")))
 
 
+def _open_pairs(u: DataFrame, wide: DataFrame, key: str, few: bool) -> DataFrame:
+    """Texts with the patterns that begin or end as they do, and with those between slots that hold the pattern's longest part."""
+    # white space of a pattern stands for the one blank that a text has there; the patterns' case is that of ASCII
+    low = lambda c: F.translate(c, ascii_uppercase, ascii_lowercase)
+    plain = low(F.regexp_replace(F.trim("pattern"), r"\s+", " "))
+    parts = F.split(plain, r"\{\w+\}", -1)
+    # quotes of the expression, and a line break that $ passes over, are left to it
+    odd = plain.rlike(r"\\e|\x{0085}")
+    ends = wide.withColumns({"head": F.when(odd, "").otherwise(F.get(parts, F.lit(0))), "tail": F.when(odd, "").otherwise(F.element_at(parts, -1)), "inner": F.when(odd, F.array(F.lit(""))).otherwise(parts)})
+    ends = ends.withColumn("at_head", F.length("head") >= F.length("tail")).withColumn("part", F.when(F.col("at_head"), F.col("head")).otherwise(F.col("tail"))).drop("head", "tail")
+    small = F.broadcast if few else (lambda df: df)
+    t = low(F.col("t"))
+    # the longest part between slots
+    bare = ends.where("part = ''").withColumn("inner", F.array_max(F.transform("inner", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"])
+    met = u.withColumn("low", t).join(small(bare), F.expr("contains(low, inner) and t rlike rx")).select(key, "t", *wide.columns)
+    sizes = [tuple(r) for r in ends.where("part <> ''").select("at_head", F.length("part").alias("n")).distinct().collect()]  # a few numbers
+    if not sizes:
+        return met
+    last = F.regexp_replace(t, r"\x{0085}\z", "")
+    cut = F.array(*(F.struct(F.lit(at_head).alias("t_head"), (F.substring(t, 1, n) if at_head else F.substring(last, -n, n)).alias("t_part")) for at_head, n in sizes))
+    texts = u.select(key, "t", F.explode(cut).alias("x")).select(key, "t", "x.*")
+    same = (F.col("t_head") == F.col("at_head")) & (F.col("t_part") == F.col("part"))
+    return met.unionByName(texts.join(small(ends.where("part <> ''")), same).select(key, "t", *wide.columns))
+
+
 def match_recipes(utterances: DataFrame, recipes: DataFrame, key: str = "utterance_id", text: str = "text") -> DataFrame:
     """key, recipe_id, slots (map): the matching pattern with the most literal characters, else the first.
 
     A pattern meets the texts that hold the one of its words which the fewest texts hold (an
-    equi-join); patterns without a word of their own are asked of all texts, those alike once.
+    equi-join).  Of patterns without a word of their own those alike count once; one that begins or ends with letters
+    meets the texts that begin or end so (an equi-join, too), the others are asked of all texts.
     """
     p = recipes.where("not coalesce(stats.quarantined, false)").select(F.col("id").alias("recipe_id"), F.col("slots").alias("wanted"), F.monotonically_increasing_id().alias("r"), F.posexplode("patterns").alias("p", "pattern"))
     quoted = F.concat(F.lit(r"\Q"), F.regexp_replace(F.regexp_replace(F.trim("pattern"), r"\{(\w+)\}", r"\\E(.+?)\\Q"), r"\s+", r"\\E\\s+\\Q"), F.lit(r"\E"))
@@ -150,9 +177,7 @@ def match_recipes(utterances: DataFrame, recipes: DataFrame, key: str = "utteran
     if MAX_OPEN_PATTERNS is not None and n_wide > MAX_OPEN_PATTERNS:
         raise ValueError(f"over {MAX_OPEN_PATTERNS} patterns without a word of their own")
     if n_wide:
-        block = F.pmod(F.xxhash64("rx"), F.lit(-(-n_wide // OPEN_BLOCK)))
-        lists = wide.groupBy(block.alias("block")).agg(F.collect_list(F.struct(*p.columns)).alias("all"))
-        every = every.unionByName(u.crossJoin(lists).select(key, "t", F.explode(F.filter("all", lambda x: F.rlike(F.col("t"), x["rx"]))).alias("x")).select(key, "t", "x.*"))
+        every = every.unionByName(_open_pairs(u, wide, key, n_wide <= OPEN_BROADCAST).select(key, "t", *p.columns))
     hit = every.where(F.expr("t rlike rx"))
     # captured values: each group in turn
     values = F.transform(F.sequence(F.lit(1), F.greatest(F.size("names"), F.lit(1))), lambda i: _tidy(F.when(i <= F.size("names"), F.call_function("regexp_extract", F.col("t"), F.col("rx"), i)).otherwise("")))

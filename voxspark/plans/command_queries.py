@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import commands as c
 from .registry import query
-from .text_queries import table
+from .text_queries import spread, table
 
 
 
@@ -111,7 +111,7 @@ def f08_match_recipes(spark, sf_dir):
 @query(f"SELECT k AS p_partkey, CASE k % 3 WHEN 0 THEN 'open-2' WHEN 1 THEN b ELSE 'wide-1' END AS recipe_id, CASE k % 3 WHEN 2 THEN 'X' || split_part(n, ' ', 1) ELSE n END AS what FROM {_U}")
 def f08_open_recipes(spark, sf_dir):
     """Fifteen hundred patterns without a word of their own beside those with words; a pattern's rarest word leads to it."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"))
     k = _k() % 3
     said = F.when(k == 0, F.concat(F.lit("please open "), "p_name", F.lit(" now"))).when(k == 1, F.concat(F.lit("please open "), "p_name", F.lit(" in "), F.lower("p_brand"))).otherwise(F.concat(F.lit("X"), "p_name", F.lit(" tail.")))
     one = lambda i, pattern: F.struct(i.alias("id"), F.array(pattern).alias("patterns"), F.array(F.lit("what")).alias("slots"), F.struct(F.lit(False).alias("quarantined")).alias("stats"))
