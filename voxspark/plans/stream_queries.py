@@ -22,15 +22,21 @@ def _stream(spark, df, name):
 
 
 _FILES = 4
+#: So many rows a file make it certain enough that none of a step's files stays empty.
+_ROWS_A_FILE = 1000
 
 
 def _fed(spark, df, name, steps):
     """A stream of df in `steps` micro-batches, by its column step (0, 1, ...)."""
-    path = files.work_path(spark, name)
+    path, staged = files.work_path(spark, name), files.work_path(spark, f"{name}-staged")
+    df.write.partitionBy("step").parquet(staged)  # so that df is computed once
+    rows = spark.read.schema(df.schema).parquet(staged)
+    sizes = {r["step"]: r["count"] for r in rows.groupBy("step").count().collect()}
+    # as many files for each step as a micro-batch takes
+    n = max(_FILES, min(spark.sparkContext.defaultParallelism, min(sizes.values(), default=0) // _ROWS_A_FILE))
     for k in range(steps):
-        # as many files for each step as a micro-batch takes
-        df.where(F.col("step") == k).drop("step").repartition(_FILES).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.drop("step").schema).option("maxFilesPerTrigger", _FILES).parquet(path)
+        rows.where(F.col("step") == k).drop("step").repartition(n).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.drop("step").schema).option("maxFilesPerTrigger", n).parquet(path)
 
 
 def _by_time(df, steps, ts="ts"):

@@ -1,4 +1,9 @@
-"""Stateful processors: typed state in the state store, one record or list entry at a time."""
+"""Stateful processors: typed state, as a record, lists and maps of a key.
+
+A processor asks a handle for its states.  In transformWithState that is the store, asked entry by entry; GroupHandle
+holds the states of one group, which come and go with its rows (applyInPandasWithState), so that
+many small groups cost no calls to the store of their own.
+"""
 
 from __future__ import annotations
 
@@ -19,6 +24,120 @@ _OPEN = "rate int, open long, begin long, seg_idx long, voiced long, silence lon
 _CHUNK = "rate int, samples array<float>, stop boolean, abort boolean, decoded boolean"
 
 
+def _typed(schema: str) -> str:
+    return schema.replace(", ", ",").replace(" ", ":")
+
+
+#: The same in one row, for applyInPandasWithState.
+SEGMENT_STATE = f"record struct<{_typed(_OPEN)}>, windows array<struct<start:long,rms:double>>, early array<struct<chunk_idx:long,{_typed(_CHUNK)}>>, timer long"
+
+
+class Held:
+    """A value, list or map of one group, in memory while its rows are handled."""
+
+    def __init__(self, v=None) -> None:
+        self.v = v
+
+    def exists(self) -> bool:
+        return bool(self.v)
+
+    def get(self):
+        return self.v
+
+    def update(self, v: tuple) -> None:
+        self.v = v
+
+    def clear(self) -> None:
+        self.v = None
+
+    def appendList(self, v: list) -> None:
+        self.v = [*(self.v or ()), *v]
+
+    def getValue(self, key: tuple):
+        return (self.v or {}).get(key)
+
+    def updateValue(self, key: tuple, v: tuple) -> None:
+        self.v = self.v or {}
+        self.v[key] = v
+
+    def removeKey(self, key: tuple) -> None:
+        del self.v[key]
+
+    def iterator(self):
+        return iter((self.v or {}).items())
+
+
+class HeldList(Held):
+    def get(self) -> Iterator:
+        return iter(self.v or ())
+
+
+class GroupHandle:
+    """The states of one group, by names in the columns of its GroupState (maps are lists of entries), and its timer in the last one."""
+
+    def __init__(self, group, names: list[str]) -> None:
+        self.group, self.names = group, names
+        *values, self.timer = group.get if group.exists else [None] * (len(names) + 1)
+        self.loaded, self.states = dict(zip(names, values, strict=True)), {}
+
+    def _state(self, name: str, of=lambda v: v, held: type[Held] = Held) -> Held:
+        v = self.loaded[name]
+        return self.states.setdefault(name, held(None if v is None else of(v)))
+
+    def getValueState(self, name: str, schema: str, ttl: int | None = None) -> Held:
+        return self._state(name)
+
+    def getListState(self, name: str, schema: str, ttl: int | None = None) -> Held:
+        return self._state(name, list, HeldList)
+
+    def getMapState(self, name: str, key: str, schema: str, ttl: int | None = None) -> Held:
+        return self._state(name, lambda v: {(e[0],): tuple(e[1:]) for e in v})
+
+    def registerTimer(self, at: int) -> None:
+        self.timer = at
+
+    def deleteTimer(self, at: int) -> None:
+        self.timer = None
+
+    def getExpiryTimeInMs(self) -> int:
+        return self.timer
+
+    def getCurrentWatermarkInMs(self) -> int:
+        return self.group.getCurrentWatermarkMs()
+
+    def save(self) -> None:
+        values = []
+        for name in self.names:
+            v = self.states[name].v or None
+            values.append([(*k, *e) for k, e in v.items()] if isinstance(v, dict) else v)
+        if any(v is not None for v in values):
+            self.group.update((*values, self.timer))
+            if self.timer:
+                self.group.setTimeoutTimestamp(max(self.timer, self.getCurrentWatermarkInMs() + 1))
+        elif self.group.exists:
+            self.group.remove()
+
+
+def group_handler(processor: StatefulProcessor, names: list[str], ttl_ms: int | None = None):
+    """The processor as a function of applyInPandasWithState; ttl_ms: a state goes so long after its last rows."""
+
+    def run(key: tuple, rows: Iterator[pd.DataFrame], group) -> Iterator[pd.DataFrame]:
+        if group.hasTimedOut and ttl_ms:
+            group.remove()
+            return
+        handle = GroupHandle(group, names)
+        processor.init(handle)
+        if group.hasTimedOut:
+            yield from processor.handleExpiredTimer(key, handle, handle)
+        else:
+            yield from processor.handleInputRows(key, rows, handle)
+        handle.save()
+        if ttl_ms:
+            group.setTimeoutDuration(ttl_ms)
+
+    return run
+
+
 def _flag(row: tuple, at: int) -> bool:
     return at < len(row) and row[at] is not None and bool(row[at])
 
@@ -133,7 +252,8 @@ class SegmentProcessor(StatefulProcessor):
             self.timer = max(last + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1)
             self.handle.registerTimer(self.timer)
         self._save()
-        yield self._rows(key, out)
+        if out:
+            yield self._rows(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self._load()
@@ -150,7 +270,8 @@ class SegmentProcessor(StatefulProcessor):
             self.record.clear()
             self.windows.clear()
             self.early.clear()
-        yield self._rows(key, out)
+        if out:
+            yield self._rows(key, out)
 
     @staticmethod
     def _rows(key, out: list[tuple]) -> pd.DataFrame:
@@ -162,6 +283,7 @@ class SegmentProcessor(StatefulProcessor):
 
 
 PARTIAL = "session_id long, segments long, settled string, tail string"
+PARTIAL_STATE = "fold struct<tail:string,segments:long,due:long,forced:boolean>, early array<struct<seg_idx:long,text:string,forced_split:boolean>>, timer long"
 
 
 class PartialProcessor(StatefulProcessor):

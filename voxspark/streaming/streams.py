@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.decode import latency_sketch, sketch_percentile
-from .processors import PARTIAL, PROPOSAL, SEGMENT, PartialProcessor, ProposalProcessor, SegmentProcessor
+from .processors import PARTIAL, PARTIAL_STATE, PROPOSAL, SEGMENT, SEGMENT_STATE, PartialProcessor, ProposalProcessor, SegmentProcessor, group_handler
 
 PREVIEW_MS = 1200
 
@@ -21,10 +21,10 @@ def stream_segments(chunks: DataFrame, idle: str | None = None, preview_ms: int
     abort row drops all that is open; with idle (an interval; the stream needs a watermark on ts) silence of the source does.
     preview_ms: also rows of kind "preview" where a preview of the open segment is due; with a
     column decoded (rows that say a decode of a preview or segment has come back) none is due while one is in flight.
-    Needs the RocksDB state store (see run_once).
     """
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
-    return chunks.groupBy("session_id").transformWithStateInPandas(SegmentProcessor(idle_ms, preview_ms), SEGMENT, "append", "eventTime" if idle else "none")
+    run = group_handler(SegmentProcessor(idle_ms, preview_ms), ["record", "windows", "early"])
+    return chunks.groupBy("session_id").applyInPandasWithState(run, SEGMENT, SEGMENT_STATE, "append", "EventTimeTimeout" if idle else "NoTimeout")
 
 
 def partial_transcripts(segments: DataFrame, ttl: str | None = None) -> DataFrame:
@@ -33,7 +33,8 @@ def partial_transcripts(segments: DataFrame, ttl: str | None = None) -> DataFram
     ttl: an interval after whose passing without a segment a session's state goes.
     """
     ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else None
-    return segments.groupBy("session_id").transformWithStateInPandas(PartialProcessor(ttl_ms), PARTIAL, "update", "processingTime" if ttl else "none")
+    run = group_handler(PartialProcessor(ttl_ms), ["fold", "early"], ttl_ms)
+    return segments.groupBy("session_id").applyInPandasWithState(run, PARTIAL, PARTIAL_STATE, "update", "ProcessingTimeTimeout" if ttl else "NoTimeout")
 
 
 def partial_texts(partials: DataFrame) -> DataFrame:
