@@ -218,3 +218,26 @@ def test_rms_windows_of_odd_chunks(spark):
     want = np.sqrt((whole[:len(whole) // 48 * 48].reshape(-1, 48) ** 2).mean(1))
     got = [r["rms"] for r in audio.rms_windows(df, 48).orderBy("win_idx").collect()]
     assert np.allclose(got, want)
+
+
+def test_state_of_a_group_comes_back_as_it_was():
+    """All states of a group are one row, so a group asks the store once however many entries it has."""
+
+    class Group:
+        exists, hasTimedOut, value = False, False, None
+        get = property(lambda self: self.value)
+
+        def update(self, v):
+            self.exists, self.value = True, v
+
+        def remove(self):
+            self.exists, self.value = False, None
+
+    parts = random_parts(random.Random(5), 300)
+    run, group, settled = processors.group_handler(processors.PartialProcessor(None), ["fold", "early"]), Group(), []
+    order = sorted(range(len(parts)), key=lambda i: i + random.Random(i).randint(0, 9))
+    for a in range(0, len(order), 10):
+        frame = pd.DataFrame([(i, *parts[i]) for i in order[a:a + 10]], columns=["seg_idx", "text", "forced_split"])
+        for df in run((7,), iter([frame]), group):
+            settled.append(df["settled"][0])
+    assert ("".join(settled) + df["tail"][0]).strip() == whole_join(parts)[0] and group.value[1] is None
