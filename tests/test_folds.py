@@ -241,3 +241,22 @@ def test_state_of_a_group_comes_back_as_it_was():
         for df in run((7,), iter([frame]), group):
             settled.append(df["settled"][0])
     assert ("".join(settled) + df["tail"][0]).strip() == whole_join(parts)[0] and group.value[1] is None
+
+
+def test_longest_run_and_common_pairs_against_plain_search():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        match = rng.random((int(rng.integers(2, 9)), int(rng.integers(2, 9)))) < 0.4
+        runs = [(-n, i, j) for i in range(match.shape[0]) for j in range(match.shape[1]) for n in range(1, 9) if i + n <= match.shape[0] and j + n <= match.shape[1] and all(match[i + k, j + k] for k in range(n))]
+        n, i, j = min(runs, default=(0, 0, 0))
+        assert segments._longest_run(match) == [(i + k, j + k) for k in range(-n)]
+        common = segments._common(match)
+        assert all(match[p] for p in common) and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(common, common[1:]))
+
+
+def test_token_windows_of_odd_sessions(spark):
+    """Null and text keys."""
+    rows = [(s, w, p, 20 * w + p, (20 * w + p) * 5, 1) for s in (None, "a", "b") for w in range(8) for p in range(25)]
+    df = spark.createDataFrame(rows, "session_id string, chunk_idx int, pos int, token long, timestamp long, duration long")
+    got = segments.merge_token_chunks(df).collect()
+    assert {s: [r.token for r in sorted((r for r in got if r.session_id == s), key=lambda r: r.pos)] for s in (None, "a", "b")} == {s: list(range(165)) for s in (None, "a", "b")}
